@@ -34,4 +34,4 @@ def r6(c) -> "F.Column":
 
 
 # importing the query modules fills QUERIES / ORACLE
-from . import q_text, q_features  # noqa: E402,F401
+from . import q_text, q_features, q_pairs  # noqa: E402,F401
