@@ -176,11 +176,14 @@ def knn_kernel(k: int):
 EDGE_SCHEMA = "id long, comp long, other long, other_comp long, dist double"
 
 
-def min_outgoing_kernel():
+def min_outgoing_kernel(mutual_reachability: bool = False):
     """Per row, the nearest row of a *different* component (Borůvka step).
 
-    Ties broken by (distance, other id)."""
-    def one_side(ids_q, comp_q, ids_r, comp_r, d2):
+    With ``mutual_reachability`` the distance is max(d, core_a, core_b), the
+    rows carrying a ``core`` column. Ties broken by (distance, other id)."""
+    def one_side(ids_q, comp_q, ids_r, comp_r, d2, core_q=None, core_r=None):
+        if core_q is not None:
+            d2 = np.maximum(d2, np.maximum(core_q[:, None] ** 2, core_r[None, :] ** 2))
         d2 = np.where(comp_q[:, None] == comp_r[None, :], np.inf, d2)
         best = np.argmin(d2, axis=1)  # first minimum = smallest id (rows sorted)
         val = d2[np.arange(len(ids_q)), best]
@@ -196,9 +199,11 @@ def min_outgoing_kernel():
         d2, _, _, _ = sq_dists(a, b)
         ida, idb = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
         ca, cb = left["comp"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)
-        parts = [one_side(ida, ca, idb, cb, d2)]
+        ka = left["core"].to_numpy(np.float64) if mutual_reachability else None
+        kb = right["core"].to_numpy(np.float64) if mutual_reachability else None
+        parts = [one_side(ida, ca, idb, cb, d2, ka, kb)]
         if not diag:
-            parts.append(one_side(idb, cb, ida, ca, d2.T))
+            parts.append(one_side(idb, cb, ida, ca, d2.T, kb, ka))
         return pd.concat(parts, ignore_index=True)
     return kernel
 

@@ -67,13 +67,15 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
     return out
 
 
-def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: DataFrame | None = None,
+                            max_rounds: int = 64) -> DataFrame:
     """Exact Euclidean minimum spanning forest by Borůvka rounds.
 
     With ``edges`` (``i, j, dist``), the forest of that graph; otherwise of the
     complete graph over ``vectors`` (block-pair kernels find each row's nearest
-    row in another component). Ties are broken by (dist, min id, max id), so
-    the forest is unique. Returns ``(i, j, dist)`` with i < j.
+    row in another component). With ``core`` (``id, core_dist``) the weights are
+    mutual reachability distances max(d, core_i, core_j). Ties are broken by
+    (dist, min id, max id), so the forest is unique. Returns ``(i, j, dist)``.
     """
     from .blocks import EDGE_SCHEMA, min_outgoing_kernel
     from .pairs import _run
@@ -86,8 +88,13 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, max_roun
         if edges is None:
             v = vectors.df.withColumnRenamed(vectors.id_col, "id") if vectors.id_col != "id" else vectors.df
             vc = v.join(comp, "id")
+            extra = ("comp",)
+            if core is not None:
+                vc = vc.join(core.select("id", F.col("core_dist").alias("core")), "id")
+                extra = ("comp", "core")
             from dataclasses import replace
-            cand = _run(replace(vectors, df=vc, id_col="id"), min_outgoing_kernel(), EDGE_SCHEMA, extra=("comp",))
+            cand = _run(replace(vectors, df=vc, id_col="id"), min_outgoing_kernel(core is not None),
+                        EDGE_SCHEMA, extra=extra)
         else:
             ce = (edges.select("i", "j", "dist")
                   .join(comp.select(F.col("id").alias("i"), F.col("comp").alias("ci")), "i")
