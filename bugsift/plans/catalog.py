@@ -34,4 +34,4 @@ def r6(c) -> "F.Column":
 
 
 # importing the query modules fills QUERIES / ORACLE
-from . import q_text, q_features, q_pairs, q_metrics, q_sources, q_prompts, q_split, q_ensemble, q_cluster  # noqa: E402,F401
+from . import q_text, q_features, q_pairs, q_metrics, q_sources, q_prompts, q_split, q_ensemble, q_cluster, q_model  # noqa: E402,F401
