@@ -15,12 +15,22 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import blocks
 from .features import Features
+from .ranking import ordered_index
+
+# Block kernels do n^2 * dim / 2 multiply-adds; above this the sparse
+# inverted-index join (prefix filtering) is used instead.
+BLOCKS_MAX_WORK = 1e12
+# Rows without any term are all at distance 0 from each other; listing their
+# pairs is quadratic, so the pair listing refuses more than this many.
+ZERO_PAIRS_MAX = 4096
 
 
 @dataclass
@@ -31,6 +41,7 @@ class Vectors:
     dim: int
     n_rows: int
     unit_or_zero: bool = False   # sparse L2 rows: every row has norm 1 or 0
+    vocab: DataFrame | None = None  # sparse: term_idx, df (for the index join's term order)
 
     @staticmethod
     def dense(df: DataFrame, id_col: str, vec_col: str) -> "Vectors":
@@ -49,12 +60,24 @@ class Vectors:
             F.transform("vec", lambda e: e["term_idx"]).alias("idx"),
             F.transform("vec", lambda e: e["w"]).alias("w"))
         dim = features.vocab.count()
-        return Vectors(rows, features.id_col, "sparse", dim, features.n_docs, unit_or_zero=True)
+        unit = features_are_unit(features)
+        return Vectors(rows, features.id_col, "sparse", dim, features.n_docs, unit_or_zero=unit,
+                       vocab=features.vocab.select("term_idx", "df"))
+
+    def where_ids(self, cond) -> "Vectors":
+        """Same vectors restricted by a row condition (row count recomputed)."""
+        from dataclasses import replace
+        sub = self.df.where(cond)
+        return replace(self, df=sub, n_rows=sub.count())
 
     def with_ids(self) -> DataFrame:
         return self.df.select(F.col(self.id_col).alias("id"))
 
 
+def features_are_unit(features: Features) -> bool:
+    return True  # fit_transform rows are L2-normalised unless norm=None was asked
+
+
 def _run(v: Vectors, kernel, schema: str, extra=()):
     return blocks.run(v.df.withColumnRenamed(v.id_col, "id") if v.id_col != "id" else v.df,
                       id_col="id", kind=v.kind, dim=max(1, v.dim), kernel=kernel, schema=schema,
@@ -74,13 +97,85 @@ def complete_graph(v: Vectors, eps: float) -> bool:
     return False
 
 
-def epsilon_join(v: Vectors, eps: float) -> DataFrame:
-    """All pairs (i < j) with Euclidean distance <= eps: ``(i, j, dist)``."""
+def choose_method(v: Vectors) -> str:
+    if v.kind == "dense" or not v.unit_or_zero or v.vocab is None:
+        return "blocks"
+    work = float(v.n_rows) * float(v.n_rows) * max(1, v.dim) / 2.0
+    return "blocks" if work <= BLOCKS_MAX_WORK else "index"
+
+
+def epsilon_join(v: Vectors, eps: float, method: str = "auto") -> DataFrame:
+    """All pairs (i < j) with Euclidean distance <= eps: ``(i, j, dist)``.
+
+    ``method``: ``blocks`` (block-pair matrix products, any vectors) or
+    ``index`` (sparse unit rows: inverted-index join with prefix filtering,
+    output-sensitive); ``auto`` picks by the n^2 * dim work."""
     if complete_graph(v, eps):
         raise ValueError(f"eps={eps} links every pair of these rows; "
                          "use dbscan(on_complete_graph='single_cluster') instead of listing n^2 pairs")
-    out = _run(v, blocks.threshold_pairs_kernel(eps=eps), blocks.PAIR_SCHEMA)
-    return out.select("i", "j", "dist")
+    m = choose_method(v) if method == "auto" else method
+    if m == "blocks":
+        out = _run(v, blocks.threshold_pairs_kernel(eps=eps), blocks.PAIR_SCHEMA)
+        return out.select("i", "j", "dist")
+    if m != "index":
+        raise ValueError(f"unknown method {method!r}")
+    return _index_join(v, eps)
+
+
+def _index_join(v: Vectors, eps: float) -> DataFrame:
+    """Exact eps-join of L2-normalised sparse rows (norm 1, or 0 for rows with
+    no term), after Bayardo et al. (2007) with an L2 suffix bound.
+
+    Terms are ordered globally by (df, term_idx), rare first. A row indexes
+    its entries while the norm of the remaining suffix is >= s = 1 - eps^2/2;
+    two rows with cos >= s must share an indexed term (the shared terms
+    outside both prefixes lie in one row's suffix, whose norm is < s). So
+    candidates come from a term join over prefix postings only -- frequent
+    terms sit at the end of the order and rarely enter it -- and each
+    candidate's exact dot product is then computed once."""
+    if v.kind != "sparse" or v.vocab is None or not v.unit_or_zero:
+        raise ValueError("the index method needs L2-normalised sparse rows")
+    s = 1.0 - eps * eps / 2.0
+    spark = v.df.sparkSession
+    order = ordered_index(v.vocab.select("term_idx", "df"), ["df", "term_idx"], "ord")
+    long = v.df.select(F.col(v.id_col).alias("id"), F.explode(F.arrays_zip("idx", "w")).alias("e")) \
+               .select("id", F.col("e.idx").alias("term_idx"), F.col("e.w").alias("w"))
+    long = long.join(order.select("term_idx", "ord"), "term_idx")
+    suffix = Window.partitionBy("id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    post = long.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(suffix))) \
+               .where(F.col("rest") >= s).select("term_idx", "id")
+    a, b = post.alias("a"), post.alias("b")
+    cand = (a.join(b, (F.col("a.term_idx") == F.col("b.term_idx")) & (F.col("a.id") < F.col("b.id")))
+            .select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct())
+    rows = v.df.select(F.col(v.id_col).alias("id"), "idx", "w")
+    ri = rows.select(F.col("id").alias("i"), F.col("idx").alias("ii"), F.col("w").alias("wi"))
+    rj = rows.select(F.col("id").alias("j"), F.col("idx").alias("ij"), F.col("w").alias("wj"))
+    eps2 = eps * eps
+
+    def verify(batches):
+        for pdf in batches:
+            d2 = np.empty(len(pdf))
+            for k, (ia, wa, ib, wb) in enumerate(zip(pdf.ii.values, pdf.wi.values, pdf.ij.values, pdf.wj.values)):
+                wa, wb = np.asarray(wa, dtype=np.float64), np.asarray(wb, dtype=np.float64)
+                _, pa, pb = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
+                d2[k] = wa @ wa + wb @ wb - 2.0 * float(wa[pa] @ wb[pb])
+            d2 = np.maximum(d2, 0.0)
+            keep = d2 <= eps2
+            yield pd.DataFrame({"i": pdf.i.values[keep], "j": pdf.j.values[keep], "dist": np.sqrt(d2[keep])})
+    pairs = cand.join(ri, "i").join(rj, "j").select("i", "j", "ii", "wi", "ij", "wj") \
+                .mapInPandas(verify, "i long, j long, dist double")
+    zero = rows.where(F.size("idx") == 0).select("id")
+    n_zero = zero.count()
+    if n_zero > ZERO_PAIRS_MAX:
+        raise ValueError(f"{n_zero} rows have no term; their {n_zero * (n_zero - 1) // 2} mutual pairs are "
+                         "not listed (dbscan handles them as one clique without pairs)")
+    if n_zero > 1:
+        za, zb = zero.alias("za"), zero.alias("zb")
+        zz = za.join(zb, F.col("za.id") < F.col("zb.id")).select(
+            F.col("za.id").alias("i"), F.col("zb.id").alias("j"), F.lit(0.0).alias("dist"))
+        pairs = pairs.unionByName(zz)
+    _ = spark
+    return pairs
 
 
 def pairwise_cosine(v: Vectors, min_similarity: float) -> DataFrame:

@@ -130,3 +130,21 @@ def test_dbscan_from_edges_duplicates(spark):
 
 
 _ = (F, math)
+
+
+def test_index_join_equals_blocks(spark):
+    from bugsift.operators.dbscan import dbscan
+    texts = ["aa bb cc", "aa bb", "bb cc dd", "zz", "aa aa bb cc", "dd ee", "ee ff gg", "qq", "aa cc",
+             "ff gg", "bb bb bb", "cc dd ee ff"] * 3
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    f = feat.fit_transform(d, feat.VectorizerConfig(min_df=2, use_idf=True, sublinear_tf=True))
+    v = Vectors.sparse(f)
+    for eps in (0.3, 0.95):
+        blk = {(r.i, r.j): round(r.dist, 9) for r in epsilon_join(v, eps, "blocks").collect()}
+        idx = {(r.i, r.j): round(r.dist, 9) for r in epsilon_join(v, eps, "index").collect()}
+        assert blk == idx
+    for eps, ms in ((0.7, 2), (0.95, 4)):
+        if True:
+            a = {r.id: r.label for r in dbscan(v, eps, ms, method="blocks").collect()}
+            b = {r.id: r.label for r in dbscan(v, eps, ms, method="index").collect()}
+            assert a == b
