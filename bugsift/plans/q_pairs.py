@@ -98,6 +98,14 @@ def q_epsilon_pairs_sparse(spark, sf):
     return epsilon_join(_docs(spark, sf), 0.71).select("i", "j", r6("dist").alias("dist"))
 
 
+@query("epsilon_pairs_index", f"""WITH {doc_pairs_sql(0.71)}
+SELECT i, j, round(dist, 6) AS dist FROM pairs""")
+def q_epsilon_pairs_index(spark, sf):
+    """Same answer as epsilon_pairs_sparse through the inverted-index path
+    (prefix filtering), the method chosen automatically at large n."""
+    return epsilon_join(_docs(spark, sf), 0.71, method="index").select("i", "j", r6("dist").alias("dist"))
+
+
 @query("core_distance", f"""WITH {EMB_SQL},
 und AS (SELECT i AS id, j AS other, dist FROM ed UNION ALL SELECT j, i, dist FROM ed),
 r AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS rn FROM und)
