@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,10 @@ class Features:
     rows: DataFrame       # id, vec array<struct<term_idx,term,w>>, sorted by term_idx
     id_col: str
 
+    def release(self) -> None:
+        """Drop the cached term counts once every result has been consumed."""
+        self.counts.unpersist()
+
     @property
     def weights(self) -> DataFrame:
         """Long form ``(id, term_idx, term, w)``; token-less documents absent."""
@@ -162,8 +167,11 @@ def fit_transform(df: DataFrame, cfg: VectorizerConfig, *, id_col: str = "doc_id
     corpus = prepare_corpus(df, id_col, text_col, num_partitions, partitioned)
     tokens = tokenize(corpus, id_col, text_col, ngram_range=cfg.ngram_range,
                       stopwords=stopwords, method=method, lowercase=cfg.lowercase)
-    counts = term_counts(tokens, id_col, binary=cfg.binary)
-    n_docs = corpus.count()
+    # term counts feed both the vocabulary and the weight rows: keep them so the
+    # text is scanned and tokenized once (lost blocks are recomputed from lineage;
+    # release with ``spark.catalog.clearCache()`` / ``Features.release()``)
+    counts = term_counts(tokens, id_col, binary=cfg.binary).persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs = counts.select(id_col).distinct().count()
     vocab = vocabulary(counts, n_docs, cfg)
     rows = sparse_rows(counts, vocab, cfg, id_col)
     return Features(n_docs, tokens, counts, vocab, rows, id_col)
