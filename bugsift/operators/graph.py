@@ -19,6 +19,8 @@ from ..session import cut_lineage
 # An edge set this small is finished in one task (the group is bounded by this
 # constant, not by the data).
 LOCAL_EDGES = 2_000_000
+# A complete graph over this many points is spanned in one task (O(n) memory Prim).
+LOCAL_POINTS = 4096
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -124,7 +126,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
         prev = cur
     else:
         raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
-    out = out.withColumnRenamed("id", vertex_col)
+    out = cut_lineage(out.withColumnRenamed("id", vertex_col))  # consumed more than once downstream
     if vertices is not None:
         v = vertices.select(F.col(vertex_col).cast("long").alias(vertex_col)).distinct()
         out = v.join(out, vertex_col, "left").select(
@@ -133,7 +135,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
 
 
 def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: DataFrame | None = None,
-                            max_rounds: int = 64) -> DataFrame:
+                            max_rounds: int = 64, local_points: int | None = None,
+                            local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Exact Euclidean minimum spanning forest by Borůvka rounds.
 
     With ``edges`` (``i, j, dist``), the forest of that graph; otherwise of the
@@ -141,10 +144,23 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: Da
     row in another component). With ``core`` (``id, core_dist``) the weights are
     mutual reachability distances max(d, core_i, core_j). Ties are broken by
     (dist, min id, max id), so the forest is unique. Returns ``(i, j, dist)``.
+
+    Inputs under a fixed size (``local_points`` points, ``local_edges``
+    edges) are finished in one bounded task (Prim / Kruskal); larger ones run
+    Borůvka rounds on Spark.
     """
     from .blocks import EDGE_SCHEMA, min_outgoing_kernel
     from .pairs import _run
 
+    if local_points is None:
+        local_points = LOCAL_POINTS
+    if edges is None and vectors.n_rows <= local_points:
+        return _prim_local(vectors, core)
+    if edges is not None:
+        e_small = cut_lineage(edges.select("i", "j", "dist"))
+        if e_small.count() <= local_edges:
+            return _kruskal_local(e_small)
+        edges = e_small
     ids = vectors.with_ids() if edges is None else (
         edges.select(F.col("i").alias("id")).unionByName(edges.select(F.col("j").alias("id"))).distinct())
     comp = cut_lineage(ids.select("id", F.col("id").alias("comp")))
@@ -170,8 +186,8 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: Da
                     .unionByName(ce.select(F.col("j").alias("id"), F.col("cj").alias("comp"),
                                            F.col("i").alias("other"), F.col("ci").alias("other_comp"), "dist")))
         key = F.struct("dist", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        best = (cand.groupBy("comp").agg(F.min_by(F.struct("id", "other", "other_comp", "dist"), key).alias("e"))
-                .select("comp", "e.*"))
+        best = cut_lineage(cand.groupBy("comp").agg(
+            F.min_by(F.struct("id", "other", "other_comp", "dist"), key).alias("e")).select("comp", "e.*"))
         new = best.select(F.least("id", "other").alias("i"), F.greatest("id", "other").alias("j"), "dist").distinct()
         new = cut_lineage(new)
         if new.limit(1).count() == 0:
@@ -188,3 +204,74 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: Da
     if forest is None:
         return spark.createDataFrame([], "i long, j long, dist double")
     return forest
+
+
+def _prim_local(vectors, core: DataFrame | None) -> DataFrame:
+    """Exact (mutual reachability) MST of <= LOCAL_POINTS points in one task."""
+    from .blocks import to_matrix
+    v = vectors.df.withColumnRenamed(vectors.id_col, "id") if vectors.id_col != "id" else vectors.df
+    cols = ["id", "vec"] if vectors.kind == "dense" else ["id", "idx", "w"]
+    src = v.select(*cols)
+    if core is not None:
+        src = src.join(core.select("id", F.col("core_dist").alias("core")), "id")
+    else:
+        src = src.withColumn("core", F.lit(0.0))
+    kind, dim = vectors.kind, max(1, vectors.dim)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        ids = pdf["id"].to_numpy(np.int64)
+        x = to_matrix(pdf, kind, dim)
+        kc = pdf["core"].to_numpy(np.float64)
+        n = len(ids)
+        sq = np.einsum("ij,ij->i", x, x)
+        in_tree = np.zeros(n, dtype=bool)
+        best = np.full(n, np.inf)
+        frm = np.full(n, -1)
+        cur = 0
+        in_tree[0] = True
+        out_i, out_j, out_d = [], [], []
+        for _ in range(n - 1):
+            d2 = np.maximum(sq + sq[cur] - 2.0 * (x @ x[cur]), 0.0)
+            d = np.maximum(np.sqrt(d2), np.maximum(kc, kc[cur]))
+            better = (d < best) & ~in_tree
+            best = np.where(better, d, best)
+            frm = np.where(better, cur, frm)
+            cand = np.where(in_tree, np.inf, best)
+            nxt = int(np.argmin(cand))
+            a, b = ids[nxt], ids[frm[nxt]]
+            out_i.append(min(a, b)); out_j.append(max(a, b)); out_d.append(float(best[nxt]))
+            in_tree[nxt] = True
+            cur = nxt
+        return pd.DataFrame({"i": np.array(out_i, dtype=np.int64), "j": np.array(out_j, dtype=np.int64),
+                             "dist": np.array(out_d, dtype=np.float64)})
+    return cut_lineage(src.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "i long, j long, dist double"))
+
+
+def _kruskal_local(edges: DataFrame) -> DataFrame:
+    """Minimum spanning forest of <= LOCAL_EDGES edges in one task."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.minimum(pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64))
+        b = np.maximum(pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64))
+        w = pdf["dist"].to_numpy(np.float64)
+        order = np.lexsort((b, a, w))
+        verts, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+        ia, ib = inv[: len(a)], inv[len(a):]
+        parent = np.arange(len(verts))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+        keep = []
+        for k in order:
+            ra, rb = find(ia[k]), find(ib[k])
+            if ra != rb:
+                parent[ra] = rb
+                keep.append(k)
+        keep = np.array(keep, dtype=np.int64)
+        return pd.DataFrame({"i": a[keep] if len(keep) else np.array([], dtype=np.int64),
+                             "j": b[keep] if len(keep) else np.array([], dtype=np.int64),
+                             "dist": w[keep] if len(keep) else np.array([], dtype=np.float64)})
+    return cut_lineage(edges.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "i long, j long, dist double"))

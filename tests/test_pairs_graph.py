@@ -84,18 +84,18 @@ def test_connected_components_vs_naive(spark, local_edges):
     assert got == naive.components(list(range(220)), edges)
 
 
-@pytest.mark.parametrize("with_edges", [False, True])
-def test_spanning_forest_weight(spark, with_edges):
+@pytest.mark.parametrize("with_edges,local", [(False, 0), (False, 4096), (True, 0), (True, 10_000)])
+def test_spanning_forest_weight(spark, with_edges, local):
     rng = np.random.default_rng(11)
     X = rng.normal(size=(60, 3))
     v = dense(spark, X)
     d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     if with_edges:
         e = epsilon_join(v, 1.0)
-        forest = minimum_spanning_forest(v, edges=e)
+        forest = minimum_spanning_forest(v, edges=e, local_edges=local)
         cand = [(d[i, j], i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 1.0]
     else:
-        forest = minimum_spanning_forest(v)
+        forest = minimum_spanning_forest(v, local_points=local)
         cand = [(d[i, j], i, j) for i in range(60) for j in range(i + 1, 60)]
     want, used = naive.kruskal_weight(60, cand)
     rows = forest.collect()
