@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +59,16 @@ def segment(text: str | Column, method: str = "words") -> Column:
     return F.flatten(F.transform(words, split))
 
 
+def custom_segmenter(fn):
+    """Wrap a user segmenter ``fn(text) -> list[str]`` (e.g. a dictionary
+    segmenter) as an Arrow-batched Column function: ``seg(col) -> array<string>``.
+    Per-row Python is the user's own code; the batch transfer is vectorised."""
+    @F.pandas_udf("array<string>")
+    def _seg(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else list(fn(t)))
+    return _seg
+
+
 def remove_stopwords(tokens: str | Column, stopwords: Iterable[str]) -> Column:
     """Drop exact (case-sensitive) stop words; order and duplicates kept.
 

@@ -197,6 +197,17 @@ def similarity_matrix(pairs: DataFrame, ids: DataFrame, value: str = "sim") -> D
             .unionByName(diag))
 
 
+def similarity_matrix_wide(long: DataFrame, value: str = "sim") -> DataFrame:
+    """Square matrix with one column per id (``groupBy(i).pivot(j)``); only for
+    small n: refuses more columns than ``spark.sql.pivotMaxValues``."""
+    spark = long.sparkSession
+    cap = int(spark.conf.get("spark.sql.pivotMaxValues", "10000"))
+    ids = [r[0] for r in long.select("j").distinct().orderBy("j").limit(cap + 1).collect()]
+    if len(ids) > cap:
+        raise ValueError(f"more than {cap} columns; keep the long (i, j, {value}) form")
+    return long.groupBy("i").pivot("j", ids).agg(F.first(value)).orderBy("i")
+
+
 def kth_neighbor_distance(v: Vectors, k: int) -> DataFrame:
     """``(id, core_dist)``: distance to the k-th nearest point, the point itself
     counted first (so k=1 gives 0 with no join at all)."""
