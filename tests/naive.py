@@ -139,3 +139,24 @@ def metrics(t, p):
     fmi = math.sqrt(tp / (sb2 - n)) * math.sqrt(tp / (sa2 - n)) if tp else 0.0
     pur = sum(max(v_ for (x, y), v_ in cont.items() if y == yy) for yy in b) / n
     return dict(purity=pur, mi=mi, ami=ami, homogeneity=hom, completeness=com, v_measure=v, ari=ari, fmi=fmi)
+
+
+def average_linkage(X, threshold=None, k=None):
+    clusters = {i: [i] for i in range(len(X))}
+    d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    while len(clusters) > 1:
+        if k is not None and len(clusters) <= k:
+            break
+        keys = sorted(clusters)
+        best = None
+        for ai in range(len(keys)):
+            for bi in range(ai + 1, len(keys)):
+                a, b = keys[ai], keys[bi]
+                dd = d[np.ix_(clusters[a], clusters[b])].mean()
+                if best is None or dd < best[0]:
+                    best = (dd, a, b)
+        dd, a, b = best
+        if threshold is not None and dd >= threshold:
+            break
+        clusters[a] += clusters.pop(b)
+    return {m: min(mem) for mem in clusters.values() for m in mem}
