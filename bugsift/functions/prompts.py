@@ -171,24 +171,33 @@ def parse_triple(reply: Column) -> Column:
 
 
 def encode_fixed_length(tokens: DataFrame, vocab: DataFrame, *, id_col: str, n: int = 50,
-                        tokens_col: str = "tokens", vocab_bound: int | None = None) -> DataFrame:
-    """``(id, input_ids array<int>, attention_mask array<int>)`` of length ``n``.
-
-    Ids: 0 = padding, 1 = unknown, term_idx + 2 otherwise. The first ``n``
-    tokens are encoded (fixed-length model input is the point of the operator).
+                        tokens_col: str = "tokens", vocab_bound: int | None = None,
+                        overflow: str = "chunks") -> DataFrame:
+    """Fixed-length model input: ``(id, chunk, input_ids array<int>, attention_mask array<int>)``.
+
+    Ids: 0 = padding, 1 = unknown, term_idx + 2 otherwise. ``overflow='chunks'``
+    (default) encodes the whole text as consecutive windows of ``n`` tokens
+    (chunk 0, 1, ...; a text without tokens gives one all-padding chunk);
+    ``'truncate'`` keeps only chunk 0, the classic truncating encoder.
     The vocabulary is broadcast only under a known size bound (``vocab_bound``,
     e.g. the vectoriser's ``max_features``); otherwise AQE decides at run time."""
     from ..operators.features import BROADCAST_TERMS
-    ex = tokens.select(id_col, F.posexplode(F.slice(tokens_col, 1, n)).alias("pos", "term"))
+    if overflow not in ("chunks", "truncate"):
+        raise ValueError("overflow must be 'chunks' or 'truncate'")
+    toks = F.col(tokens_col) if overflow == "chunks" else F.slice(tokens_col, 1, n)
+    ex = tokens.select(id_col, F.posexplode(toks).alias("pos", "term"))
     v = vocab.select("term", "term_idx")
     if vocab_bound is not None and vocab_bound <= BROADCAST_TERMS:
         v = F.broadcast(v)
     ids = ex.join(v, "term", "left").select(
-        id_col, "pos", F.coalesce(F.col("term_idx") + 2, F.lit(1)).cast("int").alias("tid"))
-    grouped = ids.groupBy(id_col).agg(
+        id_col, (F.col("pos") / n).cast("long").alias("chunk"), "pos",
+        F.coalesce(F.col("term_idx") + 2, F.lit(1)).cast("int").alias("tid"))
+    # a chunk holds n tokens: grouping (id, chunk) is bounded by n, and reuses the id partitioning
+    grouped = ids.groupBy(id_col, "chunk").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "tid"))), lambda e: e["tid"]).alias("ids"))
-    full = tokens.select(id_col).join(grouped, id_col, "left").select(
-        id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    pad = lambda arr, v: F.concat(arr, F.array_repeat(F.lit(v), F.lit(n) - F.size(arr)))
-    return full.select(id_col, pad(F.col("ids"), 0).alias("input_ids"),
+    empty = tokens.where(F.coalesce(F.size(tokens_col), F.lit(0)) <= 0).select(
+        id_col, F.lit(0).cast("long").alias("chunk"), F.array().cast("array<int>").alias("ids"))
+    full = grouped.unionByName(empty)
+    pad = lambda arr, val: F.concat(arr, F.array_repeat(F.lit(val), F.lit(n) - F.size(arr)))
+    return full.select(id_col, "chunk", pad(F.col("ids"), 0).alias("input_ids"),
                        pad(F.transform("ids", lambda _: F.lit(1)), 0).alias("attention_mask"))

@@ -143,18 +143,22 @@ def q_length_histogram(spark, sf):
 
 
 @query("encode_fixed_length", f"""WITH {vectorizer_ctes(TEST)},
-  ex AS (SELECT doc, unnest(t[1:50]) AS term, generate_subscripts(t[1:50], 1) AS pos FROM toks),
-  ids AS (SELECT ex.doc, list(coalesce(vix.term_idx + 2, 1) ORDER BY ex.pos) AS ids
-          FROM ex LEFT JOIN vix USING (term) GROUP BY ex.doc)
-SELECT d.doc_id, array_to_string(list_concat(coalesce(ids.ids, []), list_transform(range(50 - len(coalesce(ids.ids, []))), lambda x: 0)), ' ') AS input_ids,
-       len(coalesce(ids.ids, []))::INT AS n_real
-FROM documents d LEFT JOIN ids ON ids.doc = d.doc_id""")
+  ex AS (SELECT doc, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM toks),
+  ids AS (SELECT ex.doc, pos // 50 AS chunk, list(coalesce(vix.term_idx + 2, 1) ORDER BY ex.pos) AS ids
+          FROM ex LEFT JOIN vix USING (term) GROUP BY ex.doc, pos // 50),
+  allc AS (SELECT doc, chunk, ids FROM ids
+           UNION ALL SELECT doc, 0, [] FROM toks WHERE len(t) = 0)
+SELECT doc AS doc_id, chunk::BIGINT AS chunk,
+       array_to_string(list_concat(ids, list_transform(range(50 - len(ids)), lambda x: 0)), ' ') AS input_ids,
+       len(ids)::INT AS n_real
+FROM allc""")
 def q_encode_fixed_length(spark, sf):
+    """Whole texts as consecutive 50-token windows over the TEST vocabulary."""
     docs = table(spark, sf, "documents")
     f = feat.fit_transform(docs, TEST)
     toks = docs.select("doc_id", word_tokens("text").alias("tokens"))
     enc = P.encode_fixed_length(toks, f.vocab, id_col="doc_id", n=50, vocab_bound=TEST.max_features)
-    return enc.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
+    return enc.select("doc_id", "chunk", F.array_join("input_ids", " ").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("int").alias("n_real"))
 
 

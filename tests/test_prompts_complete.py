@@ -82,3 +82,14 @@ def test_perturb_is_deterministic(spark):
     b = [r.p for r in df.repartition(5).orderBy("id").select(
         P.perturb_text(F.col("t"), F.col("id"), "s").alias("p")).collect()]
     assert a == b and len(set(a)) > 5 and all(x.startswith("x") for x in a)
+
+
+def test_encode_fixed_length_chunks_whole_text(spark):
+    toks = spark.createDataFrame([(1, ["a", "b", "zz", "a", "b"]), (2, [])], "id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "term string, term_idx int")
+    out = {(r.id, r.chunk): (r.input_ids, r.attention_mask)
+           for r in P.encode_fixed_length(toks, vocab, id_col="id", n=2, vocab_bound=2).collect()}
+    assert out == {(1, 0): ([2, 3], [1, 1]), (1, 1): ([1, 2], [1, 1]), (1, 2): ([3, 0], [1, 0]),
+                   (2, 0): ([0, 0], [0, 0])}
+    trunc = P.encode_fixed_length(toks, vocab, id_col="id", n=2, overflow="truncate").collect()
+    assert sorted((r.id, r.chunk, r.input_ids) for r in trunc) == [(1, 0, [2, 3]), (2, 0, [0, 0])]
