@@ -185,6 +185,12 @@ def pairwise_cosine(v: Vectors, min_similarity: float) -> DataFrame:
     sparse by the threshold (pairs below it are the matrix's omitted entries)."""
     if min_similarity <= 0:
         raise ValueError("min_similarity must be > 0; the full n^2 matrix is not materialised")
+    if choose_method(v) == "index" and min_similarity <= 1.0:
+        # unit rows: cos >= s  <=>  distance <= sqrt(2 - 2s); rows without terms have cos 0
+        nonzero = v.where_ids(F.size("idx") > 0)
+        eps = math.sqrt(max(0.0, 2.0 - 2.0 * min_similarity))
+        return _index_join(nonzero, eps).select(
+            "i", "j", (F.lit(1.0) - F.col("dist") * F.col("dist") / 2.0).alias("sim"))
     out = _run(v, blocks.threshold_pairs_kernel(min_sim=min_similarity), blocks.PAIR_SCHEMA)
     return out.select("i", "j", "sim")
 

@@ -148,3 +148,18 @@ def test_index_join_equals_blocks(spark):
             a = {r.id: r.label for r in dbscan(v, eps, ms, method="blocks").collect()}
             b = {r.id: r.label for r in dbscan(v, eps, ms, method="index").collect()}
             assert a == b
+
+
+def test_pairwise_cosine_index_path(spark):
+    from bugsift.operators import pairs
+    texts = ["aa bb cc", "aa bb", "bb cc dd", "zz", "aa aa bb cc", "dd ee", "ee ff gg", "cc dd ee ff"] * 2
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    v = Vectors.sparse(feat.fit_transform(d, feat.VectorizerConfig(min_df=2)))
+    blk = {(r.i, r.j): round(r.sim, 9) for r in pairwise_cosine(v, 0.3).collect()}
+    old = pairs.BLOCKS_MAX_WORK
+    try:
+        pairs.BLOCKS_MAX_WORK = 0  # force the inverted-index path
+        idx = {(r.i, r.j): round(r.sim, 9) for r in pairwise_cosine(v, 0.3).collect()}
+    finally:
+        pairs.BLOCKS_MAX_WORK = old
+    assert blk == idx and len(blk) > 5
