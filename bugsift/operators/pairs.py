@@ -136,7 +136,6 @@ def _index_join(v: Vectors, eps: float) -> DataFrame:
     if v.kind != "sparse" or v.vocab is None or not v.unit_or_zero:
         raise ValueError("the index method needs L2-normalised sparse rows")
     s = 1.0 - eps * eps / 2.0
-    spark = v.df.sparkSession
     order = ordered_index(v.vocab.select("term_idx", "df"), ["df", "term_idx"], "ord")
     long = v.df.select(F.col(v.id_col).alias("id"), F.explode(F.arrays_zip("idx", "w")).alias("e")) \
                .select("id", F.col("e.idx").alias("term_idx"), F.col("e.w").alias("w"))
@@ -174,7 +173,6 @@ def _index_join(v: Vectors, eps: float) -> DataFrame:
         zz = za.join(zb, F.col("za.id") < F.col("zb.id")).select(
             F.col("za.id").alias("i"), F.col("zb.id").alias("j"), F.lit(0.0).alias("dist"))
         pairs = pairs.unionByName(zz)
-    _ = spark
     return pairs
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators.dbscan import cluster_sizes, dbscan

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources import batches as B
-from ..sources.io import apply_blank_policy, slice_columns
+from ..sources.io import slice_columns
 from .catalog import query, table
 
 
@@ -13,7 +11,7 @@ from .catalog import query, table
        coalesce(source, '') AS source, n_chars FROM documents""")
 def q_read_reports(spark, sf):
     from ..sources.io import read_reports
-    return read_reports(spark, f"{sf}/documents.parquet", blank="empty")
+    return read_reports(spark, f"{sf}/documents.parquet", blank="empty", id_col="doc_id")
 
 
 @query("slice_columns", "SELECT text, lang, source FROM documents")
@@ -41,5 +39,3 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def q_resume_pending(spark, sf):
     return B.resume_pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
-
-_ = (F, apply_blank_policy)

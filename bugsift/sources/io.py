@@ -14,15 +14,18 @@ MAX_STOPWORDS = 100_000
 
 def read_reports(spark: SparkSession, path: str, *, fmt: str = "parquet", schema=None,
                  blank: str = "empty", text_cols: Iterable[str] | None = None,
-                 options: dict | None = None) -> DataFrame:
+                 options: dict | None = None, id_col: str | None = None) -> DataFrame:
     """Load a report table. ``blank``: ``'empty'`` turns null text into '' (rows
-    kept), ``'drop'`` removes rows whose text is null or blank, ``'keep'`` leaves nulls."""
+    kept), ``'drop'`` removes rows whose text is null or blank, ``'keep'`` leaves nulls.
+    With ``id_col`` the ids are checked (no null, no duplicate: one aggregation)."""
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     df = reader.load(path)
+    if id_col is not None:
+        check_ids(df, id_col)
     return apply_blank_policy(df, blank=blank, text_cols=text_cols)
 
 
