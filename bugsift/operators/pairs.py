@@ -167,7 +167,7 @@ def _index_join(v: Vectors, eps: float) -> DataFrame:
     n_zero = zero.count()
     if n_zero > ZERO_PAIRS_MAX:
         raise ValueError(f"{n_zero} rows have no term; their {n_zero * (n_zero - 1) // 2} mutual pairs are "
-                         "not listed (dbscan handles them as one clique without pairs)")
+                         "not listed (dbscan collapses identical rows and never lists them)")
     if n_zero > 1:
         za, zb = zero.alias("za"), zero.alias("zb")
         zz = za.join(zb, F.col("za.id") < F.col("zb.id")).select(

@@ -163,3 +163,11 @@ def test_pairwise_cosine_index_path(spark):
     finally:
         pairs.BLOCKS_MAX_WORK = old
     assert blk == idx and len(blk) > 5
+
+
+@pytest.mark.parametrize("ms", [2, 5, 40])
+def test_dbscan_with_a_hot_group_of_copies(spark, ms):
+    rng = np.random.default_rng(ms)
+    X = np.vstack([np.tile([[0.5, 0.5]], (30, 1)), rng.uniform(0, 3, (40, 2)), np.tile([[2.0, 2.0]], (3, 1))])
+    got = {r.id: r.label for r in dbscan(dense(spark, X), 0.4, ms).collect()}
+    assert [got[i] for i in range(len(X))] == list(naive.dbscan(X, 0.4, ms))
