@@ -75,7 +75,7 @@ class Vectors:
         return self.df.select(F.col(self.id_col).alias("id"))
 
 
-def collapse_duplicates(v: Vectors) -> tuple[Vectors, DataFrame, DataFrame]:
+def collapse_duplicates(v: Vectors, exact_count: bool = True) -> tuple[Vectors, DataFrame, DataFrame]:
     """Identical rows -> one representative (smallest id) with a weight.
 
     Returns (representative vectors, ``(id, w)`` weights, ``(id, rep)`` for
@@ -86,7 +86,8 @@ def collapse_duplicates(v: Vectors) -> tuple[Vectors, DataFrame, DataFrame]:
     rows = v.df.select(F.col(v.id_col).alias("id"), *key)
     groups = cut_lineage(rows.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     reps_df = groups.select(F.col("rep").alias(v.id_col), *key)
-    reps = replace(v, df=reps_df, n_rows=groups.count())
+    # without exact_count the input row count stands in as an upper bound (block planning)
+    reps = replace(v, df=reps_df, n_rows=groups.count() if exact_count else v.n_rows)
     weights = groups.select(F.col("rep").alias("id"), F.col("n").alias("w"))
     members = rows.join(groups.select(*key, "rep"), key).select("id", "rep")
     return reps, weights, members
