@@ -28,6 +28,8 @@ from .ranking import ordered_index
 
 # Largest vocabulary shipped to every task by an explicit broadcast hint.
 BROADCAST_TERMS = 2_000_000
+# Largest measured vocabulary (estimated bytes) broadcast without a known bound.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -128,6 +130,18 @@ def vocabulary(counts: DataFrame, n_docs: int, cfg: VectorizerConfig) -> DataFra
     return ordered_index(stats, ["term"], "term_idx").withColumn("term_idx", F.col("term_idx").cast("int"))
 
 
+def vocab_fits_broadcast(vocab: DataFrame, cfg: VectorizerConfig) -> bool:
+    """Broadcast the vocabulary only under a checked size: ``max_features`` rows
+    (a bound known before running), or else its measured size (one small
+    aggregation over the materialised vocabulary) under ``BROADCAST_BYTES``.
+    Beyond that the join is a shuffle join on term."""
+    if cfg.max_features is not None and cfg.max_features <= BROADCAST_TERMS:
+        return True
+    row = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).collect()[0]
+    est = (row["chars"] or 0) * 2 + row["n"] * 48
+    return row["n"] <= BROADCAST_TERMS and est <= BROADCAST_BYTES
+
+
 def _tf_weight(cfg: VectorizerConfig):
     tf = F.col("tf").cast("double")
     if cfg.sublinear_tf and not cfg.binary:
@@ -140,8 +154,9 @@ def sparse_rows(counts: DataFrame, vocab: DataFrame, cfg: VectorizerConfig, id_c
 
     Documents with no vocabulary term get an empty ``vec`` (zero rows)."""
     v = vocab.select("term", "term_idx", "idf")
-    if cfg.max_features is not None and cfg.max_features <= BROADCAST_TERMS:
-        v = F.broadcast(v)  # size bound: max_features rows
+    if vocab_fits_broadcast(vocab, cfg):
+        # keeps the document partitioning: no shuffle of the (doc, term) rows
+        v = F.broadcast(v)
     joined = counts.join(v, "term", "left")
     entry = F.when(F.col("term_idx").isNotNull(),
                    F.struct(F.col("term_idx"), F.col("term"),
