@@ -9,6 +9,7 @@ when it is unset.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +71,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``bugsift`` importable in the Python workers (kernels and UDFs are
+    pickled by reference): zip the package once per SparkContext and add it
+    with ``addPyFile`` -- the same mechanism as ``--py-files`` on a cluster.
+    No-op when the workers already see it (e.g. installed on every node)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bugsift_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = tempfile.mkdtemp(prefix="bugsift-pyfiles-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "bugsift"), "zip", root_dir=root, base_dir="bugsift")
+    sc.addPyFile(archive)
+    sc._bugsift_shipped = True
