@@ -38,6 +38,7 @@ def local_session(cpus: int | str = "*", app: str = "bugsift",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark, allow_local_default=True)
+    ship_package(spark)
     return spark
 
 
