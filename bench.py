@@ -30,6 +30,7 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
 
+    from bugsift import session as S
     from bugsift.session import local_session
     from bugsift.plans.catalog import QUERIES
 
@@ -40,11 +41,12 @@ def main() -> None:
              "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"} if events else {}
     spark = local_session(cpus, app="bugsift-bench", extra=extra)
     sc = spark.sparkContext
-    times, rows = {}, {}
+    times, rows, rounds = {}, {}, {}
     for name in names:
         runs = []
         for k in range(repeats + 1):
             sc.setJobGroup(f"{name}#{k}", name)
+            S.LOOP_ROUNDS.clear()
             t0 = time.perf_counter()
             df = QUERIES[name](spark, sf_dir)
             df.write.format("noop").mode("overwrite").save()
@@ -53,6 +55,8 @@ def main() -> None:
             if k > 0 or repeats == 0:
                 runs.append(dt)
         times[name] = round(statistics.median(runs), 3)
+        if S.LOOP_ROUNDS:
+            rounds[name] = dict(S.LOOP_ROUNDS)
         sc.setJobGroup(f"{name}#rows", name)
         rows[name] = QUERIES[name](spark, sf_dir).count()
         spark.catalog.clearCache()
@@ -61,7 +65,7 @@ def main() -> None:
     spark.stop()
     shuffle = shuffle_bytes(log_dir, repeats) if events else {}
     print(json.dumps({"metric": "headline_total_median", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "rows": rows, "shuffle_bytes": shuffle, "sf": sf,
+                      "unit": "sec", "queries": times, "rows": rows, "shuffle_bytes": shuffle, "loop_rounds": rounds, "sf": sf,
                       "cpus": cpus, "repeats": repeats}))
 
 

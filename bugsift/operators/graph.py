@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import count_round, cut_lineage
 
 
 # An edge set this small is finished in one task (the group is bounded by this
@@ -98,6 +98,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
     e = cut_lineage(e)
     prev = None
     for _ in range(max_rounds):
+        count_round("components")
         n_e = e.count()
         if n_e <= local_edges:
             out = _finish_local(e)
@@ -166,6 +167,7 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: Da
     comp = cut_lineage(ids.select("id", F.col("id").alias("comp")))
     forest = None
     for _ in range(max_rounds):
+        count_round("boruvka")
         if edges is None:
             v = vectors.df.withColumnRenamed(vectors.id_col, "id") if vectors.id_col != "id" else vectors.df
             vc = v.join(comp, "id")

@@ -15,6 +15,15 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Rounds run by the iterative operators (connected components, Borůvka, Ward),
+# per loop name; read and reset by bench.py. Driver-side counters only.
+LOOP_ROUNDS: dict[str, int] = {}
+
+
+def count_round(loop: str) -> None:
+    LOOP_ROUNDS[loop] = LOOP_ROUNDS.get(loop, 0) + 1
+
+
 def local_session(cpus: int | str = "*", app: str = "bugsift",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
