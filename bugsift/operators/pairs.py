@@ -47,12 +47,11 @@ class Vectors:
     @staticmethod
     def dense(df: DataFrame, id_col: str, vec_col: str) -> "Vectors":
         v = df.select(F.col(id_col), F.col(vec_col).cast("array<double>").alias("vec"))
-        first = v.select(F.size("vec").alias("d")).where(F.col("d") > 0).limit(1).collect()
-        dim = first[0]["d"] if first else 0
-        bad = v.where(F.size("vec") != dim).limit(1).count()
-        if bad:
+        row = v.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vec")).alias("lo"),
+                    F.max(F.size("vec")).alias("hi")).collect()[0]
+        if row["n"] and row["lo"] != row["hi"]:
             raise ValueError("vectors must all have the same length")
-        return Vectors(v, id_col, "dense", dim, v.count())
+        return Vectors(v, id_col, "dense", int(row["hi"] or 0), int(row["n"]))
 
     @staticmethod
     def sparse(features: Features) -> "Vectors":
