@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from ..operators import features as feat
 from ..operators.dbscan import cluster_sizes, dbscan
 from ..operators.graph import connected_components, minimum_spanning_forest
 from ..operators.pairs import (Vectors, epsilon_join, kth_neighbor_distance, pairwise_cosine,
                                similarity_matrix)
 from .catalog import query, r6, table
-from .presets import TEST
+from .presets import PRESETS, TEST
 from .sqlgen import vectorizer_ctes
 
 EMB_SQL = """emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -20,10 +22,11 @@ EMB_SQL = """emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM
            FROM emb a JOIN emb b ON a.id < b.id)"""
 
 
-def doc_pairs_sql(eps: float) -> str:
-    """CTEs ``pairs(i, j, dist)`` for the document eps-graph under the TEST preset
-    (term join for unit rows, plus the zero rows linked to each other)."""
-    return f"""{vectorizer_ctes(TEST)},
+def doc_pairs_sql(eps: float, cfg=TEST) -> str:
+    """CTEs ``pairs(i, j, dist)`` for the document eps-graph under a preset
+    (TEST by default): term join for unit rows, plus the zero rows linked to
+    each other."""
+    return f"""{vectorizer_ctes(cfg)},
     dots AS (SELECT a.doc AS i, b.doc AS j, sum(a.w * b.w) AS dot
              FROM wts a JOIN wts b ON a.term = b.term AND a.doc < b.doc GROUP BY a.doc, b.doc),
     zr AS (SELECT doc_id AS doc FROM documents WHERE doc_id NOT IN (SELECT doc FROM wts)),
@@ -167,3 +170,32 @@ def q_export_clusters(spark, sf):
     from ..sources.export import export_clusters
     lab = dbscan(_docs(spark, sf), 0.4, 2).withColumnRenamed("id", "doc_id")
     return export_clusters(table(spark, sf, "documents"), lab, id_col="doc_id", text_col="text")
+
+
+_DBSCAN_TI = PRESETS["dbscan_ti"]
+
+
+def _scores_sql_dbscan_ti() -> str:
+    from .q_metrics import scores_sql
+    eps = _DBSCAN_TI.clusterers["dbscan"]["eps"]
+    ms = _DBSCAN_TI.clusterers["dbscan"]["min_samples"]
+    long = """long AS (SELECT 'dbscan_ti' AS method, d.lang AS t, CAST(l.label AS VARCHAR) AS p
+                       FROM documents d JOIN labf l ON l.id = d.doc_id)"""
+    return (f"WITH RECURSIVE {doc_pairs_sql(eps, _DBSCAN_TI.vectorizer)}, {dbscan_sql(ms)}, "
+            + scores_sql(long))
+
+
+@query("dbscan_ti_scores", _scores_sql_dbscan_ti() + """
+SELECT method, round(purity, 6) AS purity, round(ami, 6) AS ami, round(v_measure, 6) AS v_measure FROM sc""")
+def q_dbscan_ti_scores(spark, sf):
+    """The reference's dbscan_ti run end to end: preset features (1-2-grams,
+    max_df 0.7, min_df 12, top 5000, TF, L2), DBSCAN(0.71, 1), scored against
+    the document language with purity, AMI and V-measure."""
+    from ..operators import metrics as M
+    docs = table(spark, sf, "documents")
+    v = Vectors.sparse(feat.fit_transform(docs, _DBSCAN_TI.vectorizer))
+    lab = dbscan(v, **_DBSCAN_TI.clusterers["dbscan"]).withColumnRenamed("id", "doc_id")
+    long = docs.select("doc_id", "lang").join(lab, "doc_id").select(
+        F.lit("dbscan_ti").alias("method"), F.col("lang").alias("y_true"),
+        F.col("label").cast("string").alias("y_pred"))
+    return M.scores(long).select("method", *[r6(m).alias(m) for m in ("purity", "ami", "v_measure")])
