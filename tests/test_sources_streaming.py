@@ -10,6 +10,14 @@ from bugsift.sources.io import (apply_blank_policy, check_ids, read_reports, rea
                                 remove_stopwords_join, slice_columns, write_table)
 
 
+def test_read_reports_checks_ids(spark):
+    path = tempfile.mkdtemp(prefix="bugsift-ids-", dir="/tmp")
+    spark.createDataFrame([(1, "a"), (None, "b")], "id long, text string").write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError):
+        read_reports(spark, path, id_col="id")
+    assert read_reports(spark, path).count() == 2
+
+
 def test_blank_policy_and_slice(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, " ", "y"), (3, "ok", None)], "id long, a string, b string")
     assert [r.a for r in apply_blank_policy(df, blank="empty").orderBy("id").collect()] == ["", " ", "ok"]
@@ -80,3 +88,11 @@ def test_streaming_extraction_idempotent(spark):
     out = spark.read.parquet(os.path.join(root, "out"))
     assert sorted(r.id for r in out.collect()) == [1, 2, 3]
     assert {r.id: r.triple_status for r in out.collect()}[2] in ("ok", "error")
+    # a restart on the same checkpoint processes only new files: no duplicates
+    spark.createDataFrame([(4, "new report here")], schema).write.parquet(os.path.join(src, "f3"))
+    q = start_extraction_stream(spark, source=os.path.join(src, "*"), schema=schema, sink=os.path.join(root, "out"),
+                                checkpoint=os.path.join(root, "ck"), completer_factory=echo_completer_factory(),
+                                trigger_once=True)
+    q.awaitTermination(120)
+    again = spark.read.parquet(os.path.join(root, "out"))
+    assert sorted(r.id for r in again.collect()) == [1, 2, 3, 4]
