@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, quality_rules, secret_scan, sentencepiece_bpe
+from . import (chat_format, decontaminate, html_extract, ngram_join, quality_rules, secret_scan,
+               sentencepiece_bpe, sharding, substring_dedup, toxicity)
 from .common import table
 
 
@@ -20,10 +21,18 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +45,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model)
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    weights = html_extract.train(html_extract.labelled_pages(pages, table(spark, sf_dir, "documents")))
+    return html_extract.extract(pages, weights)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def chat_events(conversations: DataFrame) -> DataFrame:
     """The conversations as an event log: a row is a message; assistant rows
     arrive as an empty message and two streamed deltas."""
@@ -67,10 +92,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_toxicity": op7_toxicity,
+    "op8_html_extract": op8_html_extract,
+    "op9_sharding": op9_sharding,
     "op10_chat_format": op10_chat_format,
 }
 

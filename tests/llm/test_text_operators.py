@@ -1,0 +1,175 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from bugsift.llm import ngram_join, quality_rules, sentencepiece_bpe, substring_dedup
+from bugsift.llm.queries import piece_model
+
+from . import brute
+
+SF = "/root/testdata/sf0.001"
+
+
+def corpus(seed=3, n=90):
+    """Texts with copies, near copies at the threshold, shared passages, nulls, long rows."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)] + ["the", "of", "and", "É", "漢字", "x_1"]
+    base = [[rng.choice(vocab) for _ in range(rng.choice([3, 5, 20, 60, 200]))] for _ in range(14)]
+    passage = [rng.choice(vocab) for _ in range(40)]
+    rows = []
+    for i in range(n):
+        w = list(rng.choice(base))
+        kind = rng.random()
+        if kind < 0.3:
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+        elif kind < 0.5:
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = passage[:rng.choice([12, 13, 14, 40])]
+        elif kind < 0.6:
+            w = w + w
+        sep = rng.choice([" ", "  ", "\n", "\t"])
+        text = sep.join(w)
+        rows.append((i * 3 + 1, text.upper() if rng.random() < 0.1 else text))
+    rows += [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "ONE"), (1005, "a b c d"),
+             (1006, " ".join(rng.choice(vocab) for _ in range(9000))), (0, "the the the the the the " * 30)]
+    return rows
+
+
+def frame(spark, rows, parts=5):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "n", "digest", "shard", "a", "b", "tok", "starts", "_t"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df.repartition(parts)
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 7)])
+def test_jaccard_join_equals_all_pairs(spark, seed, parts):
+    rows = corpus(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in ngram_join.classes(frame(spark, rows, parts)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
+def test_jaccard_join_on_real_rows_and_long_lists(spark, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    # many near copies of one text, so that lists are long and answers are skipped
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(60)]
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"z{rng.randrange(9)}"
+        rows.append((10_000 + k, " ".join(w)))
+    monkeypatch.setattr(ngram_join, "LIST_PAIRS", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in ngram_join.classes(frame(spark, rows)).collect()}
+    assert got == brute.jaccard_components(rows)
+
+
+def test_jaccard_join_null_ids_shared_ids_and_empty(spark):
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "p q r s t u"), (7, "p q r s t u"), (9, "a b c d e f"), (9, "a b c d e f")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in
+                  ngram_join.classes(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 2, None), (5, 2, 5), (5, 2, 5), (7, 2, 5), (9, 2, 5), (9, 2, 5)], key=str)
+    assert ngram_join.classes(frame(spark, [])).collect() == []
+
+
+def test_jaccard_keep_one(spark):
+    rows = corpus(4)
+    comp = brute.jaccard_components(rows)
+    df = frame(spark, rows)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in comp.items() if c == d}
+
+
+@pytest.mark.parametrize("seed,parts,width", [(1, 1, 1 << 20), (2, 6, 1 << 10)])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, seed, parts, width):
+    monkeypatch.setattr(substring_dedup, "MIN_COUNTERS", width)
+    monkeypatch.setattr(substring_dedup, "MAX_COUNTERS", width)
+    monkeypatch.setattr(substring_dedup, "SHARD_BITS", 8)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2000)
+    rows = corpus(seed)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"])
+           for r in substring_dedup.dedup(frame(spark, rows, parts)).collect()}
+    assert got == {d: (n, k, t, brute.sha(t)) for d, (n, k, t) in brute.substring_removal(rows).items()}
+
+
+def test_substring_dedup_edges(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(None, passage), (4, passage), (4, passage), (6, "x " + passage)]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in
+                  substring_dedup.dedup(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 20, 0), (4, 20, 0), (4, 20, 0), (6, 21, 20)], key=str)
+    assert substring_dedup.dedup(frame(spark, [])).collect() == []
+
+
+def piece_rows():
+    rng = random.Random(2)
+    bits = ["the", "ing", " ", "  ", "\n", "\t", "漢", "é", "💩", "▁", "<s>", "\x00", "a", "Thanon", "<0x0A>", "ß", "."]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randrange(40)))) for i in range(300)]
+    return rows + [(900, None), (901, ""), (902, " "), (903, "a" * 30_000), (904, "ab " * 10_000)]
+
+
+def test_sentencepiece_equals_the_library(spark):
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    rows = piece_rows() + [(2000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = frame(spark, rows)
+    want = {d: lib.encode(t or "") for d, t in rows}
+    enc = sentencepiece_bpe.encode_documents(df, piece_model())
+    assert {r["doc_id"]: r["ids"] for r in enc.collect()} == want
+    dec = sentencepiece_bpe.decode_documents(enc, piece_model())
+    assert {r["doc_id"]: r["text"] for r in dec.collect()} == {d: lib.decode(i) if i else "" for d, i in want.items()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"])
+           for r in sentencepiece_bpe.round_trip(df, piece_model()).collect()}
+    assert got == {d: (len(i), brute.sha(",".join(map(str, i))), brute.sha(lib.decode(i) if i else ""))
+                   for d, i in want.items()}
+    assert sentencepiece_bpe.round_trip(frame(spark, []), piece_model()).collect() == []
+
+
+def test_adjacency_is_needed():
+    """Greedy longest matches alone are not the merge order's segmentation."""
+    m = sentencepiece_bpe.load(piece_model())
+    texts = ["▁thanonontion", "▁eventhough", "▁nthe", "▁erstlyat"]
+    greedy = [[i for _, i in m.find.iter_long(t)] for t in texts]
+    assert [m.run(t) for t in texts] != greedy
+
+
+def test_quality_measures(spark):
+    rows = corpus(6) + [(2000, "a b c " * 40), (2001, "One two three. " * 20), (2002, "x\ny\nx\n\n \nx y z"),
+                        (2003, "#a *b $c %d &e |f <g >h " * 10), (2004, "SHOUT!! " * 60)]
+    got = {r["doc_id"]: r for r in quality_rules.assess(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        w, r = brute.WORD.findall(t or ""), got[d]
+        lines = [x for x in (t or "").split("\n") if brute.WORD.search(x)]
+        rep = brute.repeat_words(w)
+        failed = len(w) < 50 or 100 * rep > 50 * len(w)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (
+            len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), rep, failed), d
+        assert not (failed and r["kept"])
+
+
+def test_quality_order_changes_no_verdict(spark):
+    df = frame(spark, corpus(7) + [(2000, "SHOUT!! " * 60), (2001, "ab## " * 80)])
+    want = None
+    for order in (list(quality_rules.RULES), list(quality_rules.RULES)[::-1], None):
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.assess(df, order=order).collect()}
+        kept = {r["doc_id"] for r in quality_rules.keep_good(df, order=order).collect()}
+        assert kept == {d for d, k in got.items() if k}
+        assert want in (None, got)
+        want = got
+    assert quality_rules.keep_good(df).columns == df.columns
+    assert quality_rules.assess(frame(spark, [])).collect() == []
+
+
+def test_few_and_many_repeats_agree(spark, monkeypatch):
+    rows = corpus(8)
+    monkeypatch.setattr(quality_rules, "FEW", 0)
+    many = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.assess(frame(spark, rows)).collect()}
+    monkeypatch.setattr(quality_rules, "FEW", 10 ** 6)
+    few = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.assess(frame(spark, rows)).collect()}
+    assert many == few
