@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import min_label_components
 from ..session import ensure_checkpoint_dir, ship_package
 
 CHUNK_BYTES = 6 << 20
@@ -110,11 +111,19 @@ def row_of(off: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(id, component_id)`` for every vertex of links (a, b); component_id is
     the smallest id. Alternating large-star / small-star rounds (Kiveris et
-    al., 2014): every edge list stays at most as long as it began, no group is
-    collected, each round is checkpointed, and the loop ends at a fixed point.
+    al., 2014) over what is left after each partition has replaced its own links
+    by a star per component (at most its vertices). No group is collected, each
+    round is checkpointed, and the loop ends at a fixed point.
     """
-    e = cut(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-            .where("hi <> lo").distinct())
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = c = np.zeros(0, np.int64)
+        for b in batches:
+            v, c = min_label_components(np.concatenate([v, b.column(0).to_numpy()]),
+                                        np.concatenate([c, b.column(1).to_numpy()]))
+        yield pa.RecordBatch.from_arrays([pa.array(v[v != c]), pa.array(c[v != c])], ["hi", "lo"])
+
+    e = cut(links.select(F.col("a").alias("hi"), F.col("b").alias("lo")).where("hi <> lo")
+            .mapInArrow(stars, "hi long, lo long").distinct())
     last = None
     for _ in range(max_rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(

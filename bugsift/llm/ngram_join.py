@@ -17,8 +17,9 @@ Exact, after Wang, Qin, Lin, Zhang, Chang (VLDB 2017), as Spark jobs:
    are skipped.
 4. Answer skipping. Long lists first yield only neighbouring pairs. Once these
    are verified, a set's links follow from those of the similar sets it is
-   linked with: pairs inside a component need no check. Only list entries in
-   different components are paired and verified after that.
+   linked with: pairs inside a component need no check. A round then pairs
+   one entry of each component in a list with the set that is in most lists,
+   and what still is in different components is paired and verified in full.
 5. Components of the verified links (star rounds, checkpointed).
 
 Nulls and empty texts have no shingles and link with nothing; a null id keeps
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (U64, components, cut, gram_hashes, mix, partitions, prepare, row_of, text_chunks,
@@ -47,6 +48,8 @@ HOT_LOCAL = 3             # copies within one block of sets that are reported
 HOT_MAX = 500_000         # bound of the table of frequent shingles (12 bytes each)
 HOT_BLOCK = 3_000_000     # shingles counted together in a task
 LIST_PAIRS = 8            # lists up to this length are paired at once
+HEAD_ROUNDS = 1           # such rounds (odd ones pair neighbours by size instead)
+PAIRS_AT_ONCE = 4_000_000
 BUCKET_POSTINGS = 400_000
 NEED_BITS = 1 << 23       # bitmap of the ids whose texts a verification needs (1 MB)
 _COLS = "kind int, tok long, a long, b long, size long, pos long"
@@ -240,26 +243,43 @@ def _lists(batch: pa.Table) -> pa.Table:
 
 
 def _cross(batch: pa.Table) -> pa.Table:
-    """Pairs of one list between components, block pair by block pair."""
+    """Pairs of one list between components. Entries of equal size, position and
+    component form a block; sizes and positions skip whole block pairs."""
     ids, size, pos, comp = (batch.column(c).to_numpy() for c in ("id", "size", "pos", "comp"))
-    order = np.lexsort((ids, pos, size))
+    order = np.lexsort((ids, comp, pos, size))
     ids, size, pos, comp = ids[order], size[order], pos[order], comp[order]
-    starts = np.flatnonzero(np.append(True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1])))
-    ends = np.append(starts[1:], len(ids))
-    first, second = [], []
-    for k, (a, b) in enumerate(zip(starts, ends)):
-        later = np.arange(k, len(starts))
-        fit = later[possible(size[a], pos[a], size[starts[later]], pos[starts[later]])]
-        for j in fit:
-            x, y = np.meshgrid(np.arange(a, b), np.arange(starts[j], ends[j]), indexing="ij")
-            differ = (comp[x] != comp[y]) & (x < y)
-            first.append(ids[x[differ]])
-            second.append(ids[y[differ]])
-    a = np.concatenate(first) if first else np.zeros(0, np.int64)
-    b = np.concatenate(second) if second else np.zeros(0, np.int64)
-    if len(a):
-        a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    starts = np.flatnonzero(np.append(
+        True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (comp[1:] != comp[:-1])))
+    count = np.diff(np.append(starts, len(ids)))
+    size, pos, comp = size[starts], pos[starts], comp[starts]
+    # later blocks whose size is close enough are a range, as blocks come by size
+    last = np.searchsorted(size, DEN * size // NUM, "right")
+    found: list[np.ndarray] = []
+    lo = 0
+    while lo < len(starts):
+        reach = np.cumsum(last[lo:] - np.arange(lo, len(starts)))
+        hi = lo + max(1, int(np.searchsorted(reach, PAIRS_AT_ONCE, "right")))
+        near = last[lo:hi] - np.arange(lo, hi)
+        x = np.repeat(np.arange(lo, hi), near)
+        y = x + np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
+        fit = (comp[x] != comp[y]) & possible(size[x], pos[x], size[y], pos[y])
+        x, y = x[fit], y[fit]
+        step = 0
+        while step < len(x):
+            total = np.cumsum(count[x[step:]] * count[y[step:]])
+            to = step + max(1, int(np.searchsorted(total, PAIRS_AT_ONCE, "right")))
+            u, v = x[step:to], y[step:to]
+            n = count[u] * count[v]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            wide = np.repeat(count[v], n)
+            a = ids[np.repeat(starts[u], n) + k // wide]
+            b = ids[np.repeat(starts[v], n) + k % wide]
+            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+            step = to
+        lo = hi
+    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    both = both[:, both[0] != both[1]]
+    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
 
 def _needed(pairs: DataFrame) -> bytes:
@@ -328,19 +348,46 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
                 .groupBy("bucket").applyInArrow(_lists, _COLS))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     near = cut(verified(docs, pairs))
-    comp = components(near)
-    # answer skipping: entries of long lists count as far as their components differ
-    entries = (found.where("kind = 1").select("tok", F.col("a").alias("id"), "size", "pos")
-               .join(comp, "id", "left")
-               .select("tok", "id", "size", "pos", F.coalesce("component_id", "id").alias("comp")))
-    mixed = (entries.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-             .where("_lo <> _hi").select("tok"))
-    rest = (entries.join(mixed, "tok").groupBy("tok").applyInArrow(_cross, "a long, b long").distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    rest = cut(rest)
+    entries = found.where("kind = 1").select("tok", F.col("a").alias("id"), "size", "pos")
+    # a set in many long lists holds what its kin have in common
+    entries = cut(entries.join(entries.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"))
+    done = pairs
+    for turn in range(HEAD_ROUNDS):
+        # answer skipping: what a list's entries are linked to already is known
+        mixed = _mixed(entries, components(near))
+        # one entry of each component in a list ...
+        rank = F.struct("weight", "id") if turn % 2 == 0 else F.xxhash64("id", F.lit(turn))
+        heads = mixed.groupBy("tok", "comp").agg(F.max_by(F.struct("size", "id", "weight"), rank).alias("h"))
+        if turn % 2 == 0:
+            # ... against the list's heaviest entry
+            top = mixed.groupBy("tok").agg(F.max_by(F.struct("size", "id"), rank).alias("g"))
+            ties = heads.join(top, "tok").where("h.id <> g.id")
+        else:
+            # ... against the next by size
+            after = Window.partitionBy("tok").orderBy("h.size", "h.id")
+            ties = heads.select("h", F.lead("h").over(after).alias("g")).where("g IS NOT NULL")
+        ties = cut(ties.where(DEN * F.least("h.size", "g.size") >= NUM * F.greatest("h.size", "g.size"))
+                   .select(F.least("h.id", "g.id").alias("a"), F.greatest("h.id", "g.id").alias("b"))
+                   .distinct().join(done, ["a", "b"], "left_anti"))
+        if not ties.head(1):
+            continue
+        done = cut(done.unionByName(ties))
+        near = cut(near.unionByName(verified(docs, ties)))
+    mixed = _mixed(entries, components(near))
+    rest = cut(mixed.drop("weight").repartition(partitions(spark), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
+               .distinct().join(done, ["a", "b"], "left_anti"))
     return near.unionByName(verified(docs, rest)) if rest.head(1) else near
 
 
+def _mixed(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries, with their components, of the lists that hold more than one."""
+    own = entries.join(comp, "id", "left").select(
+        "tok", "id", "size", "pos", "weight", F.coalesce("component_id", "id").alias("comp"))
+    lists = (own.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
+             .where("_lo <> _hi").select("tok"))
+    return own.join(lists, "tok")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, rep_id) for every row; rep_id is the
     smallest id with the same set."""

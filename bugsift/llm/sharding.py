@@ -77,31 +77,26 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     busy = cut(links.select("node").distinct())
     for r in range(rounds):
         member = links.join(state, "node")
-        counts = member.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # shards of a group as one array of at most ``shards`` entries
-        spread = counts.groupBy("group").agg(F.collect_list(F.struct("shard", "n")).alias("near"))
-        seen = member.join(spread, "group").select("node", "shard", F.explode("near").alias("x")).groupBy(
-            "node", "shard").agg(F.array_agg(F.struct(F.col("x.shard").alias("s"), F.col("x.n").alias("n"))).alias("near"))
-        # linked documents per shard over all groups; the own document counts out where it is
+        held = [F.count_if(F.col("shard") == k).alias(f"s{k}") for k in range(shards)]
+        per = member.groupBy("group").agg(*held)
+        # linked documents of each node per shard, itself included where it is
+        totals = (member.join(per, "group").groupBy("node", "shard")
+                  .agg(F.array(*[F.sum(f"s{k}") for k in range(shards)]).alias("t")))
         idle = {x["shard"]: x["n"] for x in state.join(busy, "node", "left_anti").groupBy("shard")
                 .agg(F.count(F.lit(1)).alias("n")).collect()}
         room = [s for s in range(shards) if idle.get(s, 0) > 0]
         if not room:
             break
         open_to = F.array(*map(F.lit, room))
-        each = [F.aggregate("near", F.lit(0).cast("long"),
-                            lambda a, x, s=s: a + F.when(x["s"] == s, x["n"]).otherwise(F.lit(0).cast("long")))
-                for s in range(shards)]
-        totals = seen.select("node", "shard", F.array(*each).alias("t"))
         # ties between shards go the same way for everybody in a round
         best = F.array_max(F.filter(F.transform("t", lambda n, s: F.struct(n.alias("n"), (-s).alias("s"))),
                                     lambda x: F.array_contains(open_to, -x["s"])))
-        wish = (totals.withColumn("b", best)
-                .withColumn("to", (-F.col("b.s")).cast("int"))
-                .where((F.col("to") != F.col("shard"))
-                       & ((F.col("b.n") > F.get("t", F.col("shard")) - 1)
-                          & ((F.col("b.n") > F.get("t", F.col("shard"))) | (F.col("to") < F.col("shard")))))
-                .select("node", F.col("shard").alias("from"), "to", (F.col("b.n") - F.get("t", F.col("shard"))).alias("gain")))
+        have = F.get("t", F.col("shard"))
+        # on a tie (the document itself counts where it is) the lower shard draws, so twins meet
+        better = (F.col("b.n") > have) | ((F.col("b.n") == have) & (F.col("to") < F.col("shard")))
+        wish = (totals.withColumn("b", best).withColumn("to", (-F.col("b.s")).cast("int"))
+                .where((F.col("to") != F.col("shard")) & better)
+                .select("node", F.col("shard").alias("from"), "to", (F.col("b.n") - have).alias("gain")))
         wish = cut(wish)
         want = {(x["from"], x["to"]): x["n"] for x in wish.groupBy("from", "to")
                 .agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -114,7 +109,7 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         # idle documents of the shards that gained leave for those that lost
         gain = {s: sum(n for (_, j), n in granted.items() if j == s) - sum(n for (i, _), n in granted.items() if i == s)
                 for s in range(shards)}
-        holes = [s for s in range(shards) for _ in range(1) if gain[s] < 0]
+        holes = [s for s in range(shards) if gain[s] < 0]
         plan, lack = [], {s: -gain[s] for s in holes}
         for s in range(shards):
             at, left = 0, max(gain[s], 0)
