@@ -174,8 +174,6 @@ def parse(page: str) -> Tree:
                 skip = tag
             elif not end and tag in ("script", "style", "title"):
                 break
-            if tag not in INLINE:
-                flush()
             continue
         if tag in VOID:
             if tag == "hr":
@@ -308,7 +306,7 @@ def main_text(page: str, w: dict[str, float]) -> str:
 def labelled_pages(pages: DataFrame, documents: DataFrame) -> list[tuple[str, str]]:
     """At most about TRAIN_PAGES (html, source text) pairs: pages whose address
     names the number of the document they were made from, chosen by hash."""
-    number = F.regexp_extract("url", r"^https?://[^/]+/(?:[a-z]+/)?(\d{1,18})(?:[/?#]|$)", 1)
+    number = F.regexp_extract("url", r"^https?://[^/]+/(?:[a-z]+/)?(\d{1,18})(?:[./?#]|$)", 1)
     named = pages.where("html IS NOT NULL AND url IS NOT NULL").select(
         "page_id", "html", F.when(number != "", number.cast("long")).alias("_n")).where("_n IS NOT NULL")
     n = named.count()

@@ -75,6 +75,7 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     state = cut(placed.select("node", F.col("shard").cast("int").alias("shard")))
     links = cut(links.select("node", "group").distinct())
     busy = cut(links.select("node").distinct())
+    capacity = -(-state.count() // shards)
     for r in range(rounds):
         member = links.join(state, "node")
         held = [F.count_if(F.col("shard") == k).alias(f"s{k}") for k in range(shards)]
@@ -88,15 +89,20 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         if not room:
             break
         open_to = F.array(*map(F.lit, room))
-        # ties between shards go the same way for everybody in a round
-        best = F.array_max(F.filter(F.transform("t", lambda n, s: F.struct(n.alias("n"), (-s).alias("s"))),
-                                    lambda x: F.array_contains(open_to, -x["s"])))
+        # shards that can take something, and the own one, by linked documents held; on a
+        # tie the lower shard draws, so twins meet. Documents with more linked ones than a
+        # shard holds aim for as many of the best shards as these would fill.
+        best = F.sort_array(F.filter(
+            F.transform("t", lambda n, s: F.struct(n.alias("n"), (-s).alias("s"))),
+            lambda x: F.array_contains(open_to, -x["s"]) | (-x["s"] == F.col("shard"))), asc=False)
+        kin = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x)
+        k = F.greatest(F.lit(1), F.ceil(kin / capacity)).cast("int")
         have = F.get("t", F.col("shard"))
-        # on a tie (the document itself counts where it is) the lower shard draws, so twins meet
-        better = (F.col("b.n") > have) | ((F.col("b.n") == have) & (F.col("to") < F.col("shard")))
-        wish = (totals.withColumn("b", best).withColumn("to", (-F.col("b.s")).cast("int"))
-                .where((F.col("to") != F.col("shard")) & better)
-                .select("node", F.col("shard").alias("from"), "to", (F.col("b.n") - have).alias("gain")))
+        wish = (totals.withColumn("top", F.slice(best, F.lit(1), k))
+                .where(~F.exists("top", lambda x: -x["s"] == F.col("shard")))
+                .withColumn("b", F.get("top", F.pmod(F.xxhash64("node", F.lit(r)), F.size("top")).cast("int")))
+                .select("node", F.col("shard").alias("from"), (-F.col("b.s")).cast("int").alias("to"),
+                        (F.col("b.n") - have).alias("gain")))
         wish = cut(wish)
         want = {(x["from"], x["to"]): x["n"] for x in wish.groupBy("from", "to")
                 .agg(F.count(F.lit(1)).alias("n")).collect()}
