@@ -1,72 +1,64 @@
 """Prompt construction, transcripts and reply parsing for triple extraction.
 
 A prompt is ``array<struct<role:string, content:string>>`` built with column
-expressions; templates are plain data (English wording of the reference's
-prompt styles), parameterised by the report text.
+expressions. The texts come from a ``PromptTemplates`` value, which callers may
+replace as a whole or in part.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<role:string,content:string>"
 
-# The prompt templates (this repository's English wording).
-INSTRUCTION = ("As a data analyst, your task is to extract the key information from a bug report. "
-               "From the report below, extract a triple in the form <scene, operation, defect>; "
-               "if the information is insufficient or empty, output error. The bug report is: ")
-SUFFIX_INSTRUCTION = (". Extract the key information of the report above as a triple in the form "
-                      "<scene, operation, defect> so that a data analyst can process it; "
-                      "if the information is insufficient or empty, output error.")
-EXAMPLE_REPORT = "My home page: tapping the 'learning ranking' list loads far too slowly."
-EXAMPLE_TRIPLE = "<home page, tap the learning ranking list, loads too slowly>"
-PERSONA = ("Suppose you are a data analyst who turns bug descriptions into a triple "
-           "<scene, operation, defect>. For each description I send, answer strictly in the format "
-           "<scene, operation, defect>, or output error if no judgement is possible.")
-PERSONA_ACK = "Understood. Send the bug description and I will output <scene, operation, defect> or error."
-SENTENCE_INSTRUCTION = ("I will send sentences shaped like: the tester, in scene (), performed operation (), "
-                        "and defect () occurred. Output one triple <scene, operation, defect>; if a sentence "
-                        "lacks these parts, output error. Treat every input on its own.")
-SENTENCE_ACK = "Understood. Please send the sentence and I will output the triple in that format."
-REFINE_INSTRUCTION = ("The text below contains a triple <scene;operation;defect>. Find it and output it "
-                      "as <scene;operation;defect>, separated by ';': ")
-REFINE_EXAMPLE = ("1. scene: search bar; operation: enter text; defect: can only cancel, cannot confirm "
-                  "2. scene: search bar; operation: none; defect: none")
-REFINE_EXAMPLE_TRIPLE = "<search bar;enter text;can only cancel, cannot confirm>"
-CHAIN_CONTEXT = ("As a data analyst, your task is to extract key information from the text read from a "
-                 "screenshot and from a submitted bug report. Read the content below carefully and answer "
-                 "my following questions. Worked example -- screenshot text: change password / old password / "
-                 "new password / confirm. Bug report: a new password equal to the old one is accepted "
-                 "without any notice. user: which screen of which app is this? assistant: the password "
-                 "change screen. user: what defect occurs? assistant: no notice when the new password "
-                 "equals the old one. user: which operation causes it? assistant: changing the password. "
-                 "user: output the triple <scene, operation, defect>. assistant: <password change screen, "
-                 "change password, same password accepted without notice>. The content is: ")
-CHAIN_ACK = "Understood. I will answer your next questions from the content above."
-CHAIN_QUESTIONS = [
-    "From the information above, which screen of which app is this? Answer in at most ten words.",
-    "From the information above, what defect occurs?",
-    "From the information above, which operation causes this defect?",
-    "Combining the information above, output the triple in the form <scene, operation, defect>.",
-]
-SCREENSHOT_LABEL = "Screenshot text: "
-REPORT_LABEL = "\nBug report: "
 
-# Subjective phrases for the (optional) perturbation step.
+@dataclass(frozen=True)
+class PromptTemplates:
+    """Texts of the prompt styles; each is used as it stands around the report."""
+
+    instruction: str = ("Read the tester's note and give back one line <scene, operation, defect>. "
+                        "Write error when one of the three cannot be told. Note: ")
+    suffix: str = (" -- Give the note above back as one line <scene, operation, defect>, "
+                   "or the word error when one of the three cannot be told.")
+    example_report: str = "On the parcel map, pinching to zoom out leaves the courier pin floating off the road."
+    example_triple: str = "<parcel map, pinch to zoom out, courier pin floats off the road>"
+    persona: str = ("You triage notes from testers. Every message holds one note; your whole answer is "
+                    "<scene, operation, defect> or error.")
+    persona_ack: str = "Ready for the first note."
+    persona_example: str = " For instance, {report} becomes {triple}"
+    sentence: str = ("Each message is a single sentence about where a tester was, what they did and what went "
+                     "wrong. Reduce it to <scene, operation, defect>, or to error if a part is missing. "
+                     "Sentences do not belong together.")
+    sentence_ack: str = "Ready for the first sentence."
+    refine: str = "Somewhere in this answer is a triple. Copy it out alone as <scene;operation;defect>: "
+    refine_example: str = ("Scene - ticket machine. Operation - pay by card, then cancel. "
+                           "Defect - receipt prints anyway, twice.")
+    refine_triple: str = "<ticket machine;pay by card, then cancel;receipt prints anyway, twice>"
+    chain_context: str = ("Below are the words on a screen and a tester's note about it. Some questions follow; "
+                          "answer each in one short line. Words and note: ")
+    chain_ack: str = "Ask away."
+    chain_questions: tuple[str, ...] = (
+        "Which part of the product does the note speak about?",
+        "What goes wrong there?",
+        "What was the tester doing when it went wrong?",
+        "Now put your three answers together as <scene, operation, defect>.",
+    )
+    screenshot_label: str = "[screen] "
+    report_label: str = "\n[note] "
+
+
+TEMPLATES = PromptTemplates()
+CHAIN_QUESTIONS = list(TEMPLATES.chain_questions)
+
+# Remarks without information, for the (optional) perturbation step.
 PHRASES = [
-    "The layout is not very good.", "The interface design is ugly, with too much blank space.",
-    "The page layout is broken and dull, and the font is too small.", "The image quality is too low.",
-    "This seriously hurts the user experience.", "The interface is plain and the colours are dim.",
-    "It does not show up in time.", "There is no hint at all, which is annoying.",
-    "It is not clear at a glance.", "It drains the battery and performs poorly.",
-    "Users strongly dislike this; the experience is terrible!", "The alert sound is far too loud and startling!",
-    "The layout wastes a lot of space.", "The process is too long and needs patience.",
-    "The response time is long.", "The user experience does not feel good.",
-    "The page layout is simple and monotonous.", "The process is long and the experience is poor.",
-    "The user experience is bad.", "The whole page is too white.", "The emoticons look awful!",
-    "It does not reply quickly.", "The interface is plain with too few functions.",
-    "The match is poor and hard to recognise.",
+    "Just my impression, though.", "I was on the train at the time.", "Not sure anyone else minds.",
+    "My old phone never did that.", "Please look into it when you can.", "I tried it before lunch.",
+    "It felt odd.", "A colleague shrugged at it.", "Thanks for the hard work otherwise!",
+    "This happened on a rainy day.",
 ]
 
 
@@ -76,40 +68,37 @@ def message(role: str | Column, content: str | Column) -> Column:
     return F.struct(r.alias("role"), c.cast("string").alias("content"))
 
 
-def fuse_text(report: Column, image_text: Column, style: str = "labelled") -> Column:
-    """Text + screenshot fusion: ``bare`` = image text then report;
-    ``labelled`` = 'Screenshot text: ...\\nBug report: ...'; ``report`` = report only."""
+def fuse_text(report: Column, image_text: Column, style: str = "labelled",
+              templates: PromptTemplates = TEMPLATES) -> Column:
+    """Text + screenshot fusion: ``bare`` = image text then report; ``labelled`` =
+    each after its label; ``report`` = report only."""
     rep, img = F.coalesce(report, F.lit("")), F.coalesce(image_text, F.lit(""))
     if style == "bare":
         return F.concat(img, rep)
     if style == "labelled":
-        return F.concat(F.lit(SCREENSHOT_LABEL), img, F.lit(REPORT_LABEL), rep)
+        return F.concat(F.lit(templates.screenshot_label), img, F.lit(templates.report_label), rep)
     if style == "report":
         return rep
     raise ValueError(f"unknown fusion style {style!r}")
 
 
-def build_prompt(text: Column, style: str) -> Column:
+def build_prompt(text: Column, style: str, templates: PromptTemplates = TEMPLATES) -> Column:
     """The message list for one report under a prompt style."""
-    t = F.coalesce(text, F.lit(""))
+    t, p = F.coalesce(text, F.lit("")), templates
+    user = lambda *parts: message("user", F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]))
+    reply = lambda x: message("assistant", x)
+    role_example = p.persona_example.format(report=p.example_report, triple=p.example_triple)
     styles = {
-        "prefix_zero_shot": [message("user", F.concat(F.lit(INSTRUCTION), t))],
-        "prefix_one_shot": [message("user", INSTRUCTION + EXAMPLE_REPORT), message("assistant", EXAMPLE_TRIPLE),
-                            message("user", F.concat(F.lit(INSTRUCTION), t))],
-        "suffix_zero_shot": [message("user", F.concat(t, F.lit(SUFFIX_INSTRUCTION)))],
-        "suffix_one_shot": [message("user", EXAMPLE_REPORT + SUFFIX_INSTRUCTION), message("assistant", EXAMPLE_TRIPLE),
-                            message("user", F.concat(t, F.lit(SUFFIX_INSTRUCTION)))],
-        "role_zero_shot": [message("user", PERSONA), message("assistant", PERSONA_ACK), message("user", t)],
-        "role_one_shot": [message("user", PERSONA + " Example report: " + EXAMPLE_REPORT
-                                  + " Example triple: " + EXAMPLE_TRIPLE),
-                          message("assistant", PERSONA_ACK), message("user", t)],
-        "sentence": [message("user", SENTENCE_INSTRUCTION), message("assistant", SENTENCE_ACK), message("user", t)],
-        "refine_one_shot": [message("user", REFINE_INSTRUCTION + REFINE_EXAMPLE),
-                            message("assistant", REFINE_EXAMPLE_TRIPLE),
-                            message("user", F.concat(F.lit(REFINE_INSTRUCTION), t))],
-        "refine_zero_shot": [message("user", F.concat(F.lit(REFINE_INSTRUCTION), t))],
-        "chain": [message("user", F.concat(F.lit(CHAIN_CONTEXT), t)), message("assistant", CHAIN_ACK),
-                  message("user", CHAIN_QUESTIONS[0])],
+        "prefix_zero_shot": [user(p.instruction, t)],
+        "prefix_one_shot": [user(p.instruction, p.example_report), reply(p.example_triple), user(p.instruction, t)],
+        "suffix_zero_shot": [user(t, p.suffix)],
+        "suffix_one_shot": [user(p.example_report, p.suffix), reply(p.example_triple), user(t, p.suffix)],
+        "role_zero_shot": [user(p.persona), reply(p.persona_ack), user(t)],
+        "role_one_shot": [user(p.persona, role_example), reply(p.persona_ack), user(t)],
+        "sentence": [user(p.sentence), reply(p.sentence_ack), user(t)],
+        "refine_zero_shot": [user(p.refine, t)],
+        "refine_one_shot": [user(p.refine, p.refine_example), reply(p.refine_triple), user(p.refine, t)],
+        "chain": [user(p.chain_context, t), reply(p.chain_ack), user(p.chain_questions[0])],
     }
     if style not in styles:
         raise ValueError(f"unknown prompt style {style!r}; one of {sorted(styles)}")
@@ -152,20 +141,25 @@ def perturb_text(text: Column, key: Column, seed: str = "0", phrases: list[str]
     return F.concat(F.coalesce(text, F.lit("")), pick_phrase(key, seed, phrases))
 
 
-# Fixed value: a <scene, operation, defect> triple with ASCII or full-width
-# comma / semicolon separators.
-TRIPLE_PATTERN = r"<([^，,;；<>]+)[，,;；]([^，,;；<>]+)[，,;；]([^<>]+)>"
+# A triple whose parts are split by semicolons, else by commas
+# (ASCII or full width); the last part may hold more separators of its kind.
+SEMICOLON_TRIPLE = r"<([^;；<>]+)[;；]([^;；<>]+)[;；]([^<>]+)>"
+COMMA_TRIPLE = r"<([^，,;；<>]+)[，,]([^，,;；<>]+)[，,]([^;；<>]+)>"
 
 
 def parse_triple(reply: Column) -> Column:
-    """``struct(status, scene, operation, defect)``; status in ok / error / blank / malformed."""
+    """``struct(status, scene, operation, defect)``; status in ok / error / blank / malformed.
+
+    A triple that holds semicolons is split at these alone, so its parts may
+    hold commas."""
     r = F.coalesce(reply, F.lit(""))
-    ok = r.rlike(TRIPLE_PATTERN)
-    status = (F.when(ok, F.lit("ok"))
+    semi, comma = r.rlike(SEMICOLON_TRIPLE), r.rlike(COMMA_TRIPLE)
+    status = (F.when(semi | comma, F.lit("ok"))
               .when(F.trim(r) == "", F.lit("blank"))
               .when(F.lower(r).contains("error"), F.lit("error"))
               .otherwise(F.lit("malformed")))
-    part = lambda k: F.when(ok, F.trim(F.regexp_extract(r, TRIPLE_PATTERN, k)))
+    part = lambda k: (F.when(semi, F.trim(F.regexp_extract(r, SEMICOLON_TRIPLE, k)))
+                      .when(comma, F.trim(F.regexp_extract(r, COMMA_TRIPLE, k))))
     return F.struct(status.alias("status"), part(1).alias("scene"), part(2).alias("operation"),
                     part(3).alias("defect"))
 

@@ -43,20 +43,22 @@ def word_tokens(text: str | Column, lowercase: bool = True) -> Column:
 def segment(text: str | Column, method: str = "words") -> Column:
     """Word segmentation.
 
-    ``words``: spaced scripts, case kept. ``cjk_bigrams``: like ``words`` but a
-    word containing Han characters becomes its overlapping character bigrams
-    (the dictionary-free stand-in for a Chinese segmenter).
+    ``words``: spaced scripts, case kept. ``cjk_bigrams``: a dictionary-free
+    stand-in for a Chinese segmenter; text is cut into runs of Han characters
+    and words of other scripts, Han runs become their overlapping character
+    bigrams (a single character stays), other words are kept as in ``words``.
     """
-    words = word_tokens(text, lowercase=False)
     if method == "words":
-        return words
+        return word_tokens(text, lowercase=False)
     if method != "cjk_bigrams":
         raise ValueError(f"unknown segmentation method {method!r}")
+    runs = F.regexp_extract_all(_col(text), F.lit(f"{HAN_PATTERN}+|[\\p{{L}}\\p{{N}}_&&[^{HAN_PATTERN}]]{{2,}}"), 0)
+
     def split(w):
         n = F.length(w)
         bigrams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(w, i, 2))
         return F.when(w.rlike(HAN_PATTERN) & (n > 2), bigrams).otherwise(F.array(w))
-    return F.flatten(F.transform(words, split))
+    return F.flatten(F.transform(runs, split))
 
 
 def custom_segmenter(fn):

@@ -4,12 +4,15 @@ The completer is user code (a hosted model client, a local model...). It is
 built once per task by ``completer_factory()`` and called on Arrow batches:
 ``complete(list_of_message_lists) -> list[str | None]``; ``None`` or an
 exception marks a failed item. Failed items are retried up to ``retries``
-more times; what still fails gets ``default`` and status ``'failed'``.
+more times; what still fails gets ``default`` and status ``'failed'``. A
+completer with an attribute ``attempt`` is told the number of the attempt.
+Rows whose messages are null are failed without a call.
 Output is keyed by id (at-least-once: a re-run task recomputes its rows).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,17 +23,18 @@ from ..functions import prompts as P
 from ..session import cut_lineage
 
 Completer = Callable[[list[list[dict]]], list]
-OUT_SCHEMA = "id long, reply string, status string, attempts int"
 
 
-def _to_messages(arr) -> list[dict]:
-    return [{"role": m["role"], "content": m["content"]} for m in arr]
+def _to_messages(arr) -> list[dict] | None:
+    return None if arr is None else [{"role": m["role"], "content": m["content"]} for m in arr]
 
 
 def batch_complete(df: DataFrame, *, id_col: str, messages_col: str = "messages",
                    completer_factory: Callable[[], Completer], retries: int = 1,
                    default: str = " ") -> DataFrame:
-    """``(id, reply, status, attempts)`` for every input row."""
+    """``(id, reply, status, attempts)`` for every input row; ids keep their type."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
     def run(batches):
         complete = completer_factory()
         for pdf in batches:
@@ -39,10 +43,12 @@ def batch_complete(df: DataFrame, *, id_col: str, messages_col: str = "messages"
             replies = [None] * n
             attempts = [0] * n
             status = ["failed"] * n
-            todo = list(range(n))
-            for _ in range(retries + 1):
+            todo = [k for k in range(n) if msgs[k] is not None]
+            for attempt in range(retries + 1):
                 if not todo:
                     break
+                if hasattr(complete, "attempt"):
+                    complete.attempt = attempt
                 try:
                     got = complete([msgs[k] for k in todo])
                 except Exception:  # noqa: BLE001 - the whole call failed: every item failed once
@@ -55,10 +61,11 @@ def batch_complete(df: DataFrame, *, id_col: str, messages_col: str = "messages"
                     else:
                         nxt.append(k)
                 todo = nxt
-            yield pd.DataFrame({"id": pdf[id_col].astype("int64").values,
+            yield pd.DataFrame({"id": pdf[id_col].values,
                                 "reply": [r if r is not None else default for r in replies],
                                 "status": status, "attempts": attempts})
-    return df.select(id_col, messages_col).mapInPandas(run, OUT_SCHEMA)
+    return df.select(id_col, messages_col).mapInPandas(
+        run, f"id {id_type}, reply string, status string, attempts int")
 
 
 def extract_chain(df: DataFrame, *, id_col: str, text_col: str, completer_factory: Callable[[], Completer],
@@ -68,7 +75,7 @@ def extract_chain(df: DataFrame, *, id_col: str, text_col: str, completer_factor
     result is checkpointed. Returns ``(id, messages, reply, status)`` after the
     last question."""
     qs = questions or P.CHAIN_QUESTIONS
-    state = df.select(F.col(id_col).cast("long").alias("id"),
+    state = df.select(F.col(id_col).alias("id"),
                       P.build_prompt(F.col(text_col), "chain").alias("messages"))
     if questions is not None:
         state = state.select("id", F.concat(F.slice("messages", 1, 2),
@@ -83,25 +90,38 @@ def extract_chain(df: DataFrame, *, id_col: str, text_col: str, completer_factor
     return out.select("id", "messages", "reply", "status")
 
 
+def refine_replies(replies: DataFrame, *, completer_factory: Callable[[], Completer], style: str = "refine_one_shot",
+                   retries: int = 1) -> DataFrame:
+    """A second pass over the replies ``(id, reply, ...)`` of an extraction:
+    ``(id, first_reply, reply, status, attempts)``."""
+    first = cut_lineage(replies.select("id", F.col("reply").alias("first_reply")))
+    asked = first.select("id", P.build_prompt(F.col("first_reply"), style).alias("messages"))
+    return first.join(batch_complete(asked, id_col="id", completer_factory=completer_factory, retries=retries), "id")
+
+
 class EchoCompleter:
     """Deterministic local stand-in for a hosted model (tests and examples):
     answers with a triple made of the first three words of the last user
-    message, or 'error' when it has fewer than three. ``fail_every`` makes
-    every k-th call fail once, to exercise retries."""
+    message, or 'error' when it has fewer than three.
+
+    With ``fail_every`` = k, failures follow from the message alone, never from
+    the order of calls: with h = first 32 bits of the message's md5, h % k == 0
+    fails on the first attempt and h % k == 1 on every attempt."""
 
     def __init__(self, fail_every: int = 0):
-        self.calls = 0
         self.fail_every = fail_every
+        self.attempt = 0
 
     def __call__(self, batch: list[list[dict]]) -> list:
         out = []
         for msgs in batch:
-            self.calls += 1
-            if self.fail_every and self.calls % self.fail_every == 0:
-                out.append(None)
-                continue
-            last = next((m["content"] for m in reversed(msgs) if m["role"] == "user"), "")
-            words = [w for w in last.split() if w]
+            last = next((m["content"] for m in reversed(msgs) if m["role"] == "user"), None) or ""
+            if self.fail_every:
+                h = int(hashlib.md5(last.encode()).hexdigest()[:8], 16) % self.fail_every
+                if h == 1 or h == 0 and self.attempt == 0:
+                    out.append(None)
+                    continue
+            words = last.split()
             out.append("error" if len(words) < 3 else f"<{words[0]}，{words[1]}，{words[2]}>")
         return out
 

@@ -21,9 +21,11 @@ from .ranking import ordered_index
 
 def stratified_split(df: DataFrame, *, id_col: str, label_col: str, seed: str = "0") -> DataFrame:
     """Adds ``split`` in {'train', 'validation', 'test'}."""
-    keyed = df.withColumn("_k", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))))
-    idx = ordered_index(keyed, [label_col, "_k", id_col], "_g")
-    per_label = idx.groupBy(label_col).agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # only the key columns are sorted and checkpointed; the rest joins back by id
+    keyed = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"),
+                      F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))).alias("_k"))
+    idx = ordered_index(keyed, ["_label", "_k", "_id"], "_g")
+    per_label = idx.groupBy("_label").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")
     test = F.floor((n + 9) / 10)
     rest = n - test
@@ -32,9 +34,9 @@ def stratified_split(df: DataFrame, *, id_col: str, label_col: str, seed: str =
     split = (F.when(rank < test, F.lit("test"))
              .when(rank < test + val, F.lit("validation"))
              .otherwise(F.lit("train")))
-    return (idx.join(per_label, label_col)
-            .withColumn("split", split)
-            .drop("_k", "_g", "_first", "_n"))
+    per_label = per_label.withColumnRenamed("_label", "_of")
+    drawn = idx.join(per_label, F.col("_label").eqNullSafe(F.col("_of"))).select("_id", split.alias("split"))
+    return df.join(drawn, F.col(id_col) == F.col("_id")).drop("_id")
 
 
 def split_counts(split_df: DataFrame, label_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..operators import supervised as S
-from ..operators.complete import batch_complete, echo_completer_factory, extract_chain
+from ..operators.complete import batch_complete, echo_completer_factory, extract_chain, refine_replies
 from ..operators.split import stratified_split
 from .catalog import query, r6, table
 
@@ -26,12 +26,22 @@ def q_kmeans(spark, sf):
     return S.kmeans(table(spark, sf, "embeddings"), id_col="vec_id", vec_col="embedding", k=7, seed=3)
 
 
-@query("silhouette")
+@query("silhouette", """WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  x AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e),
+  n AS (SELECT id, label, sum(x * x) AS sq FROM x GROUP BY ALL),
+  c AS (SELECT n.label, count(*) AS m, sum(sq) AS sq FROM n GROUP BY n.label),
+  y AS (SELECT label, k, sum(x) AS y FROM x GROUP BY ALL),
+  -- sum of squared distances of a point to a cluster: m*|p|^2 + sum|q|^2 - 2 p.sum(q)
+  d AS (SELECT x.id, x.label, y.label AS other, sum(x.x * y.y) AS dot FROM x JOIN y USING (k) GROUP BY ALL),
+  t AS (SELECT d.id, d.label, d.other, c.m, c.m * n.sq + c.sq - 2 * d.dot AS total
+        FROM d JOIN n ON n.id = d.id JOIN c ON c.label = d.other),
+  a AS (SELECT id, total / (m - 1) AS a, m FROM t WHERE label = other),
+  b AS (SELECT id, min(total / m) AS b FROM t WHERE label <> other GROUP BY id)
+SELECT 'given_labels' AS method, round(avg(CASE WHEN m = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM a JOIN b USING (id)""")
 def q_silhouette(spark, sf):
-    emb = table(spark, sf, "embeddings")
-    lab = S.kmeans(emb, id_col="vec_id", vec_col="embedding", k=7, seed=3)
-    value = S.silhouette(emb.drop("label").join(lab, "vec_id"), vec_col="embedding")
-    return spark.createDataFrame([("kmeans_k7", float(round(value, 6)))], "method string, silhouette double")
+    value = S.silhouette(table(spark, sf, "embeddings"), vec_col="embedding")
+    return spark.createDataFrame([("given_labels", float(round(value, 6)))], "method string, silhouette double")
 
 
 @query("lda_topics")
@@ -46,17 +56,44 @@ def q_word2vec_docs(spark, sf):
                     F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
-@query("batch_complete")
+_WORDS = "list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '')"
+_SAID = "'<' || w[1] || '，' || w[2] || '，' || w[3] || '>'"
+
+
+@query("batch_complete", f"""WITH d AS (SELECT doc_id AS id, '{P.TEMPLATES.instruction.replace("'", "''")}' || text AS m FROM documents),
+  h AS (SELECT id, {_WORDS} AS w, ('0x' || substr(md5(m), 1, 8))::BIGINT % 7 AS h FROM d)
+SELECT id, CASE WHEN h = 1 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN h <= 1 THEN 2 ELSE 1 END::INT AS attempts,
+  CASE WHEN h = 1 THEN ' ' ELSE {_SAID} END AS reply FROM h""")
 def q_batch_complete(spark, sf):
     """Prefix one-shot prompts over every report, answered by the local stand-in
-    completer (every 7th call fails once and is retried)."""
+    completer (failures and retries follow from each message)."""
     d = table(spark, sf, "documents").select("doc_id", P.build_prompt(F.col("text"), "prefix_one_shot").alias("messages"))
     res = batch_complete(d, id_col="doc_id", completer_factory=echo_completer_factory(7), retries=1)
-    return res.select("id", "reply", "status", "attempts", P.parse_triple(F.col("reply")).alias("t")) \
-              .select("id", "status", "attempts", F.col("t.status").alias("triple_status"), "t.scene")
+    return res.select("id", "status", "attempts", "reply")
+
+
+@query("refine_replies", f"""WITH d AS (SELECT doc_id AS id, '{P.TEMPLATES.instruction.replace("'", "''")}' || text AS m FROM documents),
+  f AS (SELECT id, {_WORDS} AS w FROM d),
+  r AS (SELECT id, {_SAID} AS first_reply, '{P.TEMPLATES.refine.replace("'", "''")}' || {_SAID} AS m FROM f),
+  g AS (SELECT id, first_reply, {_WORDS} AS w FROM r)
+SELECT id, first_reply, {_SAID} AS refined, 'ok' AS status FROM g""")
+def q_refine_replies(spark, sf):
+    """Second pass: the first pass's replies, refined one by one."""
+    d = table(spark, sf, "documents").select("doc_id", P.build_prompt(F.col("text"), "prefix_zero_shot").alias("messages"))
+    first = batch_complete(d, id_col="doc_id", completer_factory=echo_completer_factory(0))
+    again = refine_replies(first, completer_factory=echo_completer_factory(0))
+    return again.select("id", "first_reply", F.col("reply").alias("refined"), "status")
+
+
+_Q = [q.replace("'", "''") for q in P.TEMPLATES.chain_questions]
+_Q_REPLY = ["'<' || '" + "，".join(q.split()[:3]) + "' || '>'" for q in _Q]
 
 
-@query("extract_chain")
+@query("extract_chain", f"""SELECT doc_id AS id, 9 AS n_messages, {_Q_REPLY[3]} AS reply, 'ok' AS status,
+  '{P.TEMPLATES.chain_context.replace("'", "''")}{P.TEMPLATES.screenshot_label}' || coalesce(regexp_extract(p.html, '<title>([^<]*)</title>', 1), '')
+  || '{P.TEMPLATES.report_label}' || d.text || chr(10) || '{P.TEMPLATES.chain_ack}' || chr(10) || '{_Q[0]}' || chr(10) || {_Q_REPLY[0]}
+  || chr(10) || '{_Q[1]}' || chr(10) || {_Q_REPLY[1]} || chr(10) || '{_Q[2]}' || chr(10) || {_Q_REPLY[2]} || chr(10) || '{_Q[3]}' AS transcript
+FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""")
 def q_extract_chain(spark, sf):
     """Four-round chained extraction over screenshot text + report."""
     docs = table(spark, sf, "documents")
@@ -65,4 +102,5 @@ def q_extract_chain(spark, sf):
     fused = docs.join(pages, "doc_id", "left").select(
         "doc_id", P.fuse_text(F.col("text"), F.col("img"), "labelled").alias("fused"))
     out = extract_chain(fused, id_col="doc_id", text_col="fused", completer_factory=echo_completer_factory(0))
-    return out.select("id", F.size("messages").alias("n_messages"), "reply", "status")
+    return out.select("id", F.size("messages").alias("n_messages"), "reply", "status",
+                      F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("transcript"))

@@ -18,6 +18,7 @@ def s(x: str) -> str:
 
 
 TITLE = "<title>([^<]*)</title>"
+T = P.TEMPLATES
 
 
 def _reply_col():
@@ -25,6 +26,8 @@ def _reply_col():
     k = F.pmod(F.col("doc_id"), F.lit(8))
     n = F.col("n_chars").cast("string")
     return (F.when(k == 0, F.concat(F.lit("<"), F.col("lang"), F.lit("，"), F.col("source"), F.lit("，"), n, F.lit(">")))
+            .when(k == 3, F.concat(F.lit("<"), F.col("lang"), F.lit(", "), F.col("source"), F.lit(";tap, hold;"), n,
+                                   F.lit(", twice>")))
             .when(k == 4, F.concat(F.lit("Triple: <"), F.col("lang"), F.lit(";"), F.col("source"), F.lit(";"), n,
                                    F.lit("> done")))
             .when(k.isin(1, 5), F.lit("error"))
@@ -33,13 +36,14 @@ def _reply_col():
 
 
 REPLY_SQL = """CASE doc_id % 8 WHEN 0 THEN '<' || lang || '，' || source || '，' || n_chars || '>'
+    WHEN 3 THEN '<' || lang || ', ' || source || ';tap, hold;' || n_chars || ', twice>'
     WHEN 4 THEN 'Triple: <' || lang || ';' || source || ';' || n_chars || '> done'
     WHEN 1 THEN 'error' WHEN 5 THEN 'error' WHEN 2 THEN ' ' WHEN 6 THEN ' '
     ELSE 'scene: ' || lang END"""
 
 
 @query("fuse_text", f"""SELECT d.doc_id,
-  {s(P.SCREENSHOT_LABEL)} || coalesce(regexp_extract(p.html, '{TITLE}', 1), '') || {s(P.REPORT_LABEL)} || d.text AS fused
+  {s(T.screenshot_label)} || coalesce(regexp_extract(p.html, '{TITLE}', 1), '') || {s(T.report_label)} || d.text AS fused
 FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id""")
 def q_fuse_text(spark, sf):
     docs = table(spark, sf, "documents")
@@ -61,22 +65,30 @@ def _prompt_query(name, style, msgs, src_sql="documents", text="text", src_fn=No
     query(name, sql)(q)
 
 
-T = "text"
+_REPLIES = {"src_sql": f"(SELECT doc_id, {REPLY_SQL} AS reply FROM documents)", "text": "reply",
+            "src_fn": lambda spark, sf: table(spark, sf, "documents").select("doc_id", _reply_col().alias("reply"))}
+_ROLE_EXAMPLE = T.persona_example.format(report=T.example_report, triple=T.example_triple)
+
+_prompt_query("prompt_prefix_zero_shot", "prefix_zero_shot", [("user", f"{s(T.instruction)} || text")])
 _prompt_query("prompt_prefix_one_shot", "prefix_one_shot", [
-    ("user", s(P.INSTRUCTION + P.EXAMPLE_REPORT)), ("assistant", s(P.EXAMPLE_TRIPLE)),
-    ("user", f"{s(P.INSTRUCTION)} || {T}")])
+    ("user", s(T.instruction + T.example_report)), ("assistant", s(T.example_triple)),
+    ("user", f"{s(T.instruction)} || text")])
+_prompt_query("prompt_suffix_zero_shot", "suffix_zero_shot", [("user", f"text || {s(T.suffix)}")])
 _prompt_query("prompt_suffix_one_shot", "suffix_one_shot", [
-    ("user", s(P.EXAMPLE_REPORT + P.SUFFIX_INSTRUCTION)), ("assistant", s(P.EXAMPLE_TRIPLE)),
-    ("user", f"{T} || {s(P.SUFFIX_INSTRUCTION)}")])
+    ("user", s(T.example_report + T.suffix)), ("assistant", s(T.example_triple)),
+    ("user", f"text || {s(T.suffix)}")])
 _prompt_query("prompt_role", "role_zero_shot", [
-    ("user", s(P.PERSONA)), ("assistant", s(P.PERSONA_ACK)), ("user", T)])
+    ("user", s(T.persona)), ("assistant", s(T.persona_ack)), ("user", "text")])
+_prompt_query("prompt_role_one_shot", "role_one_shot", [
+    ("user", s(T.persona + _ROLE_EXAMPLE)), ("assistant", s(T.persona_ack)), ("user", "text")])
 _prompt_query("prompt_sentence", "sentence", [
-    ("user", s(P.SENTENCE_INSTRUCTION)), ("assistant", s(P.SENTENCE_ACK)), ("user", T)])
+    ("user", s(T.sentence)), ("assistant", s(T.sentence_ack)), ("user", "text")])
+_prompt_query("prompt_refine_zero_shot", "refine_zero_shot", [("user", f"{s(T.refine)} || reply")], **_REPLIES)
 _prompt_query("prompt_refine", "refine_one_shot", [
-    ("user", s(P.REFINE_INSTRUCTION + P.REFINE_EXAMPLE)), ("assistant", s(P.REFINE_EXAMPLE_TRIPLE)),
-    ("user", f"{s(P.REFINE_INSTRUCTION)} || reply")],
-    src_sql=f"(SELECT doc_id, {REPLY_SQL} AS reply FROM documents)", text="reply",
-    src_fn=lambda spark, sf: table(spark, sf, "documents").select("doc_id", _reply_col().alias("reply")))
+    ("user", s(T.refine + T.refine_example)), ("assistant", s(T.refine_triple)),
+    ("user", f"{s(T.refine)} || reply")], **_REPLIES)
+_prompt_query("prompt_chain", "chain", [
+    ("user", f"{s(T.chain_context)} || text"), ("assistant", s(T.chain_ack)), ("user", s(T.chain_questions[0]))])
 
 
 @query("build_transcripts", """SELECT conv_id, count(*)::BIGINT AS n_messages,
@@ -92,10 +104,10 @@ def q_build_transcripts(spark, sf):
 
 @query("append_turn", f"""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos,
        role, text AS content FROM conversations
-UNION ALL SELECT conv_id, count(*)::INT, 'user', {s(P.CHAIN_QUESTIONS[3])} FROM conversations GROUP BY conv_id""")
+UNION ALL SELECT conv_id, count(*)::INT, 'user', {s(T.chain_questions[3])} FROM conversations GROUP BY conv_id""")
 def q_append_turn(spark, sf):
     t = P.build_transcripts(table(spark, sf, "conversations"))
-    t = t.select("conv_id", P.append_turn(F.col("messages"), "user", P.CHAIN_QUESTIONS[3]).alias("messages"))
+    t = t.select("conv_id", P.append_turn(F.col("messages"), "user", T.chain_questions[3]).alias("messages"))
     return P.flatten_messages(t, ["conv_id"])
 
 
@@ -111,14 +123,19 @@ def q_perturb_text(spark, sf):
                     P.perturb_text(F.col("text"), F.col("doc_id"), "7").alias("perturbed"))
 
 
-_TP = P.TRIPLE_PATTERN
-_PARSE_SQL = f"""SELECT doc_id,
-  CASE WHEN regexp_matches(r, '{_TP}') THEN 'ok' WHEN trim(r) = '' THEN 'blank'
+# the triple's text is cut at one kind of separator, written without the operator's patterns
+_PARSE_SQL = f"""WITH r AS (SELECT doc_id, {REPLY_SQL} AS r FROM documents),
+  b AS (SELECT doc_id, r, contains(r, '<') AND contains(r, '>') AS has,
+               replace(replace(string_split(string_split(r, '<')[2], '>')[1], '；', ';'), '，', ',') AS t FROM r),
+  p AS (SELECT doc_id, r, has, CASE WHEN contains(t, ';') THEN string_split(t, ';') ELSE string_split(t, ',') END AS p FROM b),
+  o AS (SELECT doc_id, r, p, has AND len(p) = 3 AS ok FROM p)
+SELECT doc_id,
+  CASE WHEN ok THEN 'ok' WHEN trim(r) = '' THEN 'blank'
        WHEN contains(lower(r), 'error') THEN 'error' ELSE 'malformed' END AS status,
-  CASE WHEN regexp_matches(r, '{_TP}') THEN trim(regexp_extract(r, '{_TP}', 1)) END AS scene,
-  CASE WHEN regexp_matches(r, '{_TP}') THEN trim(regexp_extract(r, '{_TP}', 2)) END AS operation,
-  CASE WHEN regexp_matches(r, '{_TP}') THEN trim(regexp_extract(r, '{_TP}', 3)) END AS defect
-FROM (SELECT doc_id, {REPLY_SQL} AS r FROM documents)"""
+  CASE WHEN ok THEN trim(p[1]) END AS scene,
+  CASE WHEN ok THEN trim(p[2]) END AS operation,
+  CASE WHEN ok THEN trim(p[3]) END AS defect
+FROM o"""
 
 
 def _parsed(spark, sf):

@@ -5,12 +5,15 @@ from bugsift.operators.complete import EchoCompleter, batch_complete, extract_ch
 
 
 def test_parse_triple_cases(spark):
-    replies = ["<a，b，c>", "<a;b;c>", "error", " ", "The triple is <x, y, z> ok", "<a，b>"]
+    replies = ["<a，b，c>", "<a;b;c>", "error", " ", "The triple is <x, y, z> ok", "<a，b>",
+               "<home, top bar;tap;slow, twice>", "<a,b;c>", "<a, b, c, d>"]
     df = spark.createDataFrame(list(enumerate(replies)), "id long, r string")
     got = [r.t for r in df.orderBy("id").select(P.parse_triple(F.col("r")).alias("t")).collect()]
-    assert [t.status for t in got] == ["ok", "ok", "error", "blank", "ok", "malformed"]
+    assert [t.status for t in got] == ["ok", "ok", "error", "blank", "ok", "malformed", "ok", "malformed", "ok"]
     assert (got[0].scene, got[0].operation, got[0].defect) == ("a", "b", "c")
     assert (got[4].scene, got[4].operation, got[4].defect) == ("x", "y", "z")
+    assert (got[6].scene, got[6].operation, got[6].defect) == ("home, top bar", "tap", "slow, twice")
+    assert (got[8].scene, got[8].operation, got[8].defect) == ("a", "b", "c, d")
 
 
 def test_prompt_styles_shape(spark):
@@ -22,7 +25,7 @@ def test_prompt_styles_shape(spark):
         assert msgs[-1].role == "user"
         assert "report text" in msgs[-1].content or style == "chain"
     fused = df.select(P.fuse_text(F.col("t"), F.lit("SCREEN"), "labelled").alias("f")).first().f
-    assert fused == "Screenshot text: SCREEN\nBug report: report text"
+    assert fused == P.TEMPLATES.screenshot_label + "SCREEN" + P.TEMPLATES.report_label + "report text"
 
 
 def test_transcripts_and_append(spark):
@@ -67,6 +70,21 @@ def test_batch_complete_retries(spark):
     assert len(boom) == 20 and {r.status for r in boom} == {"failed"}
 
 
+def test_stand_in_failures_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(f"id{i}", f"r{i % 40} x y") for i in range(80)] + [("null", None)], "id string, t string")
+    msgs = df.select("id", F.when(F.col("t").isNotNull(), P.build_prompt(F.col("t"), "role_zero_shot")).alias("messages"))
+    runs = [sorted(tuple(r) for r in batch_complete(msgs.repartition(k), id_col="id",
+                                                    completer_factory=lambda: EchoCompleter(5)).collect()) for k in (1, 4, 7)]
+    assert runs[0] == runs[1] == runs[2]
+    assert {r[2:] for r in runs[0]} == {("ok", 1), ("ok", 2), ("failed", 2), ("failed", 0)}
+
+
+def test_templates_are_parameters(spark):
+    df = spark.createDataFrame([(1, "note")], "id long, t string")
+    own = P.PromptTemplates(instruction="Say: ")
+    assert df.select(P.build_prompt(F.col("t"), "prefix_zero_shot", own).alias("m")).first().m[0].content == "Say: note"
+
+
 def test_extract_chain_four_rounds(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma delta")], "id long, t string")
     out = extract_chain(df, id_col="id", text_col="t", completer_factory=lambda: EchoCompleter()).first()

@@ -39,6 +39,12 @@ def test_cjk_bigrams(spark):
     assert got == ["登录", "录界", "界面", "ok", "Test"]
 
 
+def test_mixed_scripts(spark):
+    df = rows(spark, [(1, "点击login按钮 用 x 录a界bb")])
+    got = df.select(tx.segment("t", "cjk_bigrams").alias("s")).first().s
+    assert got == ["点击", "login", "按钮", "用", "录", "界", "bb"]
+
+
 def test_let_binds_once(spark):
     df = rows(spark, [(1, "a b c")])
     out = df.select(tx.let(F.split("t", " "), lambda a: F.size(a) + F.size(a)).alias("n")).first().n
