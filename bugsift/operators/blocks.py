@@ -83,6 +83,12 @@ def sq_dists(a: np.ndarray, b: np.ndarray):
     na = np.einsum("ij,ij->i", a, a)
     nb = np.einsum("ij,ij->i", b, b)
     d2 = na[:, None] + nb[None, :] - 2.0 * g
+    # the expansion loses what is small against the norms: those few are taken by difference,
+    # so equal rows are at distance 0
+    r, c = np.nonzero(d2 <= 1e-7 * (na[:, None] + nb[None, :]))
+    for at in range(0, len(r), 20_000):
+        x, y = r[at:at + 20_000], c[at:at + 20_000]
+        d2[x, y] = np.einsum("ij,ij->i", a[x] - b[y], a[x] - b[y])
     np.maximum(d2, 0.0, out=d2)
     return d2, g, na, nb
 
@@ -173,38 +179,79 @@ def knn_kernel(k: int):
     return kernel
 
 
-EDGE_SCHEMA = "id long, comp long, other long, other_comp long, dist double"
+LINK_SCHEMA = "i long, j long"
 
 
-def min_outgoing_kernel(mutual_reachability: bool = False):
-    """Per row, the nearest row of a *different* component (Borůvka step).
+def linked_kernel(eps: float):
+    """Star edges (smallest id of the component, id) of the eps-graph of a block
+    pair: the same components as all its pairs, at most one edge per row."""
+    from .graph import min_label_components
+
+    def kernel(left, right, a, b, diag):
+        none = pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64)})
+        if left is None:
+            return none
+        d2, _, _, _ = sq_dists(a, b)
+        r, c = np.nonzero(d2 <= eps * eps)
+        if not len(r):
+            return none
+        v, top = min_label_components(left["id"].to_numpy(np.int64)[r], right["id"].to_numpy(np.int64)[c])
+        return pd.DataFrame({"i": top[v != top], "j": v[v != top]})
+    return kernel
+
+
+FOREST_SCHEMA = "i long, j long, dist double"
 
-    With ``mutual_reachability`` the distance is max(d, core_a, core_b), the
-    rows carrying a ``core`` column. Ties broken by (distance, other id)."""
-    def one_side(ids_q, comp_q, ids_r, comp_r, d2, core_q=None, core_r=None):
-        if core_q is not None:
-            d2 = np.maximum(d2, np.maximum(core_q[:, None] ** 2, core_r[None, :] ** 2))
-        d2 = np.where(comp_q[:, None] == comp_r[None, :], np.inf, d2)
-        best = np.argmin(d2, axis=1)  # first minimum = smallest id (rows sorted)
-        val = d2[np.arange(len(ids_q)), best]
-        keep = np.isfinite(val)
-        return pd.DataFrame({"id": ids_q[keep], "comp": comp_q[keep], "other": ids_r[best[keep]],
-                             "other_comp": comp_r[best[keep]], "dist": np.sqrt(val[keep])})
 
+def forest_kernel(mutual_reachability: bool = False):
+    """Minimum spanning forest of a block pair's own edges: all pairs inside a
+    block, or all pairs between two blocks. Prim's rule on the distance matrix,
+    ties by (distance, smaller id, larger id). With ``mutual_reachability`` the
+    distance is max(d, core_a, core_b), the rows carrying a ``core`` column."""
     def kernel(left, right, a, b, diag):
+        none = pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "dist": np.zeros(0)})
         if left is None:
-            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in
-                                 [("id", "int64"), ("comp", "int64"), ("other", "int64"),
-                                  ("other_comp", "int64"), ("dist", "float64")]})
+            return none
         d2, _, _, _ = sq_dists(a, b)
+        if mutual_reachability:
+            ka, kb = left["core"].to_numpy(np.float64), right["core"].to_numpy(np.float64)
+            d2 = np.maximum(d2, np.maximum(ka[:, None] ** 2, kb[None, :] ** 2))
         ida, idb = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        ca, cb = left["comp"].to_numpy(np.int64), right["comp"].to_numpy(np.int64)
-        ka = left["core"].to_numpy(np.float64) if mutual_reachability else None
-        kb = right["core"].to_numpy(np.float64) if mutual_reachability else None
-        parts = [one_side(ida, ca, idb, cb, d2, ka, kb)]
-        if not diag:
-            parts.append(one_side(idb, cb, ida, ca, d2.T, kb, ka))
-        return pd.concat(parts, ignore_index=True)
+        n, m = d2.shape
+        ids = ida if diag else np.concatenate([ida, idb])
+        total = len(ids)
+        if total < 2:
+            return none
+        out_w = np.full(total, np.inf)          # best edge from the tree to each row
+        out_lo = np.zeros(total, np.int64)
+        out_hi = np.zeros(total, np.int64)
+        done = np.zeros(total, bool)
+        edges_i, edges_j, edges_d = [], [], []
+        cur = 0
+        for _ in range(total - 1):
+            done[cur] = True
+            if diag:
+                reach, w = np.arange(n), d2[cur]
+            elif cur < n:
+                reach, w = np.arange(n, n + m), d2[cur]
+            else:
+                reach, w = np.arange(n), d2[:, cur - n]
+            lo, hi = np.minimum(ids[reach], ids[cur]), np.maximum(ids[reach], ids[cur])
+            better = ~done[reach] & ((w < out_w[reach]) | ((w == out_w[reach]) & (
+                (lo < out_lo[reach]) | ((lo == out_lo[reach]) & (hi < out_hi[reach])))))
+            at = reach[better]
+            out_w[at], out_lo[at], out_hi[at] = w[better], lo[better], hi[better]
+            open_w = np.where(done, np.inf, out_w)
+            least = open_w.min()
+            if not np.isfinite(least):
+                break
+            tied = np.flatnonzero(open_w == least)
+            cur = int(tied[np.lexsort((out_hi[tied], out_lo[tied]))[0]])
+            edges_i.append(out_lo[cur])
+            edges_j.append(out_hi[cur])
+            edges_d.append(least)
+        return pd.DataFrame({"i": np.array(edges_i, np.int64), "j": np.array(edges_j, np.int64),
+                             "dist": np.sqrt(np.array(edges_d, np.float64))})
     return kernel
 
 
@@ -212,13 +259,17 @@ WARD_NN_SCHEMA = "id long, other long, dist double"
 
 
 def ward_nn_kernel():
-    """Per cluster row (size n, centroid), its nearest other cluster by Ward distance
-    sqrt(2 na nb / (na + nb)) * ||ca - cb||; ties by other id."""
-    def one_side(ids_q, n_q, ids_r, n_r, d2, same):
+    """Per asked cluster row (size n, centroid, q = asked), its nearest other cluster
+    by Ward distance sqrt(2 na nb / (na + nb)) * ||ca - cb||; ties by other id."""
+    def one_side(ids_q, n_q, ids_r, n_r, d2, same, ask):
+        if same:
+            d2 = d2.copy()
+            np.fill_diagonal(d2, np.inf)
+        ids_q, n_q, d2 = ids_q[ask], n_q[ask], d2[ask]
+        if not len(ids_q):
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "dist": np.zeros(0)})
         f = 2.0 * n_q[:, None] * n_r[None, :] / (n_q[:, None] + n_r[None, :])
         wd = f * d2
-        if same:
-            np.fill_diagonal(wd, np.inf)
         best = np.argmin(wd, axis=1)
         val = wd[np.arange(len(ids_q)), best]
         keep = np.isfinite(val)
@@ -228,11 +279,14 @@ def ward_nn_kernel():
         if left is None or (diag and len(left) < 2):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
-        d2, _, _, _ = sq_dists(a, b)
+        qa, qb = left["q"].to_numpy(bool), right["q"].to_numpy(bool)
         ida, idb = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+        if not qa.any() and not qb.any():
+            return one_side(ida, ida, idb, idb, np.zeros((len(ida), len(idb))), False, qa)
+        d2, _, _, _ = sq_dists(a, b)
         na, nb = left["n"].to_numpy(np.float64), right["n"].to_numpy(np.float64)
-        parts = [one_side(ida, na, idb, nb, d2, diag)]
+        parts = [one_side(ida, na, idb, nb, d2, diag, qa)]
         if not diag:
-            parts.append(one_side(idb, nb, ida, na, d2.T, False))
+            parts.append(one_side(idb, nb, ida, na, d2.T, False, qb))
         return pd.concat(parts, ignore_index=True)
     return kernel

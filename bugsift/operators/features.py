@@ -56,6 +56,7 @@ class Features:
     vocab: DataFrame      # term, df, ctf, idf, term_idx
     rows: DataFrame       # id, vec array<struct<term_idx,term,w>>, sorted by term_idx
     id_col: str
+    norm: str | None = "l2"
 
     def release(self) -> None:
         """Drop the cached term counts once every result has been consumed."""
@@ -157,7 +158,12 @@ def sparse_rows(counts: DataFrame, vocab: DataFrame, cfg: VectorizerConfig, id_c
     if vocab_fits_broadcast(vocab, cfg):
         # keeps the document partitioning: no shuffle of the (doc, term) rows
         v = F.broadcast(v)
-    joined = counts.join(v, "term", "left")
+    # documents without a term have one (id, null, 0) row: joined on a null they would all
+    # meet in one partition, so they go round the join
+    no_term = counts.where(F.col("term").isNull()).select(
+        id_col, "term", "tf", F.lit(None).cast("int").alias("term_idx"), F.lit(None).cast("double").alias("idf"))
+    joined = counts.where(F.col("term").isNotNull()).join(v, "term", "left").select(
+        id_col, "term", "tf", "term_idx", "idf").unionByName(no_term)
     entry = F.when(F.col("term_idx").isNotNull(),
                    F.struct(F.col("term_idx"), F.col("term"),
                             (_tf_weight(cfg) * F.col("idf")).alias("w")))
@@ -187,9 +193,13 @@ def fit_transform(df: DataFrame, cfg: VectorizerConfig, *, id_col: str = "doc_id
     # release with ``spark.catalog.clearCache()`` / ``Features.release()``)
     counts = term_counts(tokens, id_col, binary=cfg.binary).persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = counts.select(id_col).distinct().count()
+    n_rows = df.count()
+    if n_rows != n_docs:
+        counts.unpersist()
+        raise ValueError(f"{id_col} must be unique: {n_rows} rows, {n_docs} ids")
     vocab = vocabulary(counts, n_docs, cfg)
     rows = sparse_rows(counts, vocab, cfg, id_col)
-    return Features(n_docs, tokens, counts, vocab, rows, id_col)
+    return Features(n_docs, tokens, counts, vocab, rows, id_col, cfg.norm)
 
 
 def top_keywords(rows: DataFrame, id_col: str, k: int = 3) -> DataFrame:

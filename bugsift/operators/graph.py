@@ -3,7 +3,9 @@
 Both are iterative DataFrame jobs. Each round's state is cut with a reliable
 checkpoint (so a lost executor recomputes one round, not the whole history),
 the loop stops on a fixed point, and a round cap raises instead of returning
-a partial answer.
+a partial answer. No step gathers the graph in one task: tasks first reduce
+what they hold (components or a forest of their own edges), rounds do the rest,
+and inputs of every size take the same path.
 """
 
 from __future__ import annotations
@@ -16,13 +18,6 @@ from pyspark.sql import functions as F
 from ..session import count_round, cut_lineage
 
 
-# An edge set this small is finished in one task (the group is bounded by this
-# constant, not by the data).
-LOCAL_EDGES = 2_000_000
-# A complete graph over this many points is spanned in one task (O(n) memory Prim).
-LOCAL_POINTS = 4096
-
-
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"),
                     F.bit_xor(F.xxhash64("hi", "lo")).alias("h")).collect()[0]
@@ -55,225 +50,152 @@ def min_label_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _contract_partitions(e: DataFrame) -> DataFrame:
     """Replace each partition's edges by star edges to local component minima
-    (same connectivity, at most one edge per vertex per partition)."""
+    (same connectivity, at most one edge per vertex of the partition, which is
+    also all that is held)."""
     def run(batches):
-        pdfs = [p for p in batches]
-        if not pdfs:
-            return
-        pdf = pd.concat(pdfs, ignore_index=True)
-        if len(pdf) == 0:
-            return
-        v, c = min_label_components(pdf["hi"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64))
+        v = c = np.zeros(0, np.int64)
+        for pdf in batches:
+            v, c = min_label_components(np.concatenate([v, pdf["hi"].to_numpy(np.int64)]),
+                                        np.concatenate([c, pdf["lo"].to_numpy(np.int64)]))
         keep = v != c
         yield pd.DataFrame({"hi": v[keep], "lo": c[keep]})
     return e.mapInPandas(run, "hi long, lo long")
 
 
-def _finish_local(e: DataFrame) -> DataFrame:
-    """Components of a bounded edge set in one task: ``(id, component)`` for
-    every vertex that has an edge."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, c = min_label_components(pdf["hi"].to_numpy(np.int64), pdf["lo"].to_numpy(np.int64))
-        return pd.DataFrame({"id": v, "component": c})
-    return e.groupBy(F.lit(0).alias("_g")).applyInPandas(
-        lambda pdf: run(pdf), "id long, component long")
-
-
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
                          src: str = "i", dst: str = "j", vertex_col: str = "id",
-                         max_rounds: int = 64, local_edges: int = LOCAL_EDGES) -> DataFrame:
+                         max_rounds: int = 64) -> DataFrame:
     """``(id, component)`` with component = smallest vertex id of the component.
 
-    While the edge set is large: each partition first contracts its own edges
-    to star edges (local union-find), then one alternating large-star /
-    small-star round (Kiveris et al., 2014) runs over the whole edge table,
-    checkpointed. Once the edge set is at most ``local_edges`` rows it is
-    finished in a single bounded task. Vertices without edges (from
-    ``vertices``) are their own component.
+    Each partition first contracts its own edges to star edges; alternating
+    large-star / small-star rounds (Kiveris et al., 2014) over the whole edge
+    table follow, each checkpointed, until nothing changes. Vertices without
+    edges (from ``vertices``) are their own component.
     """
     e = (edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b"))
          .where(F.col("a") != F.col("b"))
-         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-         .distinct())
-    e = cut_lineage(e)
-    prev = None
+         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")))
+    e = cut_lineage(_contract_partitions(e).distinct())
+    prev = _fingerprint(e)
     for _ in range(max_rounds):
         count_round("components")
-        n_e = e.count()
-        if n_e <= local_edges:
-            out = _finish_local(e)
-            break
-        e = cut_lineage(_contract_partitions(e).distinct())
         # large star: link every larger neighbour of u to m(u) = min(N(u) + u)
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where(F.col("v") > F.col("u")).join(m, "u")
-                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")))
+                 .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         # small star: link u and its smaller neighbours to the smallest of them
         sm = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(sm, "hi")
-                 .select(F.col("lo").alias("x"), F.col("m"))
-                 .unionByName(sm.select(F.col("hi").alias("x"), F.col("m")))
-                 .where(F.col("x") != F.col("m"))
-                 .select(F.col("x").alias("hi"), F.col("m").alias("lo"))
-                 .distinct())
+                 .select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
+                         F.col("m").alias("lo"))
+                 .where(F.col("hi") != F.col("lo")).distinct())
         e = cut_lineage(small)
         cur = _fingerprint(e)
         if cur == prev:
-            out = e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(
-                e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
             break
         prev = cur
     else:
         raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
-    out = cut_lineage(out.withColumnRenamed("id", vertex_col))  # consumed more than once downstream
+    out = e.select(F.col("hi").alias(vertex_col), F.col("lo").alias("component")).unionByName(
+        e.select(F.col("lo").alias(vertex_col), F.col("lo").alias("component")).distinct())
     if vertices is not None:
         v = vertices.select(F.col(vertex_col).cast("long").alias(vertex_col)).distinct()
         out = v.join(out, vertex_col, "left").select(
             vertex_col, F.coalesce("component", F.col(vertex_col)).alias("component"))
-    return out
+    return cut_lineage(out)  # consumed more than once downstream
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Positions of the edges (a < b) in the minimum spanning forest; ties by
+    (weight, a, b). Borůvka rounds on arrays."""
+    verts, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ia, ib = inv[: len(a)], inv[len(a):]
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort((b, a, w))] = np.arange(len(a))
+    lab = np.arange(len(verts))
+    keep = np.zeros(len(a), bool)
+    live = np.arange(len(a))
+    while True:
+        live = live[lab[ia[live]] != lab[ib[live]]]
+        if not len(live):
+            return np.flatnonzero(keep)
+        best = np.full(len(verts), len(a), np.int64)
+        np.minimum.at(best, lab[ia[live]], rank[live])
+        np.minimum.at(best, lab[ib[live]], rank[live])
+        chosen = live[np.isin(rank[live], best)]
+        keep[chosen] = True
+        v, c = min_label_components(lab[ia[chosen]], lab[ib[chosen]])
+        to = np.arange(len(verts))
+        to[v] = c
+        lab = to[lab]
+
+
+def _forest_partitions(edges: DataFrame) -> DataFrame:
+    """Each partition's edges reduced to their own minimum spanning forest (an
+    edge left out of it closes a cycle of smaller edges, so it is in no forest)."""
+    def run(batches):
+        a = b = np.zeros(0, np.int64)
+        w = np.zeros(0)
+        for pdf in batches:
+            a = np.concatenate([a, pdf["i"].to_numpy(np.int64)])
+            b = np.concatenate([b, pdf["j"].to_numpy(np.int64)])
+            w = np.concatenate([w, pdf["dist"].to_numpy(np.float64)])
+            own = spanning_forest(a, b, w)
+            a, b, w = a[own], b[own], w[own]
+        yield pd.DataFrame({"i": a, "j": b, "dist": w})
+    return edges.mapInPandas(run, "i long, j long, dist double")
 
 
 def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: DataFrame | None = None,
-                            max_rounds: int = 64, local_points: int | None = None,
-                            local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Exact Euclidean minimum spanning forest by Borůvka rounds.
+                            max_rounds: int = 64) -> DataFrame:
+    """Exact Euclidean minimum spanning forest ``(i, j, dist)``, i < j.
 
     With ``edges`` (``i, j, dist``), the forest of that graph; otherwise of the
-    complete graph over ``vectors`` (block-pair kernels find each row's nearest
-    row in another component). With ``core`` (``id, core_dist``) the weights are
-    mutual reachability distances max(d, core_i, core_j). Ties are broken by
-    (dist, min id, max id), so the forest is unique. Returns ``(i, j, dist)``.
-
-    Inputs under a fixed size (``local_points`` points, ``local_edges``
-    edges) are finished in one bounded task (Prim / Kruskal); larger ones run
-    Borůvka rounds on Spark.
-    """
-    from .blocks import EDGE_SCHEMA, min_outgoing_kernel
+    complete graph over ``vectors``. With ``core`` (``id, core_dist``) the
+    weights are mutual reachability distances max(d, core_i, core_j). Ties are
+    broken by (dist, i, j), so the forest is unique.
+
+    The complete graph is never listed: one pass over block pairs returns each
+    pair's own forest (at most its rows), whose union holds the whole forest.
+    Borůvka rounds then run on the remaining edge table."""
+    from .blocks import FOREST_SCHEMA, forest_kernel
     from .pairs import _run
-
-    if local_points is None:
-        local_points = LOCAL_POINTS
-    if edges is None and vectors.n_rows <= local_points:
-        return _prim_local(vectors, core)
-    if edges is not None:
-        e_small = cut_lineage(edges.select("i", "j", "dist"))
-        if e_small.count() <= local_edges:
-            return _kruskal_local(e_small)
-        edges = e_small
-    ids = vectors.with_ids() if edges is None else (
-        edges.select(F.col("i").alias("id")).unionByName(edges.select(F.col("j").alias("id"))).distinct())
-    comp = cut_lineage(ids.select("id", F.col("id").alias("comp")))
+    if edges is None:
+        v = vectors.df.withColumnRenamed(vectors.id_col, "id") if vectors.id_col != "id" else vectors.df
+        extra = ()
+        if core is not None:
+            v, extra = v.join(core.select("id", F.col("core_dist").alias("core")), "id"), ("core",)
+        from dataclasses import replace
+        edges = _run(replace(vectors, df=v, id_col="id"), forest_kernel(core is not None), FOREST_SCHEMA, extra=extra)
+    else:
+        edges = edges.where(F.col("i") != F.col("j")).select(
+            F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"),
+            F.col("dist").cast("double").alias("dist"))
+    spark = edges.sparkSession
+    left = cut_lineage(_forest_partitions(edges).groupBy("i", "j").agg(F.min("dist").alias("dist")))
     forest = None
+    comp = None
     for _ in range(max_rounds):
         count_round("boruvka")
-        if edges is None:
-            v = vectors.df.withColumnRenamed(vectors.id_col, "id") if vectors.id_col != "id" else vectors.df
-            vc = v.join(comp, "id")
-            extra = ("comp",)
-            if core is not None:
-                vc = vc.join(core.select("id", F.col("core_dist").alias("core")), "id")
-                extra = ("comp", "core")
-            from dataclasses import replace
-            cand = _run(replace(vectors, df=vc, id_col="id"), min_outgoing_kernel(core is not None),
-                        EDGE_SCHEMA, extra=extra)
-        else:
-            ce = (edges.select("i", "j", "dist")
-                  .join(comp.select(F.col("id").alias("i"), F.col("comp").alias("ci")), "i")
-                  .join(comp.select(F.col("id").alias("j"), F.col("comp").alias("cj")), "j")
-                  .where(F.col("ci") != F.col("cj")))
-            cand = (ce.select(F.col("i").alias("id"), F.col("ci").alias("comp"), F.col("j").alias("other"),
-                              F.col("cj").alias("other_comp"), "dist")
-                    .unionByName(ce.select(F.col("j").alias("id"), F.col("cj").alias("comp"),
-                                           F.col("i").alias("other"), F.col("ci").alias("other_comp"), "dist")))
-        key = F.struct("dist", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        best = cut_lineage(cand.groupBy("comp").agg(
-            F.min_by(F.struct("id", "other", "other_comp", "dist"), key).alias("e")).select("comp", "e.*"))
-        new = best.select(F.least("id", "other").alias("i"), F.greatest("id", "other").alias("j"), "dist").distinct()
-        new = cut_lineage(new)
-        if new.limit(1).count() == 0:
+        ends = left.select("i", "j", "dist", F.col("i").alias("ci"), F.col("j").alias("cj")) if comp is None else (
+            left.join(comp.select(F.col("id").alias("i"), F.col("component").alias("ci")), "i")
+            .join(comp.select(F.col("id").alias("j"), F.col("component").alias("cj")), "j")
+            .where(F.col("ci") != F.col("cj")).select("i", "j", "dist", "ci", "cj"))
+        left = cut_lineage(ends)
+        both = left.select(F.col("ci").alias("c"), "i", "j", "dist").unionByName(
+            left.select(F.col("cj").alias("c"), "i", "j", "dist"))
+        new = cut_lineage(both.groupBy("c").agg(F.min(F.struct("dist", "i", "j")).alias("e"))
+                          .select("e.i", "e.j", "e.dist").distinct())
+        if not new.head(1):
             break
         forest = new if forest is None else cut_lineage(forest.unionByName(new))
-        merged = connected_components(
-            best.select(F.col("comp").alias("i"), F.col("other_comp").alias("j")),
-            comp.select(F.col("comp").alias("id")).distinct())
-        comp = cut_lineage(comp.join(merged.select(F.col("id").alias("comp"), F.col("component")), "comp")
-                           .select("id", F.col("component").alias("comp")))
+        ids = left.select(F.col("i").alias("id")).unionByName(left.select(F.col("j").alias("id"))).distinct()
+        comp = connected_components(forest, ids)
+        left = left.select("i", "j", "dist")
     else:
         raise RuntimeError("minimum_spanning_forest did not converge")
-    spark = ids.sparkSession
     if forest is None:
         return spark.createDataFrame([], "i long, j long, dist double")
     return forest
-
-
-def _prim_local(vectors, core: DataFrame | None) -> DataFrame:
-    """Exact (mutual reachability) MST of <= LOCAL_POINTS points in one task."""
-    from .blocks import to_matrix
-    v = vectors.df.withColumnRenamed(vectors.id_col, "id") if vectors.id_col != "id" else vectors.df
-    cols = ["id", "vec"] if vectors.kind == "dense" else ["id", "idx", "w"]
-    src = v.select(*cols)
-    if core is not None:
-        src = src.join(core.select("id", F.col("core_dist").alias("core")), "id")
-    else:
-        src = src.withColumn("core", F.lit(0.0))
-    kind, dim = vectors.kind, max(1, vectors.dim)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy(np.int64)
-        x = to_matrix(pdf, kind, dim)
-        kc = pdf["core"].to_numpy(np.float64)
-        n = len(ids)
-        sq = np.einsum("ij,ij->i", x, x)
-        in_tree = np.zeros(n, dtype=bool)
-        best = np.full(n, np.inf)
-        frm = np.full(n, -1)
-        cur = 0
-        in_tree[0] = True
-        out_i, out_j, out_d = [], [], []
-        for _ in range(n - 1):
-            d2 = np.maximum(sq + sq[cur] - 2.0 * (x @ x[cur]), 0.0)
-            d = np.maximum(np.sqrt(d2), np.maximum(kc, kc[cur]))
-            better = (d < best) & ~in_tree
-            best = np.where(better, d, best)
-            frm = np.where(better, cur, frm)
-            cand = np.where(in_tree, np.inf, best)
-            nxt = int(np.argmin(cand))
-            a, b = ids[nxt], ids[frm[nxt]]
-            out_i.append(min(a, b)); out_j.append(max(a, b)); out_d.append(float(best[nxt]))
-            in_tree[nxt] = True
-            cur = nxt
-        return pd.DataFrame({"i": np.array(out_i, dtype=np.int64), "j": np.array(out_j, dtype=np.int64),
-                             "dist": np.array(out_d, dtype=np.float64)})
-    return cut_lineage(src.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "i long, j long, dist double"))
-
-
-def _kruskal_local(edges: DataFrame) -> DataFrame:
-    """Minimum spanning forest of <= LOCAL_EDGES edges in one task."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.minimum(pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64))
-        b = np.maximum(pdf["i"].to_numpy(np.int64), pdf["j"].to_numpy(np.int64))
-        w = pdf["dist"].to_numpy(np.float64)
-        order = np.lexsort((b, a, w))
-        verts, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-        ia, ib = inv[: len(a)], inv[len(a):]
-        parent = np.arange(len(verts))
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-        keep = []
-        for k in order:
-            ra, rb = find(ia[k]), find(ib[k])
-            if ra != rb:
-                parent[ra] = rb
-                keep.append(k)
-        keep = np.array(keep, dtype=np.int64)
-        return pd.DataFrame({"i": a[keep] if len(keep) else np.array([], dtype=np.int64),
-                             "j": b[keep] if len(keep) else np.array([], dtype=np.int64),
-                             "dist": w[keep] if len(keep) else np.array([], dtype=np.float64)})
-    return cut_lineage(edges.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "i long, j long, dist double"))

@@ -29,9 +29,6 @@ from .ranking import ordered_index
 # Block kernels do n^2 * dim / 2 multiply-adds; above this the sparse
 # inverted-index join (prefix filtering) is used instead.
 BLOCKS_MAX_WORK = 1e12
-# Rows without any term are all at distance 0 from each other; listing their
-# pairs is quadratic, so the pair listing refuses more than this many.
-ZERO_PAIRS_MAX = 4096
 
 
 @dataclass
@@ -93,7 +90,8 @@ def collapse_duplicates(v: Vectors, exact_count: bool = True) -> tuple[Vectors,
 
 
 def features_are_unit(features: Features) -> bool:
-    return True  # fit_transform rows are L2-normalised unless norm=None was asked
+    """Whether every row has norm 1 or 0 (L2-normalised features)."""
+    return features.norm == "l2"
 
 
 def _run(v: Vectors, kernel, schema: str, extra=()):
@@ -160,7 +158,7 @@ def _index_join(v: Vectors, eps: float) -> DataFrame:
     long = long.join(order.select("term_idx", "ord"), "term_idx")
     suffix = Window.partitionBy("id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
     post = long.withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(suffix))) \
-               .where(F.col("rest") >= s).select("term_idx", "id")
+               .where(F.col("rest") >= s - 1e-9).select("term_idx", "id")
     a, b = post.alias("a"), post.alias("b")
     cand = (a.join(b, (F.col("a.term_idx") == F.col("b.term_idx")) & (F.col("a.id") < F.col("b.id")))
             .select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct())
@@ -171,26 +169,31 @@ def _index_join(v: Vectors, eps: float) -> DataFrame:
 
     def verify(batches):
         for pdf in batches:
-            d2 = np.empty(len(pdf))
-            for k, (ia, wa, ib, wb) in enumerate(zip(pdf.ii.values, pdf.wi.values, pdf.ij.values, pdf.wj.values)):
-                wa, wb = np.asarray(wa, dtype=np.float64), np.asarray(wb, dtype=np.float64)
-                _, pa, pb = np.intersect1d(ia, ib, assume_unique=True, return_indices=True)
-                d2[k] = wa @ wa + wb @ wb - 2.0 * float(wa[pa] @ wb[pb])
+            def side(idx, w):
+                n = np.fromiter((len(x) for x in idx), np.int64, len(idx))
+                row = np.repeat(np.arange(len(idx)), n)
+                term = np.concatenate([np.asarray(x, np.int64) for x in idx]) if len(idx) else np.zeros(0, np.int64)
+                return row, term, np.concatenate([np.asarray(x, np.float64) for x in w]) if len(w) else np.zeros(0)
+            (ra, ta, wa), (rb, tb, wb) = side(pdf.ii.values, pdf.wi.values), side(pdf.ij.values, pdf.wj.values)
+            # all pairs of the batch at once: shared (pair, term) keys, summed per pair
+            width = 1 + max(ta.max(initial=0), tb.max(initial=0))
+            _, pa_, pb_ = np.intersect1d(ra * width + ta, rb * width + tb, assume_unique=True, return_indices=True)
+            size = len(pdf)
+            total = lambda r, x: np.bincount(r, x, minlength=size)
+            # sum of squared differences over the union of terms: equal rows give exactly 0
+            d2 = (total(ra[pa_], (wa[pa_] - wb[pb_]) ** 2) + total(ra, wa * wa) - total(ra[pa_], wa[pa_] ** 2)
+                  + total(rb, wb * wb) - total(rb[pb_], wb[pb_] ** 2))
             d2 = np.maximum(d2, 0.0)
             keep = d2 <= eps2
             yield pd.DataFrame({"i": pdf.i.values[keep], "j": pdf.j.values[keep], "dist": np.sqrt(d2[keep])})
     pairs = cand.join(ri, "i").join(rj, "j").select("i", "j", "ii", "wi", "ij", "wj") \
                 .mapInPandas(verify, "i long, j long, dist double")
     zero = rows.where(F.size("idx") == 0).select("id")
-    n_zero = zero.count()
-    if n_zero > ZERO_PAIRS_MAX:
-        raise ValueError(f"{n_zero} rows have no term; their {n_zero * (n_zero - 1) // 2} mutual pairs are "
-                         "not listed (dbscan collapses identical rows and never lists them)")
-    if n_zero > 1:
-        za, zb = zero.alias("za"), zero.alias("zb")
-        zz = za.join(zb, F.col("za.id") < F.col("zb.id")).select(
-            F.col("za.id").alias("i"), F.col("zb.id").alias("j"), F.lit(0.0).alias("dist"))
-        pairs = pairs.unionByName(zz)
+    # rows without a term are equal to each other: their pairs are part of the answer
+    za, zb = zero.withColumn("_k", F.lit(0)).alias("za"), zero.withColumn("_k", F.lit(0)).alias("zb")
+    zz = za.join(zb, (F.col("za._k") == F.col("zb._k")) & (F.col("za.id") < F.col("zb.id"))).select(
+        F.col("za.id").alias("i"), F.col("zb.id").alias("j"), F.lit(0.0).alias("dist"))
+    pairs = pairs.unionByName(zz)
     return pairs
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.dbscan import dbscan
+from ..operators.dbscan import dbscan_from_edges
 from ..operators.ensemble import stack_labels, vote_mean_onehot, vote_plurality
-from ..operators.pairs import Vectors
+from ..operators.pairs import Vectors, epsilon_join
 from ..operators.vectors import norms, standardize_long
+from ..session import cut_lineage
 from .catalog import query, r6, table
 from .q_pairs import EMB_SQL
 
@@ -35,7 +36,9 @@ def _labels_sql() -> str:
 
 def _labels(spark, sf):
     v = Vectors.dense(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    return stack_labels({str(e): dbscan(v, e, 2) for e in EPS})
+    # one join at the largest eps; the smaller graphs are parts of it
+    pairs = cut_lineage(epsilon_join(v, max(EPS)))
+    return stack_labels({str(e): dbscan_from_edges(v.with_ids(), pairs.where(F.col("dist") <= e), 2) for e in EPS})
 
 
 @query("vote_plurality", f"""WITH RECURSIVE {_labels_sql()},

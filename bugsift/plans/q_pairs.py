@@ -12,7 +12,8 @@ from ..operators.pairs import (Vectors, epsilon_join, kth_neighbor_distance, pai
                                similarity_matrix)
 from .catalog import query, r6, table
 from .presets import PRESETS, TEST
-from .sqlgen import vectorizer_ctes
+from .q_text import STOPWORDS, _STOP_SQL
+from .sqlgen import TOKENS, vectorizer_ctes
 
 EMB_SQL = """emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     ed AS (SELECT a.id AS i, b.id AS j,
@@ -22,11 +23,16 @@ EMB_SQL = """emb AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM
            FROM emb a JOIN emb b ON a.id < b.id)"""
 
 
-def doc_pairs_sql(eps: float, cfg=TEST) -> str:
+# preprocessing of the end-to-end runs: segments of the lower-cased text, less stop words
+CLEAN = {"method": "cjk_bigrams", "stopwords": STOPWORDS}
+CLEAN_TOKENS = f"list_filter({TOKENS}, lambda x: NOT list_contains({_STOP_SQL}, x))"
+
+
+def doc_pairs_sql(eps: float, cfg=TEST, tokens: str = TOKENS) -> str:
     """CTEs ``pairs(i, j, dist)`` for the document eps-graph under a preset
     (TEST by default): term join for unit rows, plus the zero rows linked to
     each other."""
-    return f"""{vectorizer_ctes(cfg)},
+    return f"""{vectorizer_ctes(cfg, tokens_expr=tokens)},
     dots AS (SELECT a.doc AS i, b.doc AS j, sum(a.w * b.w) AS dot
              FROM wts a JOIN wts b ON a.term = b.term AND a.doc < b.doc GROUP BY a.doc, b.doc),
     zr AS (SELECT doc_id AS doc FROM documents WHERE doc_id NOT IN (SELECT doc FROM wts)),
@@ -100,6 +106,13 @@ def q_epsilon_pairs_sparse(spark, sf):
     return epsilon_join(_docs(spark, sf), 0.71).select("i", "j", r6("dist").alias("dist"))
 
 
+@query("epsilon_pairs_close", f"""WITH {doc_pairs_sql(0.3)}
+SELECT i, j, round(dist, 6) AS dist FROM pairs""")
+def q_epsilon_pairs_close(spark, sf):
+    """A selective distance: near-equal reports only."""
+    return epsilon_join(_docs(spark, sf), 0.3).select("i", "j", r6("dist").alias("dist"))
+
+
 @query("epsilon_pairs_index", f"""WITH {doc_pairs_sql(0.71)}
 SELECT i, j, round(dist, 6) AS dist FROM pairs""")
 def q_epsilon_pairs_index(spark, sf):
@@ -141,9 +154,18 @@ def q_dbscan_min5(spark, sf):
     return dbscan(_emb(spark, sf), 1.2, 5)
 
 
-@query("minimum_spanning_forest")
+# an edge is in the forest unless smaller edges (by distance, i, j) already join its ends
+@query("minimum_spanning_forest", f"""WITH RECURSIVE {EMB_SQL},
+  pairs AS (SELECT i, j, dist FROM ed WHERE dist <= 1.15),
+  und AS (SELECT i AS a, j AS b, i, j, dist FROM pairs UNION ALL SELECT j, i, i, j, dist FROM pairs),
+  walk(ei, ej, ed, node) AS (
+    SELECT i, j, dist, i FROM pairs
+    UNION SELECT w.ei, w.ej, w.ed, u.b FROM walk w JOIN und u ON u.a = w.node
+      AND (u.dist < w.ed OR (u.dist = w.ed AND (u.i < w.ei OR (u.i = w.ei AND u.j < w.ej)))))
+SELECT i, j, round(dist, 6) AS dist FROM pairs p
+WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.ei = p.i AND w.ej = p.j AND w.node = p.j)""")
 def q_minimum_spanning_forest(spark, sf):
-    """Borůvka forest of the eps=1.15 embedding graph (weight checked in pytest)."""
+    """Borůvka forest of the eps=1.15 embedding graph."""
     v = _emb(spark, sf)
     return minimum_spanning_forest(v, edges=epsilon_join(v, 1.15)).select("i", "j", r6("dist").alias("dist"))
 
@@ -181,19 +203,19 @@ def _scores_sql_dbscan_ti() -> str:
     ms = _DBSCAN_TI.clusterers["dbscan"]["min_samples"]
     long = """long AS (SELECT 'dbscan_ti' AS method, d.lang AS t, CAST(l.label AS VARCHAR) AS p
                        FROM documents d JOIN labf l ON l.id = d.doc_id)"""
-    return (f"WITH RECURSIVE {doc_pairs_sql(eps, _DBSCAN_TI.vectorizer)}, {dbscan_sql(ms)}, "
+    return (f"WITH RECURSIVE {doc_pairs_sql(eps, _DBSCAN_TI.vectorizer, CLEAN_TOKENS)}, {dbscan_sql(ms)}, "
             + scores_sql(long))
 
 
 @query("dbscan_ti_scores", _scores_sql_dbscan_ti() + """
 SELECT method, round(purity, 6) AS purity, round(ami, 6) AS ami, round(v_measure, 6) AS v_measure FROM sc""")
 def q_dbscan_ti_scores(spark, sf):
-    """The reference's dbscan_ti run end to end: preset features (1-2-grams,
-    max_df 0.7, min_df 12, top 5000, TF, L2), DBSCAN(0.71, 1), scored against
-    the document language with purity, AMI and V-measure."""
+    """A dbscan_ti run end to end: segmentation, stop words, preset features
+    (1-2-grams, max_df 0.7, min_df 12, top 5000, TF, L2), DBSCAN(0.71, 1), scored
+    against the document language with purity, AMI and V-measure."""
     from ..operators import metrics as M
     docs = table(spark, sf, "documents")
-    v = Vectors.sparse(feat.fit_transform(docs, _DBSCAN_TI.vectorizer))
+    v = Vectors.sparse(feat.fit_transform(docs, _DBSCAN_TI.vectorizer, **CLEAN))
     lab = dbscan(v, **_DBSCAN_TI.clusterers["dbscan"]).withColumnRenamed("id", "doc_id")
     long = docs.select("doc_id", "lang").join(lab, "doc_id").select(
         F.lit("dbscan_ti").alias("method"), F.col("lang").alias("y_true"),

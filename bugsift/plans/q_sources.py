@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.text import word_tokens
+from ..session import ensure_checkpoint_dir
 from ..sources import batches as B
-from ..sources.io import slice_columns
+from ..sources.io import read_stopwords, remove_stopwords_join, slice_columns, write_table
 from .catalog import query, table
+from .sqlgen import TOKENS
 
 
 @query("read_reports", """SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
@@ -39,3 +46,44 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def q_resume_pending(spark, sf):
     return B.resume_pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder in the shared storage of the session."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_FREQUENT = f"""SELECT w FROM (SELECT w, count(DISTINCT doc_id) AS n FROM
+    (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) GROUP BY w) WHERE n * 2 > (SELECT count(*) FROM documents)"""
+
+
+@query("stopword_files", f"""WITH stop AS ({_FREQUENT} UNION SELECT 'est'),
+  t AS (SELECT doc_id, {TOKENS} AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter(t, lambda x: NOT list_contains((SELECT list(w) FROM stop), x)), ' ') AS kept FROM t""")
+def q_stopword_files(spark, sf):
+    """Words of more than half of the reports, written as a word-per-line file,
+    read back (stripped, with one extra word) and removed by a join."""
+    tokens = table(spark, sf, "documents").select("doc_id", word_tokens("text").alias("tokens"))
+    n = tokens.count()
+    frequent = (tokens.select("doc_id", F.explode(F.array_distinct("tokens")).alias("w")).groupBy("w")
+                .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 > n))
+    path = _scratch(spark, "stopwords")
+    write_table(frequent.select(F.concat(F.lit("  "), "w", F.lit(" ")).alias("value")), path, fmt="text")
+    words = read_stopwords(spark, path, extra=["est"])
+    out = remove_stopwords_join(tokens, words, id_col="doc_id")
+    return out.select("doc_id", F.array_join("tokens", " ").alias("kept"))
+
+
+@query("write_table", """SELECT f.fmt, doc_id, text, lang FROM documents,
+  (SELECT unnest(['parquet', 'json', 'csv']) AS fmt) f""")
+def q_write_table(spark, sf):
+    """Reports written in three formats (partitioned by language) and read back."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = None
+    for fmt in ("parquet", "json", "csv"):
+        path = _scratch(spark, f"reports-{fmt}")
+        options = {"escape": '"', "multiLine": "true", "header": "true"} if fmt == "csv" else {}
+        write_table(d, path, fmt=fmt, partition_by=["lang"], options=options)
+        reader = spark.read.schema("doc_id long, text string, lang string").options(**options)
+        back = reader.format(fmt).load(path).select(F.lit(fmt).alias("fmt"), "doc_id", "text", "lang")
+        out = back if out is None else out.unionByName(back)
+    return out

@@ -39,7 +39,7 @@ def local_session(cpus: int | str = "*", app: str = "bugsift",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in (extra or {}).items():
@@ -55,8 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
     """Return the reliable checkpoint folder, reading ``spark.checkpoint.dir``.
 
     On a cluster the folder must be shared storage named by the cluster's own
-    configuration. ``allow_local_default`` (tests only) creates a fresh scratch
-    folder when nothing is configured.
+    configuration. ``allow_local_default`` creates a fresh scratch folder when
+    nothing is configured, and only if the master is this machine: executors
+    elsewhere would each write to a folder of their own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not allow_local_default:
+        if not allow_local_default or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError(
                 "no checkpoint folder: set spark.checkpoint.dir to shared storage "
                 "(iterative operators cut lineage with reliable checkpoints)")

@@ -74,35 +74,82 @@ def test_kth_neighbor(spark):
     assert {r.core_dist for r in kth_neighbor_distance(dense(spark, X), 1).collect()} == {0.0}
 
 
-@pytest.mark.parametrize("local_edges", [0, 10_000])
-def test_connected_components_vs_naive(spark, local_edges):
-    rng = np.random.default_rng(local_edges)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, size=(150, 2))]
-    df = spark.createDataFrame(edges, "i long, j long")
+@pytest.mark.parametrize("parts", [1, 5])
+def test_connected_components_vs_naive(spark, parts):
+    rng = np.random.default_rng(parts)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, size=(150, 2))] + [(200 + k, 201 + k) for k in range(15)]
+    df = spark.createDataFrame(edges, "i long, j long").repartition(parts)
     ids = spark.range(0, 220)
-    got = {r.id: r.component for r in connected_components(df, ids, local_edges=local_edges).collect()}
+    got = {r.id: r.component for r in connected_components(df, ids).collect()}
     assert got == naive.components(list(range(220)), edges)
+    assert connected_components(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("with_edges,local", [(False, 0), (False, 4096), (True, 0), (True, 10_000)])
-def test_spanning_forest_weight(spark, with_edges, local):
+@pytest.mark.parametrize("with_edges", [False, True])
+def test_spanning_forest_weight(spark, with_edges):
     rng = np.random.default_rng(11)
     X = rng.normal(size=(60, 3))
     v = dense(spark, X)
     d = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
-    if with_edges:
-        e = epsilon_join(v, 1.0)
-        forest = minimum_spanning_forest(v, edges=e, local_edges=local)
-        cand = [(d[i, j], i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 1.0]
-    else:
-        forest = minimum_spanning_forest(v, local_points=local)
-        cand = [(d[i, j], i, j) for i in range(60) for j in range(i + 1, 60)]
+    forest = minimum_spanning_forest(v, edges=epsilon_join(v, 1.0) if with_edges else None)
+    cand = [(d[i, j], i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 1.0 or not with_edges]
     want, used = naive.kruskal_weight(60, cand)
     rows = forest.collect()
     assert len(rows) == used
     assert sum(r.dist for r in rows) == pytest.approx(want)
 
 
+def test_tied_weights_give_one_forest(spark, monkeypatch):
+    """A 3 x 3 grid has many spanning trees of weight 8; (dist, i, j) picks one,
+    whatever the blocks and partitions, and also from an edge list."""
+    from bugsift.operators import blocks
+    pts = np.array([[x, y] for x in range(3) for y in range(3)], float)
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    parent = list(range(9))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+    want = set()
+    for w, i, j in sorted((d[i, j], i, j) for i in range(9) for j in range(i + 1, 9)):
+        if find(i) != find(j):
+            parent[find(j)] = find(i)
+            want.add((i, j))
+    got = []
+    for rows_per_block in (2, 100):
+        monkeypatch.setattr(blocks, "plan_blocks", lambda n, *a, k=rows_per_block: max(1, n // k))
+        got.append({(r.i, r.j) for r in minimum_spanning_forest(dense(spark, pts)).collect()})
+    edges = spark.createDataFrame([(j, i, float(d[i, j])) for i in range(9) for j in range(i + 1, 9)],
+                                  "i long, j long, dist double").repartition(4)
+    got.append({(r.i, r.j) for r in minimum_spanning_forest(None, edges=edges).collect()})
+    assert got == [want] * 3
+
+
+def test_unnormalised_rows_are_not_taken_for_unit_rows(spark):
+    from bugsift.operators.features import VectorizerConfig, fit_transform
+    docs = spark.createDataFrame([(1, "aa " * 9), (2, "bb " * 6), (3, "cc " * 3)], "doc_id long, text string")
+    v = Vectors.sparse(fit_transform(docs, VectorizerConfig(norm=None, use_idf=False)))
+    assert not v.unit_or_zero
+    assert len({r.label for r in dbscan(v, 1.5, 1).collect()}) == 3
+
+
+def test_copies_are_at_distance_zero(spark):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(6, 40))
+    X /= np.linalg.norm(X, axis=1)[:, None]
+    v = dense(spark, np.vstack([X, X]))
+    zero = {(r.i, r.j) for r in epsilon_join(v, 0.5).collect() if r.dist == 0.0}
+    assert zero == {(k, k + 6) for k in range(6)}
+    forest = minimum_spanning_forest(v).collect()
+    assert sum(r.dist == 0.0 for r in forest) == 6
+
+
+def test_repeated_ids_are_an_error(spark):
+    from bugsift.operators.features import VectorizerConfig, fit_transform
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "cc dd")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="unique"):
+        fit_transform(docs, VectorizerConfig())
+
+
 @pytest.mark.parametrize("eps,ms", [(0.9, 1), (0.9, 2), (1.1, 4), (0.7, 3)])
 def test_dbscan_vs_sequential(spark, eps, ms):
     rng = np.random.default_rng(int(eps * 10) + ms)
