@@ -57,8 +57,10 @@ _FREQUENT = f"""SELECT w FROM (SELECT w, count(DISTINCT doc_id) AS n FROM
 
 
 @query("stopword_files", f"""WITH stop AS ({_FREQUENT} UNION SELECT 'est'),
-  t AS (SELECT doc_id, {TOKENS} AS t FROM documents)
-SELECT doc_id, array_to_string(list_filter(t, lambda x: NOT list_contains((SELECT list(w) FROM stop), x)), ' ') AS kept FROM t""")
+  t AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+  ex AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM t),
+  k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS kept FROM ex WHERE w NOT IN (SELECT w FROM stop) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(kept, '') AS kept FROM t LEFT JOIN k USING (doc_id)""")
 def q_stopword_files(spark, sf):
     """Words of more than half of the reports, written as a word-per-line file,
     read back (stripped, with one extra word) and removed by a join."""
