@@ -312,10 +312,11 @@ def labelled_pages(pages: DataFrame, documents: DataFrame) -> list[tuple[str, st
     n = named.count()
     step = max(1, -(-n // TRAIN_PAGES))
     sample = named.where((F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0) & (F.length("html") < 40_000))
-    ids = sample.select("_n").distinct()
-    texts = documents.where("text IS NOT NULL").join(ids, F.col("doc_id") == F.col("_n"), "left_semi")
-    rows = sample.join(texts.select(F.col("doc_id").alias("_n"), "text"), "_n").select("page_id", "html", "text")
-    return [(r["html"], r["text"]) for r in rows.orderBy("page_id", "html", "text").limit(2 * TRAIN_PAGES).collect()]
+    rows = sample.orderBy("page_id", "html").limit(2 * TRAIN_PAGES).collect()
+    ids = sorted({r["_n"] for r in rows})              # at most 2 * TRAIN_PAGES, a filter on the scan
+    source = {r["doc_id"]: r["text"] for r in documents.where(
+        F.col("text").isNotNull() & F.col("doc_id").isin(ids)).select("doc_id", "text").collect()} if ids else {}
+    return [(r["html"], source[r["_n"]]) for r in rows if r["_n"] in source]
 
 
 def extract(pages: DataFrame, weights: dict[str, float], *, id_col: str = "page_id", url_col: str = "url",

@@ -87,7 +87,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     if n > TRAIN_ROWS:
         step = -(-n // TRAIN_ROWS)
         own = own.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0)
-    return docs.join(own, F.col(id_col) == F.col("_id")).select(
+    # at most about TRAIN_ROWS short rows
+    return docs.join(F.broadcast(own), F.col(id_col) == F.col("_id")).select(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "label")
 
 
