@@ -122,9 +122,17 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                                         np.concatenate([c, b.column(1).to_numpy()]))
         yield pa.RecordBatch.from_arrays([pa.array(v[v != c]), pa.array(c[v != c])], ["hi", "lo"])
 
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        """Few rows in few partitions: a round then writes few files."""
+        return df.coalesce(max(1, -(-rows // 200_000)))
+
+    def seen(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+
     e = cut(links.select(F.col("a").alias("hi"), F.col("b").alias("lo")).where("hi <> lo")
             .mapInArrow(stars, "hi long, lo long").distinct())
-    last = None
+    last = seen(e)
+    e = small(e, last[0])
     for _ in range(max_rounds):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -132,12 +140,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = (both.where("v > u").join(least, "u")
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         small_min = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (large.join(small_min, "hi")
-                 .select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
-                         F.col("m").alias("lo"))
-                 .where("hi <> lo").distinct())
-        e = cut(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+        linked = (large.join(small_min, "hi")
+                  .select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
+                          F.col("m").alias("lo"))
+                  .where("hi <> lo").distinct())
+        e = cut(small(linked, last[0]))
+        now = seen(e)
         if now == last:
             tops = e.select(F.col("lo").alias("id"), F.col("lo").alias("component_id")).distinct()
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component_id")).unionByName(tops)

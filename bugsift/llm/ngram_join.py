@@ -146,7 +146,8 @@ def hot_shingles(docs: DataFrame) -> Hot:
 
 
 def indexed_sets(docs: DataFrame, hot: Hot) -> DataFrame:
-    """(id, n, set digest, prefix: first shingles in the global order, packed)."""
+    """(id, n, set digest, prefix: first shingles in the global order, packed;
+    bits: bitmap of the set's hashes, two to four slots a shingle)."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +157,13 @@ def indexed_sets(docs: DataFrame, hot: Hot) -> DataFrame:
             often = shared.value.counts(tok)
             some = np.zeros(len(n), bool)
             some[row_of(off)[often > 0]] = True
-            digests, prefixes = [], []
+            digests, prefixes, bitmaps = [], [], []
             for r, (a, b) in enumerate(zip(off[:-1], off[1:])):
                 own = tok[a:b]
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                slots = np.zeros(1 << max(6, int(2 * (b - a) - 1).bit_length()), bool)
+                slots[own & U64(len(slots) - 1)] = True
+                bitmaps.append(np.packbits(slots, bitorder="little").tobytes())
                 if a == b:
                     prefixes.append(b"")
                     continue
@@ -168,9 +172,10 @@ def indexed_sets(docs: DataFrame, hot: Hot) -> DataFrame:
                 prefixes.append(own[:prefix_size(b - a)].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [cols[0], pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()),
-                 pa.array(prefixes, pa.binary())], ["id", "n", "digest", "prefix"])
+                 pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary())],
+                ["id", "n", "digest", "prefix", "bits"])
 
-    return docs.mapInArrow(go, "id long, n long, digest binary, prefix binary")
+    return docs.mapInArrow(go, "id long, n long, digest binary, prefix binary, bits binary")
 
 
 def _pack(buckets: int):
@@ -294,19 +299,47 @@ def _needed(pairs: DataFrame) -> bytes:
     return bytes(out)
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection of both texts."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_needed(pairs))
+def _wanted(rows: DataFrame, bits, schema: str) -> DataFrame:
+    """Rows (id first) whose id the broadcast bitmap holds; few others pass."""
+    cols = rows.columns
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(bitmap[b.column(2).to_numpy()])) for c in b.columns[:2]], ["id", "text"])
+            hit = pa.array(bitmap[b.column(len(cols)).to_numpy()])
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in b.columns[:-1]], cols)
+    return rows.withColumn("_at", F.pmod(F.xxhash64("id"), F.lit(NEED_BITS))).mapInArrow(go, schema)
+
+
+def overlap_at_most(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
+    """Upper bound of the intersection: shared slots, plus what shares a slot within a set."""
+    x, y = np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8)
+    if len(x) > len(y):
+        x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    elif len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    both = int(np.bitwise_count(x & y).sum())
+    return both + min(n_a - int(np.bitwise_count(x).sum()), n_b - int(np.bitwise_count(y).sum()))
 
-    texts = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(NEED_BITS)).alias("at")).mapInArrow(
-        wanted, "id long, text string")
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link. Bitmaps bound the intersection first
+    (losing none), then both texts are compared exactly."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(_needed(pairs))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a_id, b_id, n_a, x, n_b, y = (c.to_pylist() for c in b.columns)
+            ok = [overlap_at_most(p, u, q, v) >= overlap_needed(p, q) for p, u, q, v in zip(n_a, x, n_b, y)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    marks = _wanted(sets.select("id", "n", "bits"), bits, "id long, n long, bits binary")
+    both = (pairs.join(marks.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+            .join(marks.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a"))
+    pairs = cut(both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a long, b long").distinct())
+    bits = spark.sparkContext.broadcast(_needed(pairs))
+    texts = _wanted(docs.select("id", "text"), bits, "id long, text string")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = None, None
@@ -347,7 +380,7 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     found = cut(own.mapInArrow(_pack(buckets), "bucket long, packed binary")
                 .groupBy("bucket").applyInArrow(_lists, _COLS))
     pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    near = cut(verified(docs, pairs))
+    near = cut(verified(docs, sets, pairs))
     entries = found.where("kind = 1").select("tok", F.col("a").alias("id"), "size", "pos")
     # a set in many long lists holds what its kin have in common
     entries = cut(entries.join(entries.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"))
@@ -372,11 +405,11 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         if not ties.head(1):
             continue
         done = cut(done.unionByName(ties))
-        near = cut(near.unionByName(verified(docs, ties)))
+        near = cut(near.unionByName(verified(docs, sets, ties)))
     mixed = _mixed(entries, components(near))
     rest = cut(mixed.drop("weight").repartition(partitions(spark), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
                .distinct().join(done, ["a", "b"], "left_anti"))
-    return near.unionByName(verified(docs, rest)) if rest.head(1) else near
+    return near.unionByName(verified(docs, sets, rest)) if rest.head(1) else near
 
 
 def _mixed(entries: DataFrame, comp: DataFrame) -> DataFrame:
