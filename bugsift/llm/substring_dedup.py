@@ -37,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, cut, gram_hashes, mix, partitions, prepare, row_of, split_words, text_chunks, word_hashes
+from .ngram_join import NEED_BITS, _needed
 
 WINDOW = 13
 MAX_COUNTERS = 1 << 29
 MIN_COUNTERS = 1 << 20
 PER_WINDOW = 4            # counters per window, up to the bound
 SHARD_BITS = 22           # counters of one shard (a bitmap of 512 KB)
-BLOCK = 24 << 20          # bytes of text judged together in a task
+BLOCK = 8 << 20           # bytes of text judged together in a task
 BUCKET_ENTRIES = 1_500_000
 
 
@@ -150,7 +151,24 @@ def _positions(pos: np.ndarray) -> bytes:
     return pos.astype(np.uint32).tobytes()
 
 
-_ENTRY = (("first", np.uint64), ("second", np.uint16), ("doc", np.int64), ("pos", np.uint32))
+def _pack(first: np.ndarray, second: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Entries as columns, ids by number in a table of their own, small numbers in 16 bits."""
+    ids, number = np.unique(doc, return_inverse=True)
+    wide = [len(ids) > 0xFFFF, bool(len(pos)) and int(pos.max()) > 0xFFFF]
+    head = np.array([len(first), len(ids), *wide], np.uint32)
+    kind = [np.uint32 if w else np.uint16 for w in wide]
+    return b"".join(x.tobytes() for x in (head, ids, first, second, number.astype(kind[0]), pos.astype(kind[1])))
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    n, n_ids, *wide = np.frombuffer(packed, np.uint32, 4).tolist()
+    out, at = [], 16
+    for count, kind in ((n_ids, np.int64), (n, np.uint64), (n, np.uint16),
+                        *((n, np.uint32 if w else np.uint16) for w in wide)):
+        out.append(np.frombuffer(packed, kind, count, at))
+        at += count * np.dtype(kind).itemsize
+    ids, first, second, number, pos = out
+    return [first, second, ids[number], pos.astype(np.uint32)]
 
 
 def removals(docs: DataFrame, bits: bytes, width: int, buckets: int) -> DataFrame:
@@ -191,7 +209,7 @@ def removals(docs: DataFrame, bits: bytes, width: int, buckets: int) -> DataFram
                 own = order[a:b]
                 out_bucket.append(int(k))
                 out_kind.append(0)
-                out_packed.append(b"".join(x[own].astype(t).tobytes() for x, (_, t) in zip((first, second, doc, pos), _ENTRY)))
+                out_packed.append(_pack(first[own], second[own], doc[own], pos[own]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_bucket, pa.int64()), pa.array([True] * decided + [False] * (len(out_packed) - decided), pa.bool_()),
                  pa.array(out_kind, pa.int64()), pa.array(out_packed, pa.binary())],
@@ -200,15 +218,9 @@ def removals(docs: DataFrame, bits: bytes, width: int, buckets: int) -> DataFram
     def judge(batch: pa.Table) -> pa.Table:
         decided = batch.column("decided").to_numpy(zero_copy_only=False).astype(bool)
         ready = batch.filter(pa.array(decided))
-        cols: list[list[np.ndarray]] = [[] for _ in _ENTRY]
-        width_of = sum(np.dtype(t).itemsize for _, t in _ENTRY)
-        for p in batch.filter(pa.array(~decided)).column("packed").to_pylist():
-            n, at = len(p) // width_of, 0
-            for k, (_, t) in enumerate(_ENTRY):
-                cols[k].append(np.frombuffer(p, t, n, at))
-                at += n * np.dtype(t).itemsize
+        cols = list(zip(*(_unpack(p) for p in batch.filter(pa.array(~decided)).column("packed").to_pylist())))
         ids, packed = ready.column("id").to_pylist(), ready.column("packed").to_pylist()
-        if cols[0]:
+        if cols:
             first, second, doc, pos = map(np.concatenate, cols)
             order = np.lexsort((doc, second, first))
             first, second, doc, pos = first[order], second[order], doc[order], pos[order]
@@ -236,6 +248,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = max(partitions(docs.sparkSession), n // BUCKET_ENTRIES)
     gone = cut(removals(own, sketch(own, width), width, buckets))
     starts = gone.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    # only documents that lose something (a fixed-size bitmap says which may) meet their
+    # positions in a join; the others are finished where they are read
+    bits = docs.sparkSession.sparkContext.broadcast(
+        _needed(gone.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    slot = F.pmod(F.xxhash64("id"), F.lit(NEED_BITS)).alias("slot")
+
+    def split(keep: bool):
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bitmap = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+            for b in batches:
+                hit = pa.array(bitmap[b.column(2).to_numpy()] == keep)
+                yield pa.RecordBatch.from_arrays([c.filter(hit) for c in b.columns[:2]], ["id", "text"])
+        return own.select("id", "text", slot).mapInArrow(go, "id long, text string")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, text in text_chunks(batches):
@@ -257,5 +282,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 [cols[0], pa.array(n), pa.array(n - n_kept), texts.cast(pa.string()), pa.array(sha, pa.string())],
                 [id_col, "n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return own.join(starts, "id", "left").select("id", "text", "starts").mapInArrow(
-        apply, f"`{id_col}` long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    schema = f"`{id_col}` long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    whole = split(False).withColumn("starts", F.lit(None).cast("array<binary>"))
+    return split(True).join(starts, "id", "left").select("id", "text", "starts").mapInArrow(apply, schema).unionByName(
+        whole.mapInArrow(apply, schema))
