@@ -3,6 +3,7 @@ word splitting and hashing, checkpoints, partition counts, components."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,16 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1,
             hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield [c.slice(lo, hi - lo) for c in b.columns], t.slice(lo, hi - lo)
             lo = hi
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back: workers are reused, and two share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # not glibc
+        pass
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -23,7 +23,6 @@ The model file's path is a parameter and is read on the workers.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -39,9 +38,9 @@ from .common import prepare, text_chunks
 
 SPACE = "▁"
 CACHE_CHARS = 48          # longer stretches are encoded but not kept
-CACHE_SIZE = 1_200_000      # stretches kept per worker, then forgotten together
-CHUNK = 16 << 20
-PAIR_MEMO = 400_000
+CACHE_SIZE = 300_000      # stretches kept per worker, then forgotten together
+CHUNK = 8 << 20
+PAIR_MEMO = 150_000
 
 
 class PieceModel:
@@ -220,7 +219,6 @@ _LOADED: dict[str, PieceModel] = {}
 def load(path: str) -> PieceModel:
     """The model, once per worker process."""
     if path not in _LOADED:
-        gc.disable()          # the cache holds no cycles; tracing it again and again costs more than it frees
         _LOADED[path] = PieceModel(path)
     return _LOADED[path]
 
