@@ -45,7 +45,12 @@ KINDS = ("assign", "access", "hex", "key", "token")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
 B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])ey[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*){2,4}(?![A-Za-z0-9_-])")
+# The first part of a dotted token ends a run before a dot; exactly 2 or 4 parts follow.
+HEADER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+(?=\.)")
+PARTS = [re.compile(r"(?:\.[A-Za-z0-9_-]*+){%d}" % n) for n in (2, 4)]
+OBJECT = re.compile(rb"\{\s*\"")
+ESCAPED_BREAK = re.compile(r"\\+(?:[nrt]|u000[9AaDd]|(?=[\r\n]))")
+ESCAPED_SLASH = re.compile(r"\\+/")
 # A text none of these (RE2) matches has no span of any kind.
 MAY_HAVE = (r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{32}|[A-Za-z0-9+/_-]{44}"
             r"|(?:[0-9A-Fa-f]{2}){32}|-----BEGIN |ey[A-Za-z0-9_-]{8,}\.")
@@ -142,30 +147,63 @@ def is_key(data: bytes | None, deep: bool = True) -> bool:
 
 def armoured(body: str) -> bool:
     """Whether an armoured key's body decodes to a key; header lines mark an
-    encrypted body, which is base64 but has no structure of its own."""
-    lines = body.strip().splitlines()
+    encrypted body, which is base64 but has no structure of its own. In JSON and
+    env strings line breaks (and slashes) are written with backslashes."""
+    lines = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", body)).strip().splitlines()
     headed = any(":" in x for x in lines)
     packed = "".join("".join(x.split()) for x in lines if ":" not in x)
     data = from_base64(packed) if packed else None
     return bool(data) and (headed or is_key(data, deep=False))
 
 
-def is_token(s: str) -> bool:
-    """Dotted token: 3 parts with a header naming ``alg`` and an object as
-    payload, or 5 parts whose header also names ``enc``."""
-    parts = s.split(".")
-
-    def obj(x: str) -> dict:
-        try:
-            got = json.loads(from_base64(x) or b"")
-        except (ValueError, RecursionError):
-            return {}
-        return got if isinstance(got, dict) else {}
-
-    head = obj(parts[0])
-    if not isinstance(head.get("alg"), str):
-        return False
-    return len(parts) == 3 and bool(obj(parts[1])) or len(parts) == 5 and isinstance(head.get("enc"), str)
+def json_object(data: bytes | None) -> dict:
+    try:
+        got = json.loads(data or b"")
+    except (ValueError, RecursionError):
+        return {}
+    return got if isinstance(got, dict) else {}
+
+
+def headers(run: str) -> Iterator[tuple[int, dict]]:
+    """(offset, object) of the ends of a run that are a token header: they start
+    with ``ey`` and decode to an object naming ``alg``. A run may hold more before
+    its header ('id_', '-', the n of an escaped line break). Ends at offsets of one
+    remainder by 4 share their decoding."""
+    decoded = {}
+    for m in re.finditer("ey", run):
+        at = m.start()
+        if len(run) - at < 10:
+            break
+        if at % 4 not in decoded:
+            data = from_base64(run[at:])
+            decoded[at % 4] = at, data if data and data.rstrip().endswith(b"}") else b""
+        first, data = decoded[at % 4]
+        k = (at - first) // 4 * 3
+        if OBJECT.match(data, k):
+            head = json_object(data[k:])
+            if isinstance(head.get("alg"), str):
+                yield at, head
+
+
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Dotted tokens: 3 parts with a header naming ``alg`` and an object as
+    payload, or else 5 parts whose header also names ``enc``. What follows them,
+    dots included, is not part of them."""
+    out, end = [], 0
+    for m in HEADER.finditer(text):
+        if m.start() < end:
+            continue
+        three, five = (p.match(text, m.end()) for p in PARTS)
+        for at, head in headers(m[0]) if three else ():
+            if json_object(from_base64(three[0].split(".")[1])):
+                end = three.end()
+            elif five and isinstance(head.get("enc"), str):
+                end = five.end()
+            else:
+                continue
+            out.append((m.start() + at, end))
+            break
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -187,7 +225,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int, int]]:
             if not any(a <= m.start() < b for a, b in taken) and is_key(decode(m[0])):
                 taken.append((m.start(), m.end()))
     out = [(a, 3, b, a) for a, b in taken]
-    out += [(m.start(), 4, m.end(), m.start()) for m in DOTTED.finditer(text) if is_token(m[0])]
+    out += [(a, 4, b, a) for a, b in token_spans(text)]
     return sorted(set(out))
 
 

@@ -132,6 +132,30 @@ def test_confirmed_structures():
         assert secret_scan.confirmed_spans(f"x {s} y") == [], name
 
 
+def test_tokens_and_keys_in_context():
+    good, _ = secret_texts()
+    rng = random.Random(5)
+    five = ".".join([b64url(json.dumps({"alg": "dir", "enc": "A128GCM"}).encode()), "",
+                     *(b64url(rng.randbytes(n)) for n in (12, 40, 16))])
+    for s in (good["jwt"], five):
+        for before in ("", "x ", ".", "-", "_", "id_token_", '"a\\n', "v1.", "..."):
+            for after in ("", " ", ". Next", ", ", "...", "....", ".next", ".a.b", "\u2026", '\\n"'):
+                text = f"{before}{s}{after}"
+                assert secret_scan.token_spans(text) == [(len(before), len(before) + len(s))], (before, after)
+                assert secret_scan.masked(text, "[X]") == f"{before}[X]{after}"
+    two = f"{good['jwt']}.{five}.{good['jwt']}."
+    assert [two[a:b] for a, b in secret_scan.token_spans(two)] == [good["jwt"], five, good["jwt"]]
+    assert secret_scan.token_spans(good["jwt"].rsplit(".", 1)[0] + " Next") == []
+    for name in ("pem", "pem8", "ssh"):
+        for brk in ("\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\\n\\\n"):
+            s = good[name].replace("\n", brk)
+            for key in (s, s.replace("/", "\\/")):
+                text = f'{{"key": "{key}"}}'
+                assert [text[a:b] for a, _, b, _ in secret_scan.confirmed_spans(text)] == [key], (name, brk)
+    for s in ("ey" * 200_000 + ".a.b", "a." * 200_000, "ey.ey" * 100_000):
+        assert secret_scan.confirmed_spans(s) == []
+
+
 def brute_base(text):
     import re
     pats = (("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
