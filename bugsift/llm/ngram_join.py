@@ -21,6 +21,15 @@ Exact, after Wang, Qin, Lin, Zhang, Chang (VLDB 2017), as Spark jobs:
    one entry of each component in a list with the set that is in most lists,
    and what still is in different components is paired and verified in full.
 5. Components of the verified links (star rounds, checkpointed).
+6. All links (``classes``, ``link_pairs``) instead derive a set's answers from
+   those of a similar set: in long lists every set is compared with the list's
+   heaviest one, and each takes its neighbour with most links as its pivot. With
+   the sizes x, y and the differences d, e to one pivot, the difference of two
+   sets is between ``|d - e|`` and ``d + e``. Pairs that this makes sure are
+   counted by one sort per pivot and never listed, impossible ones are skipped,
+   and the undecided ones and those of different pivots are verified.
+
+``n_links`` is the number of other rows a row's set links with, copies included.
 
 Nulls and empty texts have no shingles and link with nothing; a null id keeps
 its row with a null component. Rows that share an id are one vertex. Ties and
@@ -247,16 +256,25 @@ def _lists(batch: pa.Table) -> pa.Table:
         _table(1, tok[long].view(np.int64), ids[long], 0, size[long], pos[long])])
 
 
+def undecided(size_a, diff_a, size_b, diff_b):
+    """Whether the differences of two sets to one pivot leave open if they link."""
+    most = (DEN - NUM) * (size_a + size_b)
+    return ((DEN + NUM) * (diff_a + diff_b) > most) & ((DEN + NUM) * np.abs(diff_a - diff_b) <= most)
+
+
 def _cross(batch: pa.Table) -> pa.Table:
-    """Pairs of one list between components. Entries of equal size, position and
-    component form a block; sizes and positions skip whole block pairs."""
+    """Pairs of one list between components (or pivots: then with undecided pairs
+    of one pivot, by their differences to it). Entries of equal size, position,
+    component and difference form a block; whole block pairs are skipped."""
     ids, size, pos, comp = (batch.column(c).to_numpy() for c in ("id", "size", "pos", "comp"))
-    order = np.lexsort((ids, comp, pos, size))
-    ids, size, pos, comp = ids[order], size[order], pos[order], comp[order]
+    every = "diff" in batch.column_names
+    diff = batch.column("diff").to_numpy() if every else np.zeros(len(ids), np.int64)
+    order = np.lexsort((ids, diff, comp, pos, size))
+    ids, size, pos, comp, diff = ids[order], size[order], pos[order], comp[order], diff[order]
     starts = np.flatnonzero(np.append(
-        True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (comp[1:] != comp[:-1])))
+        True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (comp[1:] != comp[:-1]) | (diff[1:] != diff[:-1])))
     count = np.diff(np.append(starts, len(ids)))
-    size, pos, comp = size[starts], pos[starts], comp[starts]
+    size, pos, comp, diff = size[starts], pos[starts], comp[starts], diff[starts]
     # later blocks whose size is close enough are a range, as blocks come by size
     last = np.searchsorted(size, DEN * size // NUM, "right")
     found: list[np.ndarray] = []
@@ -267,7 +285,10 @@ def _cross(batch: pa.Table) -> pa.Table:
         near = last[lo:hi] - np.arange(lo, hi)
         x = np.repeat(np.arange(lo, hi), near)
         y = x + np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
-        fit = (comp[x] != comp[y]) & possible(size[x], pos[x], size[y], pos[y])
+        fit = comp[x] != comp[y]
+        if every:
+            fit |= undecided(size[x], diff[x], size[y], diff[y])
+        fit &= possible(size[x], pos[x], size[y], pos[y])
         x, y = x[fit], y[fit]
         step = 0
         while step < len(x):
@@ -323,7 +344,7 @@ def overlap_at_most(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes) -> int:
 
 
 def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. Bitmaps bound the intersection first
+    """The pairs (a, b) whose sets link, and the size d of their difference. Bitmaps bound the intersection first
     (losing none), then both texts are compared exactly."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_needed(pairs))
@@ -349,7 +370,7 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             # a's text comes sorted by a: each is cut into shingles once per run
             new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
             tok_a, off_a = shingle_sets(cols[3].take(pa.array(new)).cast(pa.large_string()).fill_null(""))
-            ok = np.zeros(len(a), bool)
+            ok, d = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
             which = np.searchsorted(new, np.arange(len(a)), "right") - 1
             for r, w in enumerate(which):
                 x, y = tok_a[off_a[w]:off_a[w + 1]], tok_b[off_b[r]:off_b[r + 1]]
@@ -359,17 +380,20 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
                 at[at == len(x)] = 0
                 both = int((x[at] == y).sum())
                 ok[r] = DEN * both >= NUM * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+                d[r] = len(x) + len(y) - 2 * both
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(d[ok])], ["a", "b", "d"])
 
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return (both.select("a", "b", "text_b", "text_a").sortWithinPartitions("a", "b")
-            .mapInArrow(check, "a long, b long").distinct())
+            .mapInArrow(check, "a long, b long, d long").distinct())
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (a, b) between representatives of different sets, enough
-    to join everything that is joined by links; checkpointed.
+def links(docs: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Verified links (a, b, d) between representatives of different sets, enough
+    to join everything that is joined by links; checkpointed. ``every``: with the
+    pivots (id, pivot, diff, slack, all of a pivot together); the links are the
+    verified ones and, of one pivot, all pairs whose slacks add up to at most 0.
 
     docs: (id, text); sets: checkpointed rows of ``indexed_sets``."""
     spark = docs.sparkSession
@@ -385,6 +409,21 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     # a set in many long lists holds what its kin have in common
     entries = cut(entries.join(entries.groupBy("id").agg(F.count(F.lit(1)).alias("weight")), "id"))
     done = pairs
+    if every:
+        # every entry against its list's heaviest one, whose answers then serve the others
+        top = entries.groupBy("tok").agg(F.max_by(F.struct("size", "id"), F.struct("weight", "id")).alias("g"))
+        ties = cut(entries.join(top, "tok").where("id <> g.id")
+                   .where(DEN * F.least("size", "g.size") >= NUM * F.greatest("size", "g.size"))
+                   .select(F.least("id", "g.id").alias("a"), F.greatest("id", "g.id").alias("b"))
+                   .distinct().join(done, ["a", "b"], "left_anti"))
+        if ties.head(1):
+            done = cut(done.unionByName(ties))
+            near = cut(near.unionByName(verified(docs, sets, ties)))
+        pivot = cut(_pivots(near, own))
+        open_ = _open(entries, pivot)
+        rest = cut(open_.repartition(partitions(spark), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
+                   .distinct().join(done, ["a", "b"], "left_anti"))
+        return (cut(near.unionByName(verified(docs, sets, rest))) if rest.head(1) else near), pivot
     for turn in range(HEAD_ROUNDS):
         # answer skipping: what a list's entries are linked to already is known
         mixed = _mixed(entries, components(near))
@@ -409,7 +448,72 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     mixed = _mixed(entries, components(near))
     rest = cut(mixed.drop("weight").repartition(partitions(spark), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
                .distinct().join(done, ["a", "b"], "left_anti"))
-    return near.unionByName(verified(docs, sets, rest)) if rest.head(1) else near
+    return (near.unionByName(verified(docs, sets, rest)) if rest.head(1) else near), None
+
+
+def _pivots(near: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, pivot, diff, slack) of every linked set: its neighbour with most links,
+    or itself if none has more. Slacks of two sets of a pivot that add up to at
+    most 0 make their link sure."""
+    both = near.select(F.col("a").alias("id"), F.col("b").alias("kin"), "d").unionByName(
+        near.select(F.col("b").alias("id"), F.col("a").alias("kin"), "d"))
+    n = both.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    rated = both.join(n.select(F.col("id").alias("kin"), "n"), "kin").select("id", F.struct(
+        "n", (-F.col("kin")).alias("last"), "kin", "d").alias("k"))
+    itself = n.select("id", F.struct("n", (-F.col("id")).alias("last"), F.col("id").alias("kin"),
+                                     F.lit(0).cast("long").alias("d")).alias("k"))
+    best = rated.unionByName(itself).groupBy("id").agg(F.max("k").alias("k"))
+    return best.join(own.select("id", "n"), "id").select(
+        "id", F.col("k.kin").alias("pivot"), F.col("k.d").alias("diff"),
+        ((DEN + NUM) * F.col("k.d") - (DEN - NUM) * F.col("n")).cast("long").alias("slack"))
+
+
+def _open(entries: DataFrame, pivot: DataFrame) -> DataFrame:
+    """Entries, with pivots, of the lists that hold several pivots or undecided pairs."""
+    own = entries.join(pivot, "id", "left").select(
+        "tok", "id", "size", "pos", F.coalesce("pivot", "id").alias("comp"), F.coalesce("diff", F.lit(0)).alias("diff"),
+        F.coalesce("slack", F.lit(0)).alias("slack"))
+    lists = (own.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("slack").alias("_s"))
+             .where("_lo <> _hi OR _s > 0").select("tok"))
+    return own.drop("slack").join(lists, "tok")
+
+
+def _listed(found: DataFrame, pivot: DataFrame) -> DataFrame:
+    """The verified links (a, b) that the pivots do not make sure."""
+    side = lambda x: pivot.select(F.col("id").alias(x), F.col("pivot").alias(f"p_{x}"), F.col("slack").alias(f"s_{x}"))
+    return (found.join(side("a"), "a", "left").join(side("b"), "b", "left")
+            .where(~F.coalesce((F.col("p_a") == F.col("p_b")) & (F.col("s_a") + F.col("s_b") <= 0), F.lit(False)))
+            .select("a", "b"))
+
+
+def _link_counts(found: DataFrame, pivot: DataFrame, copies: DataFrame) -> DataFrame:
+    """(rep, n_links) of the representatives that link with other sets; copies: (id, w)."""
+    listed = _listed(found, pivot)
+    both = listed.select(F.col("a").alias("rep"), F.col("b").alias("id")).unionByName(
+        listed.select(F.col("b").alias("rep"), F.col("a").alias("id")))
+    one = both.join(copies, "id").select("rep", F.col("w").alias("n"))
+    # sure ones: copies of the sets of a pivot with slacks up to the own one's negative; a
+    # row per pivot and distinct slack
+    held = pivot.join(copies, "id")
+    sums = cut(held.groupBy("pivot", "slack").agg(F.sum("w").alias("w")))
+    asked = sums.select("pivot", (-F.col("slack")).alias("at"), F.lit(0).cast("long").alias("w"), F.col("slack"))
+    line = sums.select("pivot", F.col("slack").alias("at"), "w", F.lit(None).cast("long").alias("slack")).unionByName(asked)
+    upto = (line.withColumn("sure", F.sum("w").over(Window.partitionBy("pivot").orderBy("at")))
+            .where("slack IS NOT NULL").select("pivot", "slack", "sure"))
+    two = held.join(upto, ["pivot", "slack"]).select(
+        F.col("id").alias("rep"), (F.col("sure") - F.when(F.col("slack") <= 0, F.col("w")).otherwise(0)).alias("n"))
+    return one.unionByName(two).groupBy("rep").agg(F.sum("n").alias("n_links"))
+
+
+def link_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link (a, b), a < b, between the smallest ids of different sets."""
+    prepare(docs.sparkSession)
+    named = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+             .where("id IS NOT NULL"))
+    found, pivot = links(named, cut(indexed_sets(named, hot_shingles(named))), every=True)
+    one, two = (pivot.select(F.col("id").alias(x), "pivot", F.col("slack").alias(f"s_{x}")) for x in "ab")
+    sure = one.join(two, "pivot").where("a < b AND s_a + s_b <= 0").select("a", "b")
+    return _listed(found, pivot).unionByName(sure)
 
 
 def _mixed(entries: DataFrame, comp: DataFrame) -> DataFrame:
@@ -421,41 +525,48 @@ def _mixed(entries: DataFrame, comp: DataFrame) -> DataFrame:
     return own.join(lists, "tok")
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, rep_id) for every row; rep_id is the
-    smallest id with the same set."""
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """(id, n_shingles, component_id, rep_id, n_links) for every row; rep_id is the
+    smallest id with the same set. Without ``count_links`` only the links that
+    components need are verified, and n_links is left out."""
     prepare(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = own.where("id IS NOT NULL")
     sets = cut(indexed_sets(named, hot_shingles(named)))
-    comp = components(links(named, sets))
+    found, pivot = links(named, sets, every=count_links)
+    comp = components(found)
     slim = sets.select("id", "n", "digest")
-    reps = slim.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"))
-    member = slim.join(reps, ["digest", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    reps = slim.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
+    member = slim.join(reps, ["digest", "n"], "left").select("id", "n", "w", F.coalesce("rep", "id").alias("rep"))
     # rows that share an id belong together, whatever their texts
     shared = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     if shared.head(1):
         more = member.join(shared.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         comp = components(comp.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more))
-    out = (member.join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-           .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                   F.coalesce("component_id", "rep").alias("component_id"), F.col("rep").alias("rep_id")))
+    out = member.join(comp.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+            F.coalesce("component_id", "rep").alias("component_id"), F.col("rep").alias("rep_id")]
+    if count_links:
+        counted = _link_counts(found, pivot, reps.select(F.col("rep").alias("id"), "w"))
+        out = out.join(counted, "rep", "left")
+        cols.append((F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).alias("n_links"))
+    out = out.select(cols)
     unnamed = own.where("id IS NULL")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, text in text_chunks(batches):
             n = np.diff(shingle_sets(text)[1]).astype(np.int64)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(n), none, none],
-                                             [id_col, "n_shingles", "component_id", "rep_id"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(n), none, none, pa.array(np.zeros(len(n), np.int64))],
+                                             [id_col, "n_shingles", "component_id", "rep_id", "n_links"])
     return out.unionByName(unnamed.mapInArrow(
-        count, f"`{id_col}` long, n_shingles long, component_id long, rep_id long"))
+        count, f"`{id_col}` long, n_shingles long, component_id long, rep_id long, n_links long").select(out.columns))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows (all columns) that are the smallest id of their component. Rows
     with a null id stay; of rows that share an id all stay or none."""
     prepare(docs.sparkSession)
-    gone = (classes(docs, id_col=id_col, text_col=text_col)
+    gone = (classes(docs, id_col=id_col, text_col=text_col, count_links=False)
             .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

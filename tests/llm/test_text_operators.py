@@ -68,6 +68,43 @@ def test_jaccard_join_on_real_rows_and_long_lists(spark, monkeypatch):
     assert got == brute.jaccard_components(rows)
 
 
+def near_copies(rng, first, copies, words, least, most):
+    base = [f"v{first}_{i}" for i in range(words)]
+    rows = []
+    for k in range(copies):
+        w = list(base)
+        for _ in range(rng.randrange(least, most)):
+            w[rng.randrange(words)] = f"z{rng.randrange(9)}"
+        rows.append((first + k, " ".join(w)))
+    return rows
+
+
+def test_jaccard_join_all_links(spark, monkeypatch):
+    """Every link between different texts is found and counted, also inside a component."""
+    rng = random.Random(6)
+    rows = corpus(3) + near_copies(rng, 20_000, 60, 60, 0, 4) + near_copies(rng, 30_000, 50, 90, 1, 3)
+    rows += [(40_000 + i, rows[-1 - i % 7][1]) for i in range(20)] + [(None, rows[-1][1])]
+    sets = {d: brute.shingles(t) for d, t in rows if d is not None}
+    linked = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+              and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    want = {d: 0 for d in sets}
+    for p in linked:
+        for d in p:
+            want[d] += 1
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(frozenset(sets[d]), d)
+    reps = {(a, b) for a, b in linked if first[frozenset(sets[a])] == a and first[frozenset(sets[b])] == b
+            and sets[a] != sets[b]}
+    for long in (3, 8):
+        monkeypatch.setattr(ngram_join, "LIST_PAIRS", long)
+        df = frame(spark, rows)
+        got = {r["doc_id"]: r["n_links"] for r in ngram_join.classes(df).collect()}
+        assert got.pop(None) == 0 and got == want
+        pairs = [(r["a"], r["b"]) for r in ngram_join.link_pairs(df).collect()]
+        assert len(pairs) == len(reps) and set(pairs) == reps
+
+
 def test_jaccard_join_null_ids_shared_ids_and_empty(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "p q r s t u"), (7, "p q r s t u"), (9, "a b c d e f"), (9, "a b c d e f")]
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in
