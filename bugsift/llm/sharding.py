@@ -2,11 +2,14 @@ r"""Sharding by balanced label propagation; law ``rows`` (counts at most one apa
 
 Documents start in shards dealt by a hash order, exactly level. In each round a
 document wants the shard that holds most of its linked documents (its groups'
-members: counts per group and shard, never pairs), if that beats its own.
-Capacity quotas keep the shards level: a shard takes in no more than it gives
-up, where documents without links step aside to make room. Demand beyond that
-is granted in hash order. Groups larger than a shard fill several. Rounds stop
-when nothing moves, or after ``rounds``.
+members: counts per group and shard, never pairs), if that beats its own; ties
+go by a hash of the group, new in each round. Capacity quotas keep the shards
+level: documents trade places along cycles of demand, and a shard takes in more
+than it gives up only where documents without links step aside. Refused
+documents with no linked one in their shard lose nothing elsewhere: they are
+dealt anew among their own places. Groups larger than a shard fill several.
+Rounds go on until nothing wants to move or the cut has not fallen for
+``PATIENCE`` rounds (or ``rounds`` are over); the placement of least cut counts.
 
 The link table is (doc, group); documents of one group are linked. For documents
 the groups are equal texts. Only ids, sizes and hashes are shuffled.
@@ -19,13 +22,16 @@ hash order, and are gapless from 0 in each shard. Empty tables give no rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, prepare
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = None             # no bound: until a fixed point
+PATIENCE = 3
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
@@ -44,29 +50,60 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
             .drop("_pid", "_mono", "_first", "_off"))
 
 
+def _cycle(left: dict[tuple[int, int], int], shards: int) -> list[tuple[int, int]]:
+    """Moves of a shortest cycle of what is left; empty if there is none."""
+    out = {i: [j for j in range(shards) if left.get((i, j))] for i in range(shards)}
+    found: list[tuple[int, int]] = []
+    for s in range(shards):
+        back, line = {s: s}, [s]
+        for u in line:
+            if s in out[u]:
+                path = [(u, s)]
+                while u != s:
+                    path.append((back[u], u))
+                    u = back[u]
+                if not found or len(path) < len(found):
+                    found = path
+                break
+            for v in out[u]:
+                if v not in back:
+                    back[v] = u
+                    line.append(v)
+    return found
+
+
 def _quotas(want: dict[tuple[int, int], int], idle: dict[int, int], shards: int) -> dict[tuple[int, int], int]:
     """How many of the moves (from, to) are granted, so that what a shard takes
     in beyond what leaves it is at most its idle documents. Shards x shards
-    numbers, whatever the data."""
-    granted = dict(want)
-    for _ in range(4 * shards):
-        gain = {s: sum(n for (_, j), n in granted.items() if j == s) - sum(n for (i, _), n in granted.items() if i == s)
-                for s in range(shards)}
-        over = {s: gain[s] - idle.get(s, 0) for s in gain if gain[s] > idle.get(s, 0)}
-        if not over:
-            return granted
-        s, surplus = max(over.items(), key=lambda x: (x[1], -x[0]))
-        come = sorted((k for k in granted if k[1] == s and granted[k]), key=lambda k: (-granted[k], k))
-        total = sum(granted[k] for k in come)
-        left = surplus
-        for k in come:
-            less = min(granted[k], -(-surplus * granted[k] // total), left)
-            granted[k] -= less
-            left -= less
-    return {k: 0 for k in want}
-
-
-def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    numbers, whatever the data. Each cycle uses up a move, so the search ends."""
+    left = {k: n for k, n in want.items() if n}
+    granted = {k: 0 for k in want}
+
+    def grant(k: tuple[int, int], n: int) -> None:
+        granted[k] += n
+        left[k] -= n
+
+    while path := _cycle(left, shards):
+        n = min(left[k] for k in path)
+        for k in path:
+            grant(k, n)
+    # no cycles are left: from the last shards of all chains back to the first, each takes in
+    # as many as it has idle documents and gives up
+    room, todo = dict(idle), set(range(shards))
+    while todo:
+        j = min(s for s in todo if not any(left.get((s, t)) for t in todo))
+        todo.remove(j)
+        for k in sorted((k for k in left if k[1] == j), key=lambda k: (-left[k], k)):
+            n = min(left[k], room.get(j, 0))
+            if n:
+                grant(k, n)
+                room[j] -= n
+                room[k[0]] = room.get(k[0], 0) + n
+    return granted
+
+
+def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS,
+              rounds: int | None = ROUNDS) -> DataFrame:
     """Level placement after label propagation.
 
     placed: (node, shard), level; links: (node, group). Returns (node, shard)."""
@@ -76,42 +113,54 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     links = cut(links.select("node", "group").distinct())
     busy = cut(links.select("node").distinct())
     capacity = -(-state.count() // shards)
-    for r in range(rounds):
+    best_state, most, stale = state, -1, 0
+    for r in itertools.count():
         member = links.join(state, "node")
         held = [F.count_if(F.col("shard") == k).alias(f"s{k}") for k in range(shards)]
         per = member.groupBy("group").agg(*held)
+        kept = F.aggregate(F.array(*[F.col(f"s{k}") for k in range(shards)]), F.lit(0.0), lambda a, n: a + n * (n - 1) / 2)
+        whole = per.agg(F.sum(kept)).first()[0] or 0
+        if whole > most:
+            best_state, most, stale = state, whole, 0
+        else:
+            stale += 1
+        if stale == PATIENCE or r == rounds:
+            break
         # linked documents of each node per shard, itself included where it is
         totals = (member.join(per, "group").groupBy("node", "shard")
-                  .agg(F.array(*[F.sum(f"s{k}") for k in range(shards)]).alias("t")))
+                  .agg(F.array(*[F.sum(f"s{k}") for k in range(shards)]).alias("t"), F.min("group").alias("key")))
         idle = {x["shard"]: x["n"] for x in state.join(busy, "node", "left_anti").groupBy("shard")
                 .agg(F.count(F.lit(1)).alias("n")).collect()}
-        room = [s for s in range(shards) if idle.get(s, 0) > 0]
-        if not room:
-            break
-        open_to = F.array(*map(F.lit, room))
-        # shards that can take something, and the own one, by linked documents held; on a
-        # tie the lower shard draws, so twins meet. Documents with more linked ones than a
-        # shard holds aim for as many of the best shards as these would fill.
-        best = F.sort_array(F.filter(
-            F.transform("t", lambda n, s: F.struct(n.alias("n"), (-s).alias("s"))),
-            lambda x: F.array_contains(open_to, -x["s"]) | (-x["s"] == F.col("shard"))), asc=False)
-        kin = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x)
+        # in every other round only shards with idle documents, and the own one, are aimed at, so
+        # that who waits for a full shard gathers elsewhere
+        room = [s for s in range(shards) if r % 2 == 0 or idle.get(s, 0)]
+        open_to = F.array(*map(F.lit, room or range(shards)))
+        # these by linked documents held; ties by a hash of the group, so twins meet. Documents
+        # with more linked ones than a shard holds aim for as many of the best shards as these
+        # would fill.
+        best = F.sort_array(F.filter(F.transform("t", lambda n, s: F.struct(
+            n.alias("n"), F.xxhash64(F.col("key"), s, F.lit(r)).alias("h"), s.alias("s"))),
+            lambda x: F.array_contains(open_to, x["s"]) | (x["s"] == F.col("shard"))), asc=False)
+        kin = F.aggregate(best, F.lit(0).cast("long"), lambda a, x: a + x["n"])
         k = F.greatest(F.lit(1), F.ceil(kin / capacity)).cast("int")
         have = F.get("t", F.col("shard"))
         wish = (totals.withColumn("top", F.slice(best, F.lit(1), k))
-                .where(~F.exists("top", lambda x: -x["s"] == F.col("shard")))
+                .where(~F.exists("top", lambda x: x["s"] == F.col("shard")))
                 .withColumn("b", F.get("top", F.pmod(F.xxhash64("node", F.lit(r)), F.size("top")).cast("int")))
-                .select("node", F.col("shard").alias("from"), (-F.col("b.s")).cast("int").alias("to"),
-                        (F.col("b.n") - have).alias("gain")))
+                .select("node", F.col("shard").alias("from"), F.col("b.s").cast("int").alias("to"),
+                        (F.col("b.n") - have).alias("gain"), (have == 1).alias("loose")))
         wish = cut(wish)
         want = {(x["from"], x["to"]): x["n"] for x in wish.groupBy("from", "to")
                 .agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not want:
+            if len(room) == shards:
+                break
+            continue
         granted = _quotas(want, idle, shards)
-        if not any(granted.values()):
-            break
         rule = spark.createDataFrame([(i, j, n) for (i, j), n in sorted(granted.items())], "`from` int, `to` int, q long")
         ranked = numbered(wish, ["from", "to"], [F.desc("gain"), F.xxhash64("node", F.lit(r)), "node"], "pos")
-        moves = ranked.join(F.broadcast(rule), ["from", "to"]).where("pos < q").select("node", "to")
+        ranked = ranked.join(F.broadcast(rule), ["from", "to"])
+        moves = ranked.where("pos < q").select("node", "to")
         # idle documents of the shards that gained leave for those that lost
         gain = {s: sum(n for (_, j), n in granted.items() if j == s) - sum(n for (i, _), n in granted.items() if i == s)
                 for s in range(shards)}
@@ -132,8 +181,19 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
             moves = moves.unionByName(
                 spare.join(F.broadcast(table), (F.col("shard") == F.col("s")) & (F.col("pos") >= F.col("lo"))
                            & (F.col("pos") < F.col("hi"))).select("node", "to"))
+        # refused documents without a linked one beside them change places among themselves
+        refused = cut(ranked.where("pos >= q AND loose").select("node", "from"))
+        places, at = [], 0
+        for x in refused.groupBy("from").agg(F.count(F.lit(1)).alias("n")).orderBy("from").collect():
+            places.append((at, at + x["n"], x["from"]))
+            at += x["n"]
+        if places:
+            table = spark.createDataFrame(places, "lo long, hi long, `to` int")
+            dealt = numbered(refused, [], [F.xxhash64("node", F.lit(r)), "node"], "pos")
+            moves = moves.unionByName(dealt.join(F.broadcast(table), (F.col("pos") >= F.col("lo"))
+                                                 & (F.col("pos") < F.col("hi"))).select("node", "to"))
         state = cut(state.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")))
-    return state
+    return best_state
 
 
 def cut_links(placed: DataFrame, links: DataFrame) -> DataFrame:
@@ -145,7 +205,7 @@ def cut_links(placed: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                    shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+                    shards: int = SHARDS, rounds: int | None = ROUNDS) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     prepare(docs.sparkSession)
     t = F.col(text_col).cast("string")

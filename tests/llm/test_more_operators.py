@@ -2,6 +2,7 @@ import base64
 import json
 import random
 import struct
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -409,6 +410,35 @@ def test_sharding(spark, shards):
         assert len(by_text["hot"]) <= 9
 
 
+def test_sharding_quotas():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(1, 17)
+        want = {(i, j): rng.randrange(200) for i in range(n) for j in range(n) if i != j and rng.random() < 0.5}
+        idle = {s: rng.choice([0, 0, 3, 50]) for s in range(n)}
+        got = sharding._quotas(want, idle, n)
+        assert set(got) == set(want) and all(0 <= got[k] <= want[k] for k in want)
+        for s in range(n):
+            assert sum(v for k, v in got.items() if k[1] == s) - sum(v for k, v in got.items() if k[0] == s) <= idle[s]
+    assert sharding._quotas({(0, 1): 7, (1, 2): 5, (2, 0): 9}, {}, 3) == {(0, 1): 5, (1, 2): 5, (2, 0): 5}
+
+
+@pytest.mark.parametrize("size,alone", [(2, 0), (2, 200), (3, 100)])
+def test_sharding_mostly_linked(spark, size, alone):
+    """Copies meet also where few or no documents are without copies."""
+    rows = [(i, f"t{i % (1800 // size)}") for i in range(1800)] + [(5000 + i, f"own {i}") for i in range(alone)]
+    placed = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(frame(spark, rows), shards=8).collect()}
+    sizes = Counter(placed.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and len(placed) == len(rows)
+    seen = {}
+    for d, t in rows:
+        seen.setdefault(t, []).append(placed[d])
+    pairs = sum(len(v) * (len(v) - 1) // 2 for v in seen.values())
+    whole = sum(n * (n - 1) // 2 for v in seen.values() for n in Counter(v).values())
+    print("split", (pairs - whole) / pairs)
+    assert pairs - whole <= 0.03 * pairs
+
+
 def test_sharding_few_rows(spark):
     assert sharding.shard_documents(frame(spark, [])).collect() == []
     got = sharding.shard_documents(frame(spark, [(1, "a"), (2, "a"), (3, "a")])).collect()
