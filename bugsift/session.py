@@ -1,9 +1,8 @@
 """Session helpers: building a session for tests/bench and cutting lineage.
 
-Library code never invents storage locations: lineage is cut with a reliable
-``checkpoint()`` into the folder the cluster names in ``spark.checkpoint.dir``.
-Only the local helpers used by tests and ``bench.py`` set that folder, and only
-when it is unset.
+Library code never invents storage locations: lineage is cut with tables written
+below the folder the cluster names in ``spark.checkpoint.dir``. Only the local
+helpers used by tests and ``bench.py`` set that folder, and only when it is unset.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,9 +75,27 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table below ``spark.checkpoint.dir`` and read
+    it back. Lost executors reread it, and the new plan knows the table's true
+    size: ``checkpoint()`` keeps the estimate of the plan it cut, which joins
+    multiply from one round of a loop to the next."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._state_folder = folder
+    return out
+
+
+def drop_state(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut_lineage`` that no later plan reads (a round's state
+    once the next one is written)."""
+    for df in tables:
+        folder = getattr(df, "_state_folder", None)
+        if folder:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            df._state_folder = None
 
 
 def default_parallelism(spark: SparkSession) -> int:
