@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and SQL where it can state them."""
+"""Registered queries of the operators, and SQL where it can state them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_format, decontaminate, html_extract, ngram_join, quality_rules, secret_scan,
-               sentencepiece_bpe, sharding, substring_dedup, toxicity)
+               sentencepiece_bpe, sharding, spelling_variants, substring_dedup, toxicity)
 from .common import table
 
 
@@ -91,6 +91,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.render(turns))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"), slip_every=97)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_sentencepiece": op2_sentencepiece,
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_sharding": op9_sharding,
     "op10_chat_format": op10_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _W = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
