@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, ngram_join, quality_rules, secret_scan,
+from . import (chat_format, decontaminate, html_extract, ngram_join, periodic_runs, quality_rules, secret_scan,
                sentencepiece_bpe, sharding, spelling_variants, substring_dedup, toxicity)
 from .common import table
 
@@ -91,6 +91,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.render(turns))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = periodic_runs.looped(F.coalesce("text", F.lit("")), seed)
+    return periodic_runs.digests(periodic_runs.runs(docs.select("doc_id", text.alias("text"))))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"), slip_every=97)
 
@@ -106,6 +113,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_sharding": op9_sharding,
     "op10_chat_format": op10_chat_format,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }
 

@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bugsift.llm import spelling_variants
+from bugsift.llm import periodic_runs, queries, spelling_variants
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +135,123 @@ def test_spelling_variants_empty(spark):
     assert df.columns == ["word", "n", "n_near", "form", "form_n", "root"] and df.collect() == []
     with pytest.raises(ValueError):
         spelling_variants.variants(frame(spark, []), min_length=2)
+
+
+# ---- periodic runs ---------------------------------------------------------
+
+def brute_runs(w, min_words=6, repeats=4):
+    out = []
+    n = len(w)
+    for q in range(1, n // repeats + 1):
+        i = 0
+        while i + q < n:
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            size = j - i + q
+            if size >= max(min_words, repeats * q) and not any(
+                    all(w[x] == w[x + d] for x in range(i, i + size - d)) for d in range(1, q)):
+                out.append((i, size, q))
+            i = j
+    return sorted(out)
+
+
+def brute_looped(d, w):
+    h = zlib.crc32(str(d).encode())
+    g, n = h // 10, len(w)
+    if d is None or h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def collapsed(w, runs):
+    gone = {x for s, n, q in runs for x in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def run_row(w):
+    runs = brute_runs(w)
+    s, n, q = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+    return (len(w), len(runs), s, n, q, 1000 * n // q if q else None,
+            brute.sha("".join(f"{a},{b},{c}\n" for a, b, c in runs)), brute.sha(collapsed(w, runs)))
+
+
+def periodic_texts():
+    rng = random.Random(11)
+    rows = []
+    for d in range(300):
+        w = []
+        for _ in range(rng.randrange(0, 7)):
+            unit = [rng.choice("abc") for _ in range(rng.randrange(1, 6))]
+            w += unit * rng.choice((1, 2, 3, 4, 5, 9)) + unit[:rng.randrange(len(unit) + 1)]
+            w += [rng.choice("abcxyz") for _ in range(rng.choice((0, 0, 1, 3)))]
+        rows.append((d, rng.choice((" ", "\n", " \t\r")).join(w)))
+    return rows + [(900, None), (901, ""), (902, " \x0b\x0c "), (903, "a " * 6), (904, "a " * 5), (905, "a a a a a a b " * 5),
+                   (906, "\u00a0 " * 8), (907, "ab ab abab " * 7), (None, "x y " * 9), (903, "a " * 6), (908, "é 漢 " * 4)]
+
+
+def test_periodic_runs_brute(spark):
+    rows = periodic_texts()
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_words"], [tuple(x) for x in r["runs"]], r["collapsed"])
+                 for r in periodic_runs.runs(frame(spark, rows).withColumn("runs", F.lit(1))).collect())
+    want = []
+    for d, t in rows:
+        w = brute.WORD.findall(t or "")
+        runs = brute_runs(w)
+        want.append(((d is None, d or 0), len(w), runs, collapsed(w, runs)))
+    assert got == sorted(want)
+    assert sum(len(x[2]) for x in got) > 200
+
+
+def test_periodic_runs_other_settings(spark):
+    rows = periodic_texts()[:120]
+    for least, repeats in ((2, 2), (5, 2), (3, 3), (12, 4), (7, 5)):
+        got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in periodic_runs.runs(
+            frame(spark, rows), min_words=least, repeats=repeats).collect()}
+        assert got == {d: brute_runs(brute.WORD.findall(t), least, repeats) for d, t in rows}, (least, repeats)
+    with pytest.raises(ValueError):
+        periodic_runs.runs(frame(spark, rows), repeats=1)
+
+
+def test_periodic_runs_query(spark, tmp_path):
+    own = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    own = [(d, t) for d, t in own if len(t or "") < 12_000]
+    rows = own + [((d or 0) + 10_000, t) for d, t in periodic_texts()] + [(None, "a b " * 8)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    cols = ["doc_id", "n_words", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    df = queries.op12_periodic_runs(spark, str(tmp_path))
+    assert df.columns == cols
+    got = Counter(tuple(r) for r in df.collect())
+    assert got == Counter((d, *run_row(brute_looped(d, brute.WORD.findall(t or "")))) for d, t in rows)
+
+
+def test_periodic_runs_long_texts(spark):
+    """Very long periodic texts, several to a sort and one beyond it."""
+    rows = [(1, "a " * 300_000), (2, "a b " * 50_000 + "c"), (3, " ".join(str(i % 999) for i in range(60_000))), (4, "x")]
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in periodic_runs.runs(frame(spark, rows)).collect()}
+    assert got == {1: [(0, 300_000, 1)], 2: [(0, 100_000, 2)], 3: [(0, 60_000, 999)], 4: []}
+
+
+def test_suffix_order():
+    rng = random.Random(2)
+    for _ in range(200):
+        rows = [[rng.randrange(3) for _ in range(rng.randrange(1, 30))] for _ in range(rng.randrange(1, 4))]
+        order, lcp = periodic_runs.suffix_order(np.array(sum(rows, [])), np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+        at = [(k, i) for k, r in enumerate(rows) for i in range(len(r))]
+        want = sorted(range(len(at)), key=lambda x: (at[x][0], rows[at[x][0]][at[x][1]:] + [9]))
+        assert order.tolist() == want
+        for x in range(len(want) - 1):
+            (a, i), (b, j) = at[want[x]], at[want[x + 1]]
+            n = 0
+            while a == b and i + n < len(rows[a]) and j + n < len(rows[b]) and rows[a][i + n] == rows[b][j + n]:
+                n += 1
+            assert lcp[x] == n
+
+
+def test_periodic_runs_empty(spark):
+    assert periodic_runs.digests(periodic_runs.runs(frame(spark, []))).collect() == []
