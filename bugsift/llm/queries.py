@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, ngram_join, periodic_runs, quality_rules, secret_scan,
+from . import (chat_format, decontaminate, html_extract, ngram_join, periodic_runs, quality_qda, quality_rules, secret_scan,
                sentencepiece_bpe, sharding, spelling_variants, substring_dedup, toxicity)
 from .common import table
 
@@ -91,6 +91,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.render(turns))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -113,6 +117,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_sharding": op9_sharding,
     "op10_chat_format": op10_chat_format,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }

@@ -1,15 +1,17 @@
 """Spelling variants, periodic runs and the quality classifier."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bugsift.llm import periodic_runs, queries, spelling_variants
+from bugsift.llm import periodic_runs, quality_qda, queries, spelling_variants
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -255,3 +257,101 @@ def test_suffix_order():
 
 def test_periodic_runs_empty(spark):
     assert periodic_runs.digests(periodic_runs.runs(frame(spark, []))).collect() == []
+
+
+# ---- quality classifier ----------------------------------------------------
+
+def brute_statistics(t):
+    t = t or ""
+    w = brute.WORD.findall(t)
+    b = t.encode()
+    n, c, size = len(w) + 1, len(t) + 1, [len(x.encode()) for x in w]
+    of = lambda own: sum(x in own for x in t)
+    az, up = sum("a" <= x <= "z" for x in t), sum("A" <= x <= "Z" for x in t)
+    grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    lines = [x for x in t.split("\n") if x]
+    mean = sum(size) / n
+    share = lambda x, y, a=0.01: math.log(x / y + a)
+    top = max(Counter(w).values(), default=0)
+    out = [math.log1p(len(w)), math.log1p(mean), math.log1p(math.sqrt(max(0, sum(x * x for x in size) / n - mean * mean))),
+           share(up, az + up + 5), share(of("#*$%&"), n), share(of("|<>{}[]\\/=_~^@+`"), n), share(of("!"), n),
+           share(of("0123456789"), c), share(of(".?"), n), share(of(","), n), share(of("\n"), n),
+           share(sum(x >= 0xC0 for x in b), c), math.log1p(len(w)) - math.log1p(len(set(w))), share(top, n),
+           share(len(grams) - len(set(grams)), len(grams) + 5), share(len(lines) - len(set(lines)), len(lines) + 2),
+           math.log1p(len(w) / (len(lines) + 1)), share(sum(x > 15 for x in size), n), share(sum(x <= 3 for x in size), n, 0.05),
+           share(of(";:'\"-()"), n)]
+    return [round(max(-15, min(15, x)) * 1024) / 1024 for x in out]
+
+
+def test_quality_statistics():
+    texts = [None, "", " \n\n", "x", "The end. THE END!! a|b\n\nThe end. \u00e9t\u00e9 \u4e2d\U0001f600 12,5% (a-b) 'q'? \x1f",
+             "a b c " * 4000, "line\n" * 50 + "tail", "W" * 20_000, "\u00a0 \ufeff"]
+    got = quality_qda.statistics(pa.array([t or "" for t in texts], pa.large_string()))
+    want = np.array([brute_statistics(t) for t in texts])
+    assert got.shape == (len(texts), len(quality_qda.FEATURES))
+    assert np.abs(got - want).max() <= 1 / 1024           # the last rounding may fall either way
+    part = quality_qda.statistics(pa.array(["drop me"] + [t or "" for t in texts], pa.large_string()).slice(1))
+    assert (part == got).all()
+
+
+def test_discriminant_against_the_formula():
+    rng = np.random.default_rng(4)
+    d = 5
+    x = [rng.normal(k, 1 + k, size=(60, d)) @ rng.normal(size=(d, d)) for k in (0, 1)]
+    lam, gam = 0.3, 0.1
+    cov = [np.cov(v.T, bias=True) for v in x]
+    pooled = (cov[0] * 60 + cov[1] * 60) / 120
+    own = [(1 - gam) * ((1 - lam) * c + lam * pooled) + gam * np.diag(np.diag(pooled) + 1e-4) + np.eye(d) * 1e-6 for c in cov]
+    probe = rng.normal(size=(9, d)) * 3
+
+    def density(k, v):
+        diff = v - x[k].mean(0)
+        return -0.5 * diff @ np.linalg.inv(own[k]) @ diff - 0.5 * np.linalg.slogdet(own[k])[1]
+    m = quality_qda.discriminant(np.array([60.0, 60.0]), np.array([v.sum(0) for v in x]), np.array([v.T @ v for v in x]), lam, gam)
+    want = [density(1, v) - density(0, v) for v in probe]
+    assert np.allclose(m.raw(probe), want)
+
+
+def test_quality_model_is_that_of_all_rows(spark):
+    """Sums by Spark equal sums over the collected rows; parts do not matter."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clash = docs.withColumn("fold", F.lit(9)).withColumn("x", F.lit("x")).withColumn("y", F.lit(1)).withColumn(
+        "quality", F.lit(1)).withColumn("_id", F.lit(0))
+    got = {}
+    for parts in (1, 7):
+        table = quality_qda.described(clash.repartition(parts))
+        model = quality_qda.fit(table, labels.withColumn("text", F.lit(1)).repartition(parts))
+        rows = quality_qda.score(table, model).collect()
+        got[parts] = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in rows}
+        assert len(rows) == docs.count()
+    assert got[1] == got[7]
+    label = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    x = {r["doc_id"]: r["x"] for r in table.collect()}
+    fold = {d: zlib.crc32(str(d).encode()) % 5 for d in x}
+    for d, (held, s, p) in got[1].items():
+        assert held == (fold[d] == 0) and 0 <= s <= 1 and p == (s >= 0.3)
+    train = [d for d in label if fold[d] and d in x]
+    count = np.array([sum(label[d] == k for d in train) for k in (0, 1)], float)
+    total = np.array([np.sum([x[d] for d in train if label[d] == k], axis=0) for k in (0, 1)])
+    assert np.allclose(model.mean, total / count[:, None])
+    assert np.allclose(model.base, count[1] / count.sum())
+    pairs = [(s, label[d]) for d, (held, s, _) in got[1].items() if held and d in label]
+    good, bad = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.97
+    assert np.mean([(s >= 0.3) == bool(y) for s, y in pairs]) > 0.95
+
+
+def test_quality_edges(spark):
+    docs = frame(spark, [(1, None), (2, ""), (3, "a fine text."), (None, "no id"), (3, "a fine text."), (4, "!!")])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = quality_qda.assess(docs, none).collect()
+    assert len(rows) == 6 and {r["score"] for r in rows} == {0.5}
+    one = spark.createDataFrame([(1, 1), (2, None), (3, 1), (None, 0), (3, 0)], "doc_id long, quality int")
+    assert {r["score"] for r in quality_qda.assess(docs, one).collect()} <= {0.5, 1.0}
+    assert quality_qda.assess(frame(spark, []), one).collect() == []
+    many = frame(spark, [(i, "word " * (i % 7) + "!" * (i % 2)) for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality_qda.assess(many, labels).collect()}
+    assert all(math.isfinite(s) for s in got.values())
+    assert min(s for d, s in got.items() if d % 2) > max(s for d, s in got.items() if not d % 2)
