@@ -5,7 +5,7 @@ as a nested-loop join. Here rows are hashed into ``B`` blocks; each row is
 sent to the ``B`` block pairs it belongs to and every block pair is one
 ``applyInPandas`` group holding at most ``2 * rows_per_block`` rows. Inside a
 group numpy does one matrix product and returns only what the kernel keeps
-(pairs under a threshold, per-row minima, per-row top-k): output is bounded by
+(pairs under a threshold, star edges, a forest): output is bounded by
 the answer, never by the n^2 candidate set.
 
 Memory per task is bounded by ``rows_per_block`` (chosen from the dimension);
@@ -145,40 +145,6 @@ def threshold_pairs_kernel(eps: float | None = None, min_sim: float | None = Non
     return kernel
 
 
-KNN_SCHEMA = "id long, other long, dist double"
-
-
-def knn_kernel(k: int):
-    """Per row, its k nearest other rows within this block pair (both directions)."""
-    def one_side(ids_q, ids_r, d2, same):
-        if same:
-            d2 = d2.copy()
-            np.fill_diagonal(d2, np.inf)
-        kk = min(k, d2.shape[1] - (1 if same else 0))
-        if kk <= 0:
-            return None
-        # order by (distance, other id): ids_r is sorted, so a stable sort breaks ties by id
-        order = np.argsort(d2, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(d2.shape[0]), kk)
-        cols = order.ravel()
-        return pd.DataFrame({"id": ids_q[rows], "other": ids_r[cols], "dist": np.sqrt(d2[rows, cols])})
-
-    def kernel(left, right, a, b, diag):
-        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"),
-                              "dist": pd.Series([], dtype="float64")})
-        if left is None:
-            return empty
-        d2, _, _, _ = sq_dists(a, b)
-        ida = left["id"].to_numpy(np.int64)
-        idb = right["id"].to_numpy(np.int64)
-        parts = [one_side(ida, idb, d2, diag)]
-        if not diag:
-            parts.append(one_side(idb, ida, d2.T, False))
-        parts = [p for p in parts if p is not None]
-        return pd.concat(parts, ignore_index=True) if parts else empty
-    return kernel
-
-
 LINK_SCHEMA = "i long, j long"
 
 
@@ -253,40 +219,3 @@ def forest_kernel(mutual_reachability: bool = False):
         return pd.DataFrame({"i": np.array(edges_i, np.int64), "j": np.array(edges_j, np.int64),
                              "dist": np.sqrt(np.array(edges_d, np.float64))})
     return kernel
-
-
-WARD_NN_SCHEMA = "id long, other long, dist double"
-
-
-def ward_nn_kernel():
-    """Per asked cluster row (size n, centroid, q = asked), its nearest other cluster
-    by Ward distance sqrt(2 na nb / (na + nb)) * ||ca - cb||; ties by other id."""
-    def one_side(ids_q, n_q, ids_r, n_r, d2, same, ask):
-        if same:
-            d2 = d2.copy()
-            np.fill_diagonal(d2, np.inf)
-        ids_q, n_q, d2 = ids_q[ask], n_q[ask], d2[ask]
-        if not len(ids_q):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "dist": np.zeros(0)})
-        f = 2.0 * n_q[:, None] * n_r[None, :] / (n_q[:, None] + n_r[None, :])
-        wd = f * d2
-        best = np.argmin(wd, axis=1)
-        val = wd[np.arange(len(ids_q)), best]
-        keep = np.isfinite(val)
-        return pd.DataFrame({"id": ids_q[keep], "other": ids_r[best[keep]], "dist": np.sqrt(val[keep])})
-
-    def kernel(left, right, a, b, diag):
-        if left is None or (diag and len(left) < 2):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        qa, qb = left["q"].to_numpy(bool), right["q"].to_numpy(bool)
-        ida, idb = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
-        if not qa.any() and not qb.any():
-            return one_side(ida, ida, idb, idb, np.zeros((len(ida), len(idb))), False, qa)
-        d2, _, _, _ = sq_dists(a, b)
-        na, nb = left["n"].to_numpy(np.float64), right["n"].to_numpy(np.float64)
-        parts = [one_side(ida, na, idb, nb, d2, diag, qa)]
-        if not diag:
-            parts.append(one_side(idb, nb, ida, na, d2.T, False, qb))
-        return pd.concat(parts, ignore_index=True)
-    return kernel

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import blocks
+from . import blocks, cells
 from .features import Features
 from ..session import cut_lineage
 from .ranking import ordered_index
@@ -100,6 +100,11 @@ def _run(v: Vectors, kernel, schema: str, extra=()):
                       extra_cols=extra, n_rows=v.n_rows)
 
 
+def _cells(v: Vectors) -> cells.Cells:
+    df = v.df.withColumnRenamed(v.id_col, "id") if v.id_col != "id" else v.df
+    return cells.assign(df, v.kind, max(1, v.dim), v.n_rows)
+
+
 def complete_graph(v: Vectors, eps: float) -> bool:
     """True when every pair is within eps without looking at the data: unit/zero
     rows with eps >= sqrt(2), or eps >= 1 with at least one zero row (it links
@@ -114,7 +119,9 @@ def complete_graph(v: Vectors, eps: float) -> bool:
 
 
 def choose_method(v: Vectors) -> str:
-    if v.kind == "dense" or not v.unit_or_zero or v.vocab is None:
+    if v.kind == "dense":
+        return "cells"
+    if not v.unit_or_zero or v.vocab is None:
         return "blocks"
     work = float(v.n_rows) * float(v.n_rows) * max(1, v.dim) / 2.0
     return "blocks" if work <= BLOCKS_MAX_WORK else "index"
@@ -123,13 +130,16 @@ def choose_method(v: Vectors) -> str:
 def epsilon_join(v: Vectors, eps: float, method: str = "auto") -> DataFrame:
     """All pairs (i < j) with Euclidean distance <= eps: ``(i, j, dist)``.
 
-    ``method``: ``blocks`` (block-pair matrix products, any vectors) or
-    ``index`` (sparse unit rows: inverted-index join with prefix filtering,
-    output-sensitive); ``auto`` picks by the n^2 * dim work."""
+    ``method``: ``cells`` (metric cells that skip what lies too far, any vectors),
+    ``blocks`` (block-pair matrix products, any vectors) or ``index`` (sparse unit
+    rows: inverted-index join with prefix filtering, output-sensitive). ``auto``:
+    cells for dense rows, for sparse ones by the n^2 * dim work."""
     if complete_graph(v, eps):
         raise ValueError(f"eps={eps} links every pair of these rows; "
                          "use dbscan(on_complete_graph='single_cluster') instead of listing n^2 pairs")
     m = choose_method(v) if method == "auto" else method
+    if m == "cells":
+        return cells.range_pairs(_cells(v), eps)
     if m == "blocks":
         out = _run(v, blocks.threshold_pairs_kernel(eps=eps), blocks.PAIR_SCHEMA)
         return out.select("i", "j", "dist")
@@ -241,8 +251,6 @@ def kth_neighbor_distance(v: Vectors, k: int) -> DataFrame:
     ids = v.with_ids()
     if k == 1:
         return ids.select("id", F.lit(0.0).alias("core_dist"))
-    near = _run(v, blocks.knn_kernel(k - 1), blocks.KNN_SCHEMA)
-    w = Window.partitionBy("id").orderBy("dist", "other")
-    kth = (near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k - 1)
-           .select("id", F.col("dist").alias("core_dist")))
+    near = cells.nearest(_cells(v), k - 1)
+    kth = near.where(F.size("near") >= k - 1).select("id", F.element_at("near", k - 1)["dist"].alias("core_dist"))
     return ids.join(kth, "id", "left")

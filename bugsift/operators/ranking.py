@@ -52,3 +52,35 @@ def dense_index(df: DataFrame, key_cols: list[str], index_col: str = "idx",
     first = idx.groupBy(*group_cols).agg(F.min(index_col).alias("_first"))
     return (idx.join(first, group_cols)
             .withColumn(index_col, F.col(index_col) - F.col("_first")).drop("_first"))
+
+
+def range_groups(df: DataFrame, group: str, order: str) -> DataFrame:
+    """``df`` range-partitioned by (group, order) and stored, its partition as ``_pid``:
+    a group of any size is spread over partitions in order."""
+    parts = default_parallelism(df.sparkSession)
+    return cut_lineage(df.repartitionByRange(parts, group, order).withColumn("_pid", F.spark_partition_id()))
+
+
+def running(ranged: DataFrame, group: str, order: str, *, sums: dict[str, str] | None = None,
+            lasts: dict[str, str] | None = None) -> DataFrame:
+    """Over the rows before each row of its group, by ``order`` (unique in a group): the
+    sum of a column (``sums``: new name -> column) and its last value that is not null
+    (``lasts``). ``ranged`` comes from ``range_groups``: windows stay within a
+    partition, and what a group holds in earlier partitions is one row for each."""
+    sums, lasts = sums or {}, lasts or {}
+    inside = Window.partitionBy("_pid", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.select("*", *[F.sum(c).over(inside).alias(f"_in_{n}") for n, c in sums.items()],
+                          *[F.last(c, ignorenulls=True).over(inside).alias(f"_in_{n}") for n, c in lasts.items()])
+    whole = ranged.groupBy("_pid", group).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("_o"), F.col(c).alias("_v"))))["_v"].alias(n)
+          for n, c in lasts.items()])
+    before = whole.select("_pid", group, *[F.sum(n).over(earlier).alias(f"_pre_{n}") for n in sums],
+                          *[F.last(n, ignorenulls=True).over(earlier).alias(f"_pre_{n}") for n in lasts])
+    out = local.join(before, ["_pid", group])
+    for n in sums:
+        out = out.withColumn(n, F.coalesce(f"_in_{n}", F.lit(0)) + F.coalesce(f"_pre_{n}", F.lit(0)))
+    for n in lasts:
+        out = out.withColumn(n, F.coalesce(f"_in_{n}", f"_pre_{n}"))
+    return out.drop(*[f"_{k}_{n}" for k in ("in", "pre") for n in (*sums, *lasts)])
