@@ -311,7 +311,8 @@ def _cross(batch: pa.Table) -> pa.Table:
 def _needed(pairs: DataFrame) -> bytes:
     """Bitmap over hashed ids of the pairs' members; its size is fixed."""
     at = F.pmod(F.xxhash64("id"), F.lit(NEED_BITS))
-    rows = (pairs.select(F.explode(F.array("a", "b")).alias("id")).select(at.alias("at"))
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct())
+    rows = (ids.select(at.alias("at"))
             .groupBy(F.floor(F.col("at") / 32768).alias("k"))
             .agg(F.bitmap_construct_agg((F.col("at") % 32768).cast("long")).alias("bits")).collect())
     out = bytearray(NEED_BITS // 8)
