@@ -44,7 +44,7 @@ MAX_COUNTERS = 1 << 29
 MIN_COUNTERS = 1 << 20
 PER_WINDOW = 4            # counters per window, up to the bound
 SHARD_BITS = 22           # counters of one shard (a bitmap of 512 KB)
-BLOCK = 8 << 20           # bytes of text judged together in a task
+BLOCK = 3 << 20           # bytes of text judged together in a task
 BUCKET_ENTRIES = 1_500_000
 
 
