@@ -243,6 +243,23 @@ def similarity_matrix_wide(long: DataFrame, value: str = "sim") -> DataFrame:
     return long.groupBy("i").pivot("j", ids).agg(F.first(value)).orderBy("i")
 
 
+def similarity_blocks(pairs: DataFrame, ids: DataFrame, block: int = 256, value: str = "sim") -> DataFrame:
+    """The square matrix as chunks ``(row_id, row, block, vals)``: of each row the values of
+    ``block`` columns in id order (0 where the long form has no pair, 1 on the
+    diagonal). Any number of columns: a chunk is one short array, and chunks without a
+    value are left out. Write it partitioned by ``block`` to read column blocks alone."""
+    at = cut_lineage(ordered_index(ids.select("id").distinct(), ["id"], "p"))
+    n = at.count()
+    long = similarity_matrix(pairs, ids, value)
+    pi, pj = (at.select(F.col("id").alias(c), F.col("p").alias(f"p{c}")) for c in "ij")
+    chunks = (long.join(pi, "i").join(pj, "j")
+              .groupBy(F.col("i").alias("row_id"), F.col("pi").alias("row"), F.floor(F.col("pj") / block).alias("block"))
+              .agg(F.map_from_entries(F.collect_list(F.struct((F.col("pj") % block).cast("int"), value))).alias("m")))
+    width = F.least(F.lit(block), F.lit(n) - F.col("block") * block).cast("int")
+    return chunks.select("row_id", "row", "block", F.transform(
+        F.sequence(F.lit(0), width - 1), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("vals"))
+
+
 def kth_neighbor_distance(v: Vectors, k: int) -> DataFrame:
     """``(id, core_dist)``: distance to the k-th nearest point, the point itself
     counted first (so k=1 gives 0 with no join at all)."""

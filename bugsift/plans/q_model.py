@@ -26,6 +26,70 @@ def q_kmeans(spark, sf):
     return S.kmeans(table(spark, sf, "embeddings"), id_col="vec_id", vec_col="embedding", k=7, seed=3)
 
 
+_MINI = dict(k=7, batch_rows=200, rounds=4, seed=3)
+
+
+def _minibatch_sql(k: int, batch_rows: int, rounds: int, seed: int) -> str:
+    """The rounds of mini-batch k-means, one by one."""
+    draw = lambda t: f"(id % 1000003 * 2654435761 + {(t * 7919 + seed) * 40503}) % 4294967296"
+    ctes = ["e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+            "x AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e)",
+            "lim AS (SELECT least(4294967296, ceil(%d * 4294967296.0 / count(*)))::BIGINT AS m FROM e)" % batch_rows,
+            f"f AS (SELECT id, row_number() OVER (ORDER BY {draw(0)}, id) - 1 AS label FROM e)",
+            f"c0 AS (SELECT f.label, x.k, x.x AS c, 0.0::DOUBLE AS seen FROM f JOIN x USING (id) WHERE f.label < {k})"]
+    near = lambda rows, c: (f"(SELECT id, label FROM (SELECT x.id, c.label, row_number() OVER (PARTITION BY x.id ORDER BY "
+                            f"sum((x.x - c.c) * (x.x - c.c)), c.label) AS r FROM x JOIN {c} c USING (k) {rows} GROUP BY x.id, c.label) WHERE r = 1)")
+    for t in range(1, rounds + 1):
+        ctes.append(f"a{t} AS {near(f'WHERE {draw(t)} < (SELECT m FROM lim)', f'c{t - 1}')}")
+        ctes.append(f"s{t} AS (SELECT a.label, x.k, sum(x.x) AS total, count(*) AS n FROM a{t} a JOIN x USING (id) GROUP BY ALL)")
+        ctes.append(f"c{t} AS (SELECT c.label, c.k, CASE WHEN s.n IS NULL THEN c.c ELSE c.c + (s.total - s.n * c.c) / (c.seen + s.n) END AS c, "
+                    f"c.seen + coalesce(s.n, 0) AS seen FROM c{t - 1} c LEFT JOIN s{t} s USING (label, k))")
+    return f"WITH {', '.join(ctes)} SELECT id AS vec_id, label::INT AS label FROM {near('', f'c{rounds}')}"
+
+
+@query("kmeans_minibatch", _minibatch_sql(**_MINI))
+def q_kmeans_minibatch(spark, sf):
+    from ..operators.minibatch import minibatch_kmeans
+    labels, _ = minibatch_kmeans(table(spark, sf, "embeddings"), id_col="vec_id", vec_col="embedding", **_MINI)
+    return labels.select(F.col("id").alias("vec_id"), "label")
+
+
+@query("segment_learned")
+def q_segment_learned(spark, sf):
+    """Every distinct run of letters of the documents, cut into units learned from all of them."""
+    from ..operators.segmentation import learn_words, runs_of, segment_runs
+    from ..session import cut_lineage
+    runs = cut_lineage(runs_of(table(spark, sf, "documents").select(F.lower("text").alias("text")), "text", r"\p{L}+"))
+    words = learn_words(runs, max_len=5)
+    return segment_runs(runs, words, max_len=5).select("run", "n", F.array_join("words", "|").alias("units"))
+
+
+def _text_vectors(spark, sf, k: int):
+    from ..operators import features as feat
+    from ..operators.encoder import encode_texts
+    from ..operators.pairs import Vectors
+    from .presets import PRESETS
+    from .q_pairs import CLEAN
+    f = feat.fit_transform(table(spark, sf, "documents"), PRESETS["base"].vectorizer, **CLEAN)
+    return encode_texts(Vectors.sparse(f), k)
+
+
+@query("text_embedding_scores")
+def q_text_embedding_scores(spark, sf):
+    """An embedding run from texts alone: vectors of the documents by truncated SVD of
+    the base preset's rows, DBSCAN of dbscan_sb, scored against the language."""
+    from ..operators import metrics as M
+    from ..operators.dbscan import dbscan
+    from ..operators.pairs import Vectors
+    from ..session import cut_lineage
+    from .presets import PRESETS
+    vec = cut_lineage(_text_vectors(spark, sf, 16))
+    lab = dbscan(Vectors.dense(vec, "id", "vec"), **PRESETS["dbscan_sb"].clusterers["dbscan"])
+    long = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang").join(lab, "id").select(
+        F.lit("dbscan_sb").alias("method"), F.col("lang").alias("y_true"), F.col("label").cast("string").alias("y_pred"))
+    return M.scores(long).select("method", *[r6(m).alias(m) for m in ("purity", "ami", "v_measure")])
+
+
 @query("silhouette", """WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
   x AS (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM e),
   n AS (SELECT id, label, sum(x * x) AS sq FROM x GROUP BY ALL),

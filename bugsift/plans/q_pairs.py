@@ -9,7 +9,7 @@ from ..operators import features as feat
 from ..operators.dbscan import cluster_sizes, dbscan
 from ..operators.graph import connected_components, minimum_spanning_forest
 from ..operators.pairs import (Vectors, epsilon_join, kth_neighbor_distance, pairwise_cosine,
-                               similarity_matrix)
+                               similarity_blocks, similarity_matrix)
 from .catalog import query, r6, table
 from .presets import PRESETS, TEST
 from .q_text import STOPWORDS, _STOP_SQL
@@ -94,6 +94,26 @@ def q_similarity_matrix(spark, sf):
     return m.select("i", "j", r6("sim").alias("sim"))
 
 
+@query("similarity_blocks", f"""WITH {EMB_SQL}, p AS (SELECT i, j, sim FROM ed WHERE sim >= 0.25),
+o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS p FROM embeddings),
+m AS (SELECT i, j, sim FROM p UNION ALL SELECT j, i, sim FROM p UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings)
+SELECT m.i AS row_id, a.p AS row, (b.p // 64)::BIGINT AS block, count(*) AS n_values, round(sum(m.sim), 6) AS total,
+  max(b.p % 64)::BIGINT AS last_column
+FROM m JOIN o a ON a.id = m.i JOIN o b ON b.id = m.j GROUP BY ALL""")
+def q_similarity_blocks(spark, sf):
+    """The full matrix as block rows, written by column block and read back."""
+    from ..session import cut_lineage, ensure_checkpoint_dir
+    import uuid
+    v = _emb(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    similarity_blocks(cut_lineage(pairwise_cosine(v, 0.25)), v.with_ids(), 64).write.partitionBy("block").parquet(folder)
+    m = spark.read.parquet(folder)
+    filled = F.filter(F.transform("vals", lambda x, k: F.when(x != 0, k)), lambda k: k.isNotNull())
+    return m.select("row_id", "row", F.col("block").cast("long").alias("block"), F.size(filled).cast("long").alias("n_values"),
+                    r6(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x)).alias("total"),
+                    F.array_max(filled).cast("long").alias("last_column"))
+
+
 @query("epsilon_pairs_dense", f"""WITH {EMB_SQL}
 SELECT i, j, round(dist, 6) AS dist FROM ed WHERE dist <= 1.2""")
 def q_epsilon_pairs_dense(spark, sf):
