@@ -12,10 +12,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import count_round, cut_lineage
+from ..session import count_round, cut_lineage, drop_state
+
+# The last edges of a forest, few of which join few components, are finished in one
+# task (a constant, far below any input's size).
+TAIL_EDGES = 4096
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -91,7 +95,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
                  .select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"),
                          F.col("m").alias("lo"))
                  .where(F.col("hi") != F.col("lo")).distinct())
-        e = cut_lineage(small)
+        old, e = e, cut_lineage(small)
+        drop_state(old)
         cur = _fingerprint(e)
         if cur == prev:
             break
@@ -107,13 +112,15 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, *,
     return cut_lineage(out)  # consumed more than once downstream
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray, i: np.ndarray | None = None,
+                    j: np.ndarray | None = None) -> np.ndarray:
     """Positions of the edges (a < b) in the minimum spanning forest; ties by
-    (weight, a, b). Borůvka rounds on arrays."""
+    (weight, a, b), or by (weight, i, j) where a and b are components that the
+    edges' ends i and j are part of. Borůvka rounds on arrays."""
     verts, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
     ia, ib = inv[: len(a)], inv[len(a):]
     rank = np.empty(len(a), np.int64)
-    rank[np.lexsort((b, a, w))] = np.arange(len(a))
+    rank[np.lexsort((b if j is None else j, a if i is None else i, w))] = np.arange(len(a))
     lab = np.arange(len(verts))
     keep = np.zeros(len(a), bool)
     live = np.arange(len(a))
@@ -132,6 +139,14 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
         lab = to[lab]
 
 
+def _last_forest(edges: DataFrame) -> DataFrame:
+    """The forest of at most ``TAIL_EDGES`` contracted edges, in one task."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ci, cj, i, j = (pdf[c].to_numpy(np.int64) for c in ("ci", "cj", "i", "j"))
+        return pdf.iloc[spanning_forest(ci, cj, pdf["dist"].to_numpy(np.float64), i, j)][["i", "j", "dist"]]
+    return edges.groupBy(F.lit(0).alias("_g")).applyInPandas(run, "i long, j long, dist double")
+
+
 def _forest_partitions(edges: DataFrame) -> DataFrame:
     """Each partition's edges reduced to their own minimum spanning forest (an
     edge left out of it closes a cycle of smaller edges, so it is in no forest)."""
@@ -173,7 +188,6 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: Da
         edges = edges.where(F.col("i") != F.col("j")).select(
             F.least("i", "j").cast("long").alias("i"), F.greatest("i", "j").cast("long").alias("j"),
             F.col("dist").cast("double").alias("dist"))
-    spark = edges.sparkSession
     left = cut_lineage(_forest_partitions(edges).groupBy("i", "j").agg(F.min("dist").alias("dist")))
     forest = None
     comp = None
@@ -183,19 +197,18 @@ def minimum_spanning_forest(vectors, *, edges: DataFrame | None = None, core: Da
             left.join(comp.select(F.col("id").alias("i"), F.col("component").alias("ci")), "i")
             .join(comp.select(F.col("id").alias("j"), F.col("component").alias("cj")), "j")
             .where(F.col("ci") != F.col("cj")).select("i", "j", "dist", "ci", "cj"))
-        left = cut_lineage(ends)
+        size = Observation()
+        left = cut_lineage(ends.observe(size, F.count(F.lit(1)).alias("n")))
+        if size.get["n"] <= TAIL_EDGES:
+            last = _last_forest(left)
+            return cut_lineage(last if forest is None else forest.unionByName(last))
         both = left.select(F.col("ci").alias("c"), "i", "j", "dist").unionByName(
             left.select(F.col("cj").alias("c"), "i", "j", "dist"))
         new = cut_lineage(both.groupBy("c").agg(F.min(F.struct("dist", "i", "j")).alias("e"))
                           .select("e.i", "e.j", "e.dist").distinct())
-        if not new.head(1):
-            break
         forest = new if forest is None else cut_lineage(forest.unionByName(new))
         ids = left.select(F.col("i").alias("id")).unionByName(left.select(F.col("j").alias("id"))).distinct()
         comp = connected_components(forest, ids)
         left = left.select("i", "j", "dist")
     else:
         raise RuntimeError("minimum_spanning_forest did not converge")
-    if forest is None:
-        return spark.createDataFrame([], "i long, j long, dist double")
-    return forest

@@ -86,7 +86,9 @@ def test_connected_components_vs_naive(spark, parts):
 
 
 @pytest.mark.parametrize("with_edges", [False, True])
-def test_spanning_forest_weight(spark, with_edges):
+def test_spanning_forest_weight(spark, with_edges, monkeypatch):
+    from bugsift.operators import graph
+    monkeypatch.setattr(graph, "TAIL_EDGES", 0 if with_edges else 40)
     rng = np.random.default_rng(11)
     X = rng.normal(size=(60, 3))
     v = dense(spark, X)
@@ -102,7 +104,8 @@ def test_spanning_forest_weight(spark, with_edges):
 def test_tied_weights_give_one_forest(spark, monkeypatch):
     """A 3 x 3 grid has many spanning trees of weight 8; (dist, i, j) picks one,
     whatever the blocks and partitions, and also from an edge list."""
-    from bugsift.operators import blocks
+    from bugsift.operators import blocks, graph
+    monkeypatch.setattr(graph, "TAIL_EDGES", 5)
     pts = np.array([[x, y] for x in range(3) for y in range(3)], float)
     d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
     parent = list(range(9))
