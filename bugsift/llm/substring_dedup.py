@@ -147,8 +147,26 @@ def _unvary(packed: bytes, n: int) -> tuple[np.ndarray, int]:
     return np.diff(ends, prepend=0), len(steps) * 2
 
 
-def _positions(pos: np.ndarray) -> bytes:
-    return pos.astype(np.uint32).tobytes()
+def _pack_places(doc: np.ndarray, pos: np.ndarray) -> bytes:
+    ids, number = np.unique(doc, return_inverse=True)
+    return b"".join(x.tobytes() for x in (np.array([len(doc), len(ids)], np.uint64), ids.astype(np.int64),
+                                          number.astype(np.uint32), pos.astype(np.uint32)))
+
+
+def _unpack_places(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, n_ids = np.frombuffer(packed, np.uint64, 2).tolist()
+    ids = np.frombuffer(packed, np.int64, n_ids, 16)
+    number, pos = np.frombuffer(packed, np.uint32, 2 * n, 16 + 8 * n_ids).reshape(2, n)
+    return ids[number], pos
+
+
+def _by_group(doc: np.ndarray, pos: np.ndarray, groups: int) -> tuple[list[int], list[bytes]]:
+    """Window starts to remove, packed for each group of documents."""
+    group = (mix(doc.view(U64)) % U64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    doc, pos = doc[order], pos[order]
+    names, at = np.unique(group[order], return_index=True)
+    return names.tolist(), [_pack_places(doc[a:b], pos[a:b]) for a, b in zip(at, np.append(at[1:], len(doc)))]
 
 
 def _pack(first: np.ndarray, second: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
@@ -172,9 +190,12 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
 
 
 def removals(docs: DataFrame, bits: bytes, width: int, buckets: int) -> DataFrame:
-    """(id, starts): packed window starts to remove, in several rows per id."""
+    """(id, starts): packed window starts to remove, one row per id that loses some.
+    A bucket of windows sends one packed row to each of a limited number of groups of
+    documents, in which the starts of a document come together."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bits)
+    groups = max(partitions(spark), buckets // 8)
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(shared.value, np.uint8)
@@ -193,13 +214,10 @@ def removals(docs: DataFrame, bits: bytes, width: int, buckets: int) -> DataFram
             here = doc > least             # a smaller id of this very block has the window
             out_bucket, out_kind, out_packed = [], [], []
             own_doc, own_pos = doc[here], pos[here]
-            by_doc = np.argsort(own_doc, kind="stable")
-            own_doc, own_pos = own_doc[by_doc], own_pos[by_doc]
-            names, at = np.unique(own_doc, return_index=True)
-            for d, a, b in zip(names, at, np.append(at[1:], len(own_doc))):
-                out_bucket.append(int(mix(np.array([d]).view(U64))[0] % U64(buckets)))
-                out_kind.append(int(d))
-                out_packed.append(_positions(own_pos[a:b]))
+            for g, places in zip(*_by_group(own_doc, own_pos, groups)):
+                out_bucket.append(g % buckets)
+                out_kind.append(g)
+                out_packed.append(places)
             decided = len(out_packed)
             first, second, doc, pos = (x[~here] for x in (first, second, doc, pos))
             bucket = (mix(first) % U64(buckets)).astype(np.int64)
@@ -226,16 +244,21 @@ def removals(docs: DataFrame, bits: bytes, width: int, buckets: int) -> DataFram
             first, second, doc, pos = first[order], second[order], doc[order], pos[order]
             new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
             gone = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            doc, pos = doc[gone], pos[gone]
-            order = np.argsort(doc, kind="stable")
-            doc, pos = doc[order], pos[order]
-            names, at = np.unique(doc, return_index=True)
-            ids += names.tolist()
-            packed += [pos[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(doc)))]
-        return pa.table({"id": pa.array(ids, pa.int64()), "starts": pa.array(packed, pa.binary())})
+            more = _by_group(doc[gone], pos[gone], groups)
+            ids, packed = ids + more[0], packed + more[1]
+        return pa.table({"group": pa.array(ids, pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+    def together(batch: pa.Table) -> pa.Table:
+        doc, pos = map(np.concatenate, zip(*(_unpack_places(p) for p in batch.column("packed").to_pylist())))
+        order = np.lexsort((pos, doc))
+        doc, pos = doc[order], pos[order]
+        names, at = np.unique(doc, return_index=True)
+        return pa.table({"id": pa.array(names, pa.int64()),
+                         "starts": pa.array([pos[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(doc)))], pa.binary())})
 
     return (docs.select("id", "text").mapInArrow(flagged, "bucket long, decided boolean, id long, packed binary")
-            .groupBy("bucket").applyInArrow(judge, "id long, starts binary"))
+            .groupBy("bucket").applyInArrow(judge, "group long, packed binary")
+            .groupBy("group").applyInArrow(together, "id long, starts binary"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +270,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     width = width_for(n)
     buckets = max(partitions(docs.sparkSession), n // BUCKET_ENTRIES)
     gone = cut(removals(own, sketch(own, width), width, buckets))
-    starts = gone.groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    starts = gone.select("id", F.array("starts").alias("starts"))
     # only documents that lose something (a fixed-size bitmap says which may) meet their
     # positions in a join; the others are finished where they are read
     bits = docs.sparkSession.sparkContext.broadcast(
