@@ -42,7 +42,7 @@ ACCESS_LEAST = 16
 HEX = re.compile(r"[0-9a-f]{32,}")      # maximal runs, so the same as runs of 32 or more
 KINDS = ("assign", "access", "hex", "key", "token")
 
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{44,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 # The first part of a dotted token ends a run before a dot; exactly 2 or 4 parts follow.
@@ -51,6 +51,11 @@ PARTS = [re.compile(r"(?:\.[A-Za-z0-9_-]*+){%d}" % n) for n in (2, 4)]
 OBJECT = re.compile(rb"\{\s*\"")
 ESCAPED_BREAK = re.compile(r"\\+(?:[nrt]|u000[9AaDd]|(?=[\r\n]))")
 ESCAPED_SLASH = re.compile(r"\\+/")
+# What stands between the literals of a concatenated string, and before the lines of a quoted one.
+LITERALS = re.compile(r"""["'`][ \t]*+[+.,&\\]*+\s*+["'`]""")
+QUOTED = re.compile(r"[ \t>|#*]*+(?://[ \t]++(?=\S))?")
+# Base64 of 0x30 and a length byte below 0x90: where a DER key may start inside a run.
+DER_START = re.compile(r"(?=M[C-I])")
 # A text none of these (RE2) matches has no span of any kind.
 MAY_HAVE = (r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{32}|[A-Za-z0-9+/_-]{44}"
             r"|(?:[0-9A-Fa-f]{2}){32}|-----BEGIN |ey[A-Za-z0-9_-]{8,}\.")
@@ -90,6 +95,18 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def der_size(data: bytes) -> int:
+    """Bytes of the DER sequence that ``data`` starts with, by its stated length
+    (up to two length bytes); 0 if it holds no version number or sequence first."""
+    if len(data) < 24 or data[0] != 0x30:
+        return 0
+    k = data[1] & 0x7F if data[1] & 0x80 else 0
+    if k > 2:
+        return 0
+    size = 2 + k + (int.from_bytes(data[2:2 + k], "big") if k else data[1])
+    return size if 24 <= size <= len(data) and data[2 + k] in (0x02, 0x30) else 0
+
+
 def der_private_key(data: bytes) -> bool:
     """Whether the bytes are one DER private key (plain or encrypted)."""
     top = der_items(data)
@@ -140,20 +157,61 @@ def is_key(data: bytes | None, deep: bool = True) -> bool:
     if data[0] == 0x30 and der_private_key(data) or openssh_private_key(data):
         return True
     if deep and b"-----BEGIN " in data[:64]:
-        m = ARMOUR.search(data.decode("latin-1"))
-        return bool(m and armoured(m[2]))
+        return any(armoured(body) for _, _, body in armours(data.decode("latin-1")))
     return False
 
 
+def armours(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, body) between each END mark and the last BEGIN mark before it,
+    if their labels agree: an unclosed or merely mentioned header ends nothing.
+    One scan over the marks."""
+    opened = None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m
+        elif opened is not None and opened[2] == m[2]:
+            yield opened.start(), m.end(), text[opened.end():m.start()]
+            opened = None
+
+
 def armoured(body: str) -> bool:
-    """Whether an armoured key's body decodes to a key; header lines mark an
-    encrypted body, which is base64 but has no structure of its own. In JSON and
-    env strings line breaks (and slashes) are written with backslashes."""
-    lines = ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", body)).strip().splitlines()
-    headed = any(":" in x for x in lines)
+    """Whether an armoured key's body decodes to a key. In JSON and env strings
+    line breaks (and slashes) are written with backslashes, in source code lines
+    are literals put together, in mails and comments lines carry a prefix. Header
+    lines are left out; a body without structure of its own is a key only below
+    the two headers of an encrypted one, in whole cipher blocks."""
+    plain = LITERALS.sub("\n", ESCAPED_SLASH.sub("/", ESCAPED_BREAK.sub("\n", body)))
+    # the END mark's own line may carry a prefix too: padding stands for the mark
+    lines = [x[QUOTED.match(x).end():] for x in (plain + "=").splitlines()]
     packed = "".join("".join(x.split()) for x in lines if ":" not in x)
     data = from_base64(packed) if packed else None
-    return bool(data) and (headed or is_key(data, deep=False))
+    if not data:
+        return False
+    sealed = (any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in lines)
+              and any(x.startswith("DEK-Info:") for x in lines))
+    return sealed and len(data) >= 24 and len(data) % 8 == 0 or is_key(data, deep=False)
+
+
+def inner_key(run: str) -> tuple[int, int] | None:
+    """(start, end) of the first DER key that starts inside a base64 run with
+    something glued before it, or after it. Starts at offsets of one remainder by
+    4 share their decoding; a start is read no further than the length it states."""
+    decoded: dict[int, tuple[int, memoryview]] = {}
+    body = run.rstrip("=")
+    for m in DER_START.finditer(body):
+        at = m.start()
+        if at % 4 not in decoded:
+            own = body[at:]
+            decoded[at % 4] = at, memoryview(from_base64(own[:-1] if len(own) % 4 == 1 else own) or b"")
+        first, data = decoded[at % 4]
+        data = data[(at - first) // 4 * 3:]
+        size = der_size(data)
+        if size and der_private_key(data[:size]):
+            end = at + -(-size * 4 // 3)
+            while end < len(run) and run[end] == "=":
+                end += 1
+            return at, end
+    return None
 
 
 def json_object(data: bytes | None) -> dict:
@@ -216,14 +274,18 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start) of candidates that decode to a key or a token."""
-    out, taken = [], []
-    for m in ARMOUR.finditer(text):
-        if armoured(m[2]):
-            taken.append((m.start(), m.end()))
+    taken = [(a, b) for a, b, body in armours(text) if armoured(body)]
     for pattern, decode in ((B64_RUN, from_base64), (HEX_RUN, bytes.fromhex)):
+        before, k = sorted(taken), 0
         for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b in taken) and is_key(decode(m[0])):
+            while k < len(before) and before[k][1] <= m.start():
+                k += 1
+            if k < len(before) and before[k][0] <= m.start():
+                continue
+            if is_key(decode(m[0])):
                 taken.append((m.start(), m.end()))
+            elif pattern is B64_RUN and (part := inner_key(m[0])):
+                taken.append((m.start() + part[0], m.start() + part[1]))
     out = [(a, 3, b, a) for a, b in taken]
     out += [(a, 4, b, a) for a, b in token_spans(text)]
     return sorted(set(out))
