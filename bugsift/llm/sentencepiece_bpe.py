@@ -74,6 +74,7 @@ class PieceModel:
         for p, i in self.id.items():
             self.find.add_word(p, i)
         self.find.make_automaton()
+        self.longest = max(self.size.values())
         # a piece's next shorter prefix that is a piece itself
         self.shorter: dict[int, int | None] = {}
         for p, i in self.id.items():
@@ -133,16 +134,17 @@ class PieceModel:
         out = ahead[:good]
         pos = sum(map(size.__getitem__, out))
         token: int | None = ahead[good]
-        failed = bytearray(n + 1)
+        failed = bytearray((n >> 3) + 1)          # one bit per position
+        reach = self.longest
         while True:
             last = out[-1] if out else None
             while token is not None:
                 end = pos + size[token]
-                if not failed[end] and (last is None or adjacent(last, token)):
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or adjacent(last, token)):
                     break
                 token = shorter[token]
             if token is None:
-                failed[pos] = 1
+                failed[pos >> 3] |= 1 << (pos & 7)
                 token = out.pop()
                 pos -= size[token]
                 continue
@@ -150,7 +152,7 @@ class PieceModel:
             pos = end
             if pos >= n:
                 return out
-            token = next(find.iter_long(s, pos))[1]
+            token = next(find.iter_long(s[pos:pos + reach]))[1]
 
     def encode_stretch(self, s: str) -> list[int]:
         if self.chars.issuperset(s):
