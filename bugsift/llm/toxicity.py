@@ -88,8 +88,8 @@ def labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         step = -(-n // TRAIN_ROWS)
         own = own.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0)
     # at most about TRAIN_ROWS short rows
-    return docs.join(F.broadcast(own), F.col(id_col) == F.col("_id")).select(
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), "label")
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return slim.join(F.broadcast(own), "_id").select("text", "label")
 
 
 def choose_cues(train: DataFrame) -> list[str]:
