@@ -27,6 +27,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, drop_state
 from .common import cut, partitions, prepare
 
 SHARDS = 16
@@ -109,9 +110,10 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS,
     placed: (node, shard), level; links: (node, group). Returns (node, shard)."""
     spark = placed.sparkSession
     prepare(spark)
-    state = cut(placed.select("node", F.col("shard").cast("int").alias("shard")))
-    links = cut(links.select("node", "group").distinct())
-    busy = cut(links.select("node").distinct())
+    # a round's tables are written and reread, so that the next plan knows their true sizes
+    state = cut_lineage(placed.select("node", F.col("shard").cast("int").alias("shard")))
+    links = cut_lineage(links.select("node", "group").distinct())
+    busy = cut_lineage(links.select("node").distinct())
     capacity = -(-state.count() // shards)
     best_state, most, stale = state, -1, 0
     for r in itertools.count():
@@ -121,6 +123,8 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS,
         kept = F.aggregate(F.array(*[F.col(f"s{k}") for k in range(shards)]), F.lit(0.0), lambda a, n: a + n * (n - 1) / 2)
         whole = per.agg(F.sum(kept)).first()[0] or 0
         if whole > most:
+            if best_state is not state:
+                drop_state(best_state)
             best_state, most, stale = state, whole, 0
         else:
             stale += 1
@@ -149,10 +153,11 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS,
                 .withColumn("b", F.get("top", F.pmod(F.xxhash64("node", F.lit(r)), F.size("top")).cast("int")))
                 .select("node", F.col("shard").alias("from"), F.col("b.s").cast("int").alias("to"),
                         (F.col("b.n") - have).alias("gain"), (have == 1).alias("loose")))
-        wish = cut(wish)
+        wish = cut_lineage(wish)
         want = {(x["from"], x["to"]): x["n"] for x in wish.groupBy("from", "to")
                 .agg(F.count(F.lit(1)).alias("n")).collect()}
         if not want:
+            drop_state(wish)
             if len(room) == shards:
                 break
             continue
@@ -182,7 +187,7 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS,
                 spare.join(F.broadcast(table), (F.col("shard") == F.col("s")) & (F.col("pos") >= F.col("lo"))
                            & (F.col("pos") < F.col("hi"))).select("node", "to"))
         # refused documents without a linked one beside them change places among themselves
-        refused = cut(ranked.where("pos >= q AND loose").select("node", "from"))
+        refused = cut_lineage(ranked.where("pos >= q AND loose").select("node", "from"))
         places, at = [], 0
         for x in refused.groupBy("from").agg(F.count(F.lit(1)).alias("n")).orderBy("from").collect():
             places.append((at, at + x["n"], x["from"]))
@@ -192,7 +197,9 @@ def propagate(placed: DataFrame, links: DataFrame, shards: int = SHARDS,
             dealt = numbered(refused, [], [F.xxhash64("node", F.lit(r)), "node"], "pos")
             moves = moves.unionByName(dealt.join(F.broadcast(table), (F.col("pos") >= F.col("lo"))
                                                  & (F.col("pos") < F.col("hi"))).select("node", "to"))
-        state = cut(state.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")))
+        old = state
+        state = cut_lineage(state.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")))
+        drop_state(wish, refused, None if old is best_state else old)
     return best_state
 
 
