@@ -568,6 +568,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """The rows (all columns) that are the smallest id of their component. Rows
     with a null id stay; of rows that share an id all stay or none."""
     prepare(docs.sparkSession)
+    name = "_gone"
+    while name in map(str.lower, docs.columns):
+        name += "_"
     gone = (classes(docs, id_col=id_col, text_col=text_col, count_links=False)
-            .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+            .where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct())
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -157,6 +157,43 @@ def test_tokens_and_keys_in_context():
         assert secret_scan.confirmed_spans(s) == []
 
 
+def test_armour_in_quotes_literals_and_after_open_headers():
+    good, _ = secret_texts()
+    found = lambda t: [t[a:b] for a, k, b, _ in secret_scan.confirmed_spans(t) if k == 3]
+    for name in ("pem", "pem8", "ssh"):
+        key = good[name]
+        head = key.split("\n")[0]
+        for before in (head + "\n", f"files start with {head} and so on\n", head + "\nabcd\n" + head + " "):
+            assert found(before + key + " tail") == [key], name
+        for mark in ("> ", ">> ", "# ", "// ", " * ", "| ", "\t"):
+            t = mark + key.replace("\n", "\n" + mark)
+            assert found(t) == [t[len(mark):]], (name, mark)
+        for join in ('\\n" +\n   "', '"\n "', "\\n' \\\n  '", '" . "', '\\n",\n"'):
+            t = join[-1] + key.replace("\n", join) + join[-1]
+            assert found(t) == [t[1:-1]], (name, join)
+    plain = good["der64"]
+    for before in ("key/", "K", "MII", "abMCd+", "/"):
+        t = f"x {before}{plain} y"
+        assert found(t) == [plain], before
+    # headers of the two known kinds only, over whole cipher blocks
+    body = base64.encodebytes(random.Random(8).randbytes(64)).decode()
+    pem = lambda inner: f"-----BEGIN RSA PRIVATE KEY-----\n{inner}-----END RSA PRIVATE KEY-----"
+    sealed = pem(f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}")
+    assert found(sealed) == [sealed]
+    for inner in ("note: none\nabcd\n", f"note: none\n{body}", f"Proc-Type: 4,ENCRYPTED\n{body}", body):
+        assert found(pem(inner)) == []
+
+
+def test_armour_search_is_linear():
+    import time
+    start = time.perf_counter()
+    for t in ("-----BEGIN RSA PRIVATE KEY-----\n" * 20_000, "MII" * 200_000, "MIIEpAIBAAKCAQEA" * 20_000,
+              "-----BEGIN " + "A " * 200_000, '"' + " " * 200_000 + "-----BEGIN PRIVATE KEY-----" + '" \n' * 100_000
+              + "-----END PRIVATE KEY-----"):
+        assert [k for _, k, _, _ in secret_scan.confirmed_spans(t)] == []
+    assert time.perf_counter() - start < 10
+
+
 def brute_base(text):
     import re
     pats = (("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
@@ -264,6 +301,8 @@ def test_toxicity_learns_and_locates(spark):
     docs, labels = toxic_corpus()
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
     df = frame(spark, docs)
+    clash = df.select("*", F.lit(1).alias("label"), F.lit(7).alias("_id"), F.lit(0).alias("toxic"))
+    assert sorted(toxicity.labelled(clash, lab).collect()) == sorted(toxicity.labelled(df, lab).collect())
     model = toxicity.fit(toxicity.labelled(df, lab))
     assert {"vile", "awful", "nasty"} <= set(model.cues)
     got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
@@ -280,6 +319,27 @@ def test_toxicity_learns_and_locates(spark):
         assert any(w in r["sentence"] for w in ("vile", "awful", "nasty"))
 
 
+def test_toxicity_scores_are_noisy_or(spark):
+    """Scores from the definition: 1 less the product over all sentences, each
+    found word by word, of what a sentence leaves."""
+    import math
+    import re
+    docs, labels = toxic_corpus(200)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = frame(spark, docs)
+    model = toxicity.fit(toxicity.labelled(df, lab))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+    for d, t in docs:
+        left = 1 - model.leak
+        for sent in re.split(r"(?<=[.!?])|\n", t or ""):
+            words = {w.strip(".,!?;:\"'()").lower() for w in sent.split()}
+            cues = words & set(model.cues)
+            if cues:
+                z = model.bias + sum(model.weights[model.cues.index(c)] for c in cues)
+                left *= 1 - 1 / (1 + math.exp(-z))
+        assert got[d] == pytest.approx(1 - left, abs=1e-9), d
+
+
 def test_toxicity_without_labels(spark):
     docs, _ = toxic_corpus(20)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -439,6 +499,38 @@ def test_sharding_mostly_linked(spark, size, alone):
     assert pairs - whole <= 0.03 * pairs
 
 
+def test_sharding_tiny_against_all_placements(spark):
+    """Against every level placement of a few rows: the cut lies between the best
+    one and that of the deal (propagation need not reach the best)."""
+    from itertools import permutations
+    from bugsift.llm.sharding import cut_links, propagate
+    for groups in ([0, 0, 1, 1], [0, 0, None, None]):
+        n = len(groups)
+
+        def split(p):
+            return sum(groups[i] is not None and groups[i] == groups[j] and p[i] != p[j] for i in range(n) for j in range(i))
+        best = min(map(split, set(permutations([k % 2 for k in range(n)]))))
+        placed = spark.createDataFrame([(i, i % 2) for i in range(n)], "node long, shard int")
+        links = spark.createDataFrame([(i, g) for i, g in enumerate(groups) if g is not None], "node long, group int")
+        out = propagate(placed, links, shards=2)
+        count = [r["count"] for r in out.groupBy("shard").count().collect()]
+        assert max(count) - min(count) <= 1 and sum(count) == n
+        got = split([s for _, s in sorted(out.collect())])
+        assert best <= got <= split([k % 2 for k in range(n)]) and cut_links(out, links).first()["split"] == got
+        assert None not in groups or got == best
+
+
+def test_sharding_states_keep_true_sizes(spark):
+    """The estimate of a state stays that of its rows, however many rounds made it."""
+    from bugsift.llm.sharding import propagate
+    n = 120
+    placed = spark.createDataFrame([(i, i % 4) for i in range(n)], "node long, shard int").repartition(2)
+    links = spark.createDataFrame([(i, i * 7 % n // 3) for i in range(n)], "node long, group int")
+    out = propagate(placed, links, shards=4)
+    size = int(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert size < 1 << 20
+
+
 def test_sharding_few_rows(spark):
     assert sharding.shard_documents(frame(spark, [])).collect() == []
     got = sharding.shard_documents(frame(spark, [(1, "a"), (2, "a"), (3, "a")])).collect()

@@ -120,6 +120,9 @@ def test_jaccard_keep_one(spark):
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in comp.items() if c == d}
+    clash = df.select("*", F.lit(5).alias("_gone"), F.lit(1).alias("id"), F.lit(2).alias("component_id"))
+    more = ngram_join.keep_one(clash)
+    assert more.columns == clash.columns and more.count() == kept.count()
 
 
 @pytest.mark.parametrize("seed,parts,width", [(1, 1, 1 << 20), (2, 6, 1 << 10)])
@@ -167,6 +170,23 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece_bpe.round_trip(frame(spark, []), piece_model()).collect() == []
 
 
+def test_sentencepiece_long_stretches():
+    """One unbroken stretch of any length: the library's ids, in linear time."""
+    import time
+    m = sentencepiece_bpe.load(piece_model())
+    rng = random.Random(6)
+    for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "aé漢Ж"):
+        s = "".join(rng.choice(letters) for _ in range(60_000))
+        assert m.encode(s) == m.lib.encode(s)
+    took = []
+    for n in (100_000, 400_000):
+        s = "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+        start = time.perf_counter()
+        m.encode(s)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_adjacency_is_needed():
     """Greedy longest matches alone are not the merge order's segmentation."""
     m = sentencepiece_bpe.load(piece_model())
