@@ -26,8 +26,10 @@ Exact, after Wang, Qin, Lin, Zhang, Chang (VLDB 2017), as Spark jobs:
    heaviest one, and each takes its neighbour with most links as its pivot. With
    the sizes x, y and the differences d, e to one pivot, the difference of two
    sets is between ``|d - e|`` and ``d + e``. Pairs that this makes sure are
-   counted by one sort per pivot and never listed, impossible ones are skipped,
-   and the undecided ones and those of different pivots are verified.
+   counted by one sort per pivot and never listed. The others of one pivot are
+   decided from the differences alone, ``|d| + |e| - 2 |d & e|``, in blocks of
+   sets that return a count per set. Pairs of different pivots are verified;
+   bitmaps beside the index entries keep impossible ones from becoming rows.
 
 ``n_links`` is the number of other rows a row's set links with, copies included.
 
@@ -60,6 +62,8 @@ LIST_PAIRS = 8            # lists up to this length are paired at once
 HEAD_ROUNDS = 1           # such rounds (odd ones pair neighbours by size instead)
 PAIRS_AT_ONCE = 4_000_000
 BUCKET_POSTINGS = 400_000
+MARK_BYTES = 128          # bitmap beside an index entry
+SETS_AT_ONCE = 2048       # sets of a pivot in a block (on average)
 NEED_BITS = 1 << 23       # bitmap of the ids whose texts a verification needs (1 MB)
 _COLS = "kind int, tok long, a long, b long, size long, pos long"
 
@@ -256,25 +260,57 @@ def _lists(batch: pa.Table) -> pa.Table:
         _table(1, tok[long].view(np.int64), ids[long], 0, size[long], pos[long])])
 
 
-def undecided(size_a, diff_a, size_b, diff_b):
-    """Whether the differences of two sets to one pivot leave open if they link."""
-    most = (DEN - NUM) * (size_a + size_b)
-    return ((DEN + NUM) * (diff_a + diff_b) > most) & ((DEN + NUM) * np.abs(diff_a - diff_b) <= most)
+def _marks(sets: DataFrame) -> DataFrame:
+    """(id, marks): a set's bitmap folded or repeated to MARK_BYTES, after the
+    bytes of its width and how many of its shingles share a slot."""
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, bits in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x = np.frombuffer(bits, np.uint8)
+                if len(x) > MARK_BYTES:
+                    x = np.bitwise_or.reduce(x.reshape(-1, MARK_BYTES), axis=0)
+                head = np.array([len(x), n - int(np.bitwise_count(x).sum())], np.int64)
+                out.append(head.tobytes() + np.tile(x, MARK_BYTES // len(x)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "marks"])
+    return sets.select("id", "n", "bits").mapInArrow(go, "id long, marks binary")
+
+
+class Marks:
+    """Bitmaps of entries: which pairs of them can link."""
+
+    def __init__(self, marks: list[bytes], size: np.ndarray):
+        raw = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), 16 + MARK_BYTES)
+        head = np.ascontiguousarray(raw[:, :16]).view(np.int64)
+        self.width, self.twice, self.size = head[:, 0], head[:, 1], size
+        self.bits = np.ascontiguousarray(raw[:, 16:]).view(np.uint64)
+
+    def can_link(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Shared slots at the wider bitmap's width, plus what shares a slot within
+        that set, bound the intersection."""
+        out = np.empty(len(x), bool)
+        for lo in range(0, len(x), 1 << 16):
+            a, b = x[lo:lo + (1 << 16)], y[lo:lo + (1 << 16)]
+            wide = np.maximum(self.width[a], self.width[b])
+            both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64) * wide // MARK_BYTES
+            more = np.minimum(np.where(self.width[a] == wide, self.twice[a], 1 << 40),
+                              np.where(self.width[b] == wide, self.twice[b], 1 << 40))
+            out[lo:lo + (1 << 16)] = both + more >= overlap_needed(self.size[a], self.size[b])
+        return out
 
 
 def _cross(batch: pa.Table) -> pa.Table:
-    """Pairs of one list between components (or pivots: then with undecided pairs
-    of one pivot, by their differences to it). Entries of equal size, position,
-    component and difference form a block; whole block pairs are skipped."""
+    """Pairs of one list between components (or pivots) that can link. Entries of
+    equal size, position and component form a block; whole block pairs are skipped,
+    then single pairs by their bitmaps."""
     ids, size, pos, comp = (batch.column(c).to_numpy() for c in ("id", "size", "pos", "comp"))
-    every = "diff" in batch.column_names
-    diff = batch.column("diff").to_numpy() if every else np.zeros(len(ids), np.int64)
-    order = np.lexsort((ids, diff, comp, pos, size))
-    ids, size, pos, comp, diff = ids[order], size[order], pos[order], comp[order], diff[order]
+    order = np.lexsort((ids, comp, pos, size))
+    ids, size, pos, comp = ids[order], size[order], pos[order], comp[order]
+    marks = Marks(batch.column("marks").take(pa.array(order)).to_pylist(), size)
     starts = np.flatnonzero(np.append(
-        True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (comp[1:] != comp[:-1]) | (diff[1:] != diff[:-1])))
+        True, (size[1:] != size[:-1]) | (pos[1:] != pos[:-1]) | (comp[1:] != comp[:-1])))
     count = np.diff(np.append(starts, len(ids)))
-    size, pos, comp, diff = size[starts], pos[starts], comp[starts], diff[starts]
+    size, pos, comp = size[starts], pos[starts], comp[starts]
     # later blocks whose size is close enough are a range, as blocks come by size
     last = np.searchsorted(size, DEN * size // NUM, "right")
     found: list[np.ndarray] = []
@@ -285,10 +321,7 @@ def _cross(batch: pa.Table) -> pa.Table:
         near = last[lo:hi] - np.arange(lo, hi)
         x = np.repeat(np.arange(lo, hi), near)
         y = x + np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
-        fit = comp[x] != comp[y]
-        if every:
-            fit |= undecided(size[x], diff[x], size[y], diff[y])
-        fit &= possible(size[x], pos[x], size[y], pos[y])
+        fit = (comp[x] != comp[y]) & possible(size[x], pos[x], size[y], pos[y])
         x, y = x[fit], y[fit]
         step = 0
         while step < len(x):
@@ -298,8 +331,9 @@ def _cross(batch: pa.Table) -> pa.Table:
             n = count[u] * count[v]
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             wide = np.repeat(count[v], n)
-            a = ids[np.repeat(starts[u], n) + k // wide]
-            b = ids[np.repeat(starts[v], n) + k % wide]
+            i, j = np.repeat(starts[u], n) + k // wide, np.repeat(starts[v], n) + k % wide
+            fit = marks.can_link(i, j)
+            a, b = ids[i[fit]], ids[j[fit]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
             step = to
         lo = hi
@@ -393,8 +427,8 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (a, b, d) between representatives of different sets, enough
     to join everything that is joined by links; checkpointed. ``every``: with the
-    pivots (id, pivot, diff, slack, all of a pivot together); the links are the
-    verified ones and, of one pivot, all pairs whose slacks add up to at most 0.
+    pivots (id, pivot, diff, slack); the links are the verified ones of different
+    pivots and, of one pivot, what slacks and differences decide.
 
     docs: (id, text); sets: checkpointed rows of ``indexed_sets``."""
     spark = docs.sparkSession
@@ -421,13 +455,11 @@ def links(docs: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFr
             done = cut(done.unionByName(ties))
             near = cut(near.unionByName(verified(docs, sets, ties)))
         pivot = cut(_pivots(near, own))
-        open_ = _open(entries, pivot)
-        rest = cut(open_.repartition(partitions(spark), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
-                   .distinct().join(done, ["a", "b"], "left_anti"))
+        rest = _between(_mixed(entries, pivot, "pivot"), sets, done)
         return (cut(near.unionByName(verified(docs, sets, rest))) if rest.head(1) else near), pivot
     for turn in range(HEAD_ROUNDS):
         # answer skipping: what a list's entries are linked to already is known
-        mixed = _mixed(entries, components(near))
+        mixed = _mixed(entries, components(near), "component_id")
         # one entry of each component in a list ...
         rank = F.struct("weight", "id") if turn % 2 == 0 else F.xxhash64("id", F.lit(turn))
         heads = mixed.groupBy("tok", "comp").agg(F.max_by(F.struct("size", "id", "weight"), rank).alias("h"))
@@ -446,12 +478,18 @@ def links(docs: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFr
             continue
         done = cut(done.unionByName(ties))
         near = cut(near.unionByName(verified(docs, sets, ties)))
-    mixed = _mixed(entries, components(near))
-    rest = cut(mixed.drop("weight").repartition(partitions(spark), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
-               .distinct().join(done, ["a", "b"], "left_anti"))
+    rest = _between(_mixed(entries, components(near), "component_id"), sets, done)
     return (near.unionByName(verified(docs, sets, rest)) if rest.head(1) else near), None
 
 
+def _between(mixed: DataFrame, sets: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs between the components (or pivots) of a list that can link and are not done."""
+    own = mixed.select("tok", "id", "size", "pos", "comp").join(
+        _marks(sets.join(mixed.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"]), "id")
+    return cut(own.repartition(partitions(sets.sparkSession), "tok").groupBy("tok").applyInArrow(_cross, "a long, b long")
+               .distinct().join(done, ["a", "b"], "left_anti"))
+
+
 def _pivots(near: DataFrame, own: DataFrame) -> DataFrame:
     """(id, pivot, diff, slack) of every linked set: its neighbour with most links,
     or itself if none has more. Slacks of two sets of a pivot that add up to at
@@ -469,25 +507,107 @@ def _pivots(near: DataFrame, own: DataFrame) -> DataFrame:
         ((DEN + NUM) * F.col("k.d") - (DEN - NUM) * F.col("n")).cast("long").alias("slack"))
 
 
-def _open(entries: DataFrame, pivot: DataFrame) -> DataFrame:
-    """Entries, with pivots, of the lists that hold several pivots or undecided pairs."""
-    own = entries.join(pivot, "id", "left").select(
-        "tok", "id", "size", "pos", F.coalesce("pivot", "id").alias("comp"), F.coalesce("diff", F.lit(0)).alias("diff"),
-        F.coalesce("slack", F.lit(0)).alias("slack"))
-    lists = (own.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.max("slack").alias("_s"))
-             .where("_lo <> _hi OR _s > 0").select("tok"))
-    return own.drop("slack").join(lists, "tok")
+def _differences(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows of member (id, pivot, ...) with ``n``, the set's size, and ``diff``,
+    the packed shingles in which it and its pivot differ."""
+    pairs = member.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    bits = docs.sparkSession.sparkContext.broadcast(_needed(pairs))
+    texts = _wanted(docs.select("id", "text"), bits, "id long, text string").dropDuplicates(["id"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, text in text_chunks(batches, text=2):
+            a = cols[0].to_numpy()
+            tok_b, off_b = shingle_sets(text)
+            # a pivot's text is cut into shingles once per run
+            new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+            tok_a, off_a = shingle_sets(cols[3].take(pa.array(new)).cast(pa.large_string()).fill_null(""))
+            which = np.searchsorted(new, np.arange(len(a)), "right") - 1
+            diff = [np.setxor1d(tok_a[off_a[w]:off_a[w + 1]], tok_b[off_b[r]:off_b[r + 1]], assume_unique=True).tobytes()
+                    for r, w in enumerate(which)]
+            yield pa.RecordBatch.from_arrays([cols[1], pa.array(np.diff(off_b).astype(np.int64)), pa.array(diff, pa.binary())],
+                                             ["id", "n", "diff"])
+
+    both = (pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+            .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a"))
+    return member.join(both.select("a", "b", "text_b", "text_a").sortWithinPartitions("a", "b")
+                       .mapInArrow(go, "id long, n long, diff binary"), "id")
+
+
+def _decided(list_pairs: bool):
+    """Links between the sets of two blocks of one pivot that their slacks leave
+    open, from their differences to the pivot: rows (a, b), or weighted counts per set."""
+    def go(batch: pa.Table) -> pa.Table:
+        ids, n, slack, w, block, i, j = (batch.column(c).to_numpy() for c in ("id", "n", "slack", "w", "block", "i", "j"))
+        diff = [np.frombuffer(x, U64) for x in batch.column("diff").to_pylist()]
+        d = np.array([len(x) for x in diff], np.int64)
+        one = np.flatnonzero(block == i[0])
+        two = one if i[0] == j[0] else np.flatnonzero(block == j[0])
+        # shingles of a single difference are in no intersection
+        _, code, times = np.unique(np.concatenate(diff), return_inverse=True, return_counts=True)
+        row, often = np.repeat(np.arange(len(d)), d), times[code] > 1
+        row, code = row[often], np.unique(code[often], return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        step = 2048
+        cuts = np.searchsorted(code, np.arange(0, (code[-1] if len(code) else 0) + step + 1, step))
+        count, pairs = np.zeros(len(d), np.int64), []
+        for lo in range(0, len(one), 512):
+            left = one[lo:lo + 512]
+            common = np.zeros((len(left), len(two)), np.float32)
+            at = np.full(len(d), -1)
+            at[left] = np.arange(len(left))
+            to = np.full(len(d), -1)
+            to[two] = np.arange(len(two))
+            for k, (p, q) in enumerate(zip(cuts[:-1], cuts[1:])):
+                x, y = (np.zeros((m, step), np.float32) for m in common.shape)
+                for z, place in ((x, at), (y, to)):
+                    own = place[row[p:q]]
+                    z[own[own >= 0], code[p:q][own >= 0] - k * step] = 1
+                common += x @ y.T
+            apart = d[left][:, None] + d[two] - 2 * common.astype(np.int64)
+            link = (((DEN + NUM) * apart <= (DEN - NUM) * (n[left][:, None] + n[two]))
+                    & (slack[left][:, None] + slack[two] > 0))
+            if two is one:
+                link[np.arange(len(left)), np.arange(lo, lo + len(left))] = False
+            else:
+                count[two] += w[left] @ link
+            count[left] += link @ w[two]
+            if list_pairs:
+                x, y = np.nonzero(link)
+                a, b = ids[left[x]], ids[two[y]]
+                pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, (a < b) | (two is not one)])
+        if list_pairs:
+            a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"rep": pa.array(ids[count > 0], pa.int64()), "n": pa.array(count[count > 0], pa.int64())})
+    return go
+
+
+def _open(docs: DataFrame, pivot: DataFrame, copies: DataFrame, list_pairs: bool) -> DataFrame:
+    """Links of one pivot that the slacks leave open: (a, b) or (rep, n)."""
+    most = (pivot.groupBy("pivot").agg(F.max("slack").alias("most"))).where("most > 0")
+    member = cut(pivot.join(most, "pivot").where("slack + most > 0").join(copies, "id").select("id", "pivot", "slack", "w"))
+    own = cut(_differences(docs, member))
+    tokens = F.length("diff") / 8
+    blocks = own.groupBy("pivot").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / SETS_AT_ONCE), F.ceil(F.sum(tokens) / (512 * SETS_AT_ONCE))).cast("int").alias("k"))
+    dealt = own.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    # a block meets every block of its pivot, itself included
+    meet = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "pivot", "id", "n", "slack", "w", "diff", "block", F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"))
+    return meet.groupBy("pivot", "i", "j").applyInArrow(
+        _decided(list_pairs), "a long, b long" if list_pairs else "rep long, n long")
 
 
 def _listed(found: DataFrame, pivot: DataFrame) -> DataFrame:
-    """The verified links (a, b) that the pivots do not make sure."""
-    side = lambda x: pivot.select(F.col("id").alias(x), F.col("pivot").alias(f"p_{x}"), F.col("slack").alias(f"s_{x}"))
+    """The links (a, b) that are not of one pivot: those follow from its differences."""
+    side = lambda x: pivot.select(F.col("id").alias(x), F.col("pivot").alias(f"p_{x}"))
     return (found.join(side("a"), "a", "left").join(side("b"), "b", "left")
-            .where(~F.coalesce((F.col("p_a") == F.col("p_b")) & (F.col("s_a") + F.col("s_b") <= 0), F.lit(False)))
-            .select("a", "b"))
+            .where(~F.coalesce(F.col("p_a") == F.col("p_b"), F.lit(False))).select("a", "b"))
 
 
-def _link_counts(found: DataFrame, pivot: DataFrame, copies: DataFrame) -> DataFrame:
+def _link_counts(docs: DataFrame, found: DataFrame, pivot: DataFrame, copies: DataFrame) -> DataFrame:
     """(rep, n_links) of the representatives that link with other sets; copies: (id, w)."""
     listed = _listed(found, pivot)
     both = listed.select(F.col("a").alias("rep"), F.col("b").alias("id")).unionByName(
@@ -503,7 +623,8 @@ def _link_counts(found: DataFrame, pivot: DataFrame, copies: DataFrame) -> DataF
             .where("slack IS NOT NULL").select("pivot", "slack", "sure"))
     two = held.join(upto, ["pivot", "slack"]).select(
         F.col("id").alias("rep"), (F.col("sure") - F.when(F.col("slack") <= 0, F.col("w")).otherwise(0)).alias("n"))
-    return one.unionByName(two).groupBy("rep").agg(F.sum("n").alias("n_links"))
+    three = _open(docs, pivot, copies, list_pairs=False)
+    return one.unionByName(two).unionByName(three).groupBy("rep").agg(F.sum("n").alias("n_links"))
 
 
 def link_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -514,13 +635,14 @@ def link_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found, pivot = links(named, cut(indexed_sets(named, hot_shingles(named))), every=True)
     one, two = (pivot.select(F.col("id").alias(x), "pivot", F.col("slack").alias(f"s_{x}")) for x in "ab")
     sure = one.join(two, "pivot").where("a < b AND s_a + s_b <= 0").select("a", "b")
-    return _listed(found, pivot).unionByName(sure)
+    alone = pivot.select("id", F.lit(1).cast("long").alias("w"))
+    return _listed(found, pivot).unionByName(sure).unionByName(_open(named, pivot, alone, list_pairs=True))
 
 
-def _mixed(entries: DataFrame, comp: DataFrame) -> DataFrame:
-    """Entries, with their components, of the lists that hold more than one."""
-    own = entries.join(comp, "id", "left").select(
-        "tok", "id", "size", "pos", "weight", F.coalesce("component_id", "id").alias("comp"))
+def _mixed(entries: DataFrame, comp: DataFrame, name: str) -> DataFrame:
+    """Entries, with their components (or pivots), of the lists that hold more than one."""
+    own = entries.join(comp.select("id", name), "id", "left").select(
+        "tok", "id", "size", "pos", "weight", F.coalesce(name, "id").alias("comp"))
     lists = (own.groupBy("tok").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
              .where("_lo <> _hi").select("tok"))
     return own.join(lists, "tok")
@@ -548,7 +670,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cols = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
             F.coalesce("component_id", "rep").alias("component_id"), F.col("rep").alias("rep_id")]
     if count_links:
-        counted = _link_counts(found, pivot, reps.select(F.col("rep").alias("id"), "w"))
+        counted = _link_counts(named, found, pivot, reps.select(F.col("rep").alias("id"), "w"))
         out = out.join(counted, "rep", "left")
         cols.append((F.coalesce("n_links", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).alias("n_links"))
     out = out.select(cols)
