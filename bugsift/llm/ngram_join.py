@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (U64, components, cut, gram_hashes, mix, partitions, prepare, row_of, text_chunks,
-                     word_hashes)
+                     word_codes)
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -70,7 +70,7 @@ _COLS = "kind int, tok long, a long, b long, size long, pos long"
 
 def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every row, flat, and row offsets."""
-    h, off = word_hashes(text, lower=True)
+    h, off = word_codes(text, lower=True)
     n = np.diff(off)
     grams = gram_hashes(h, WORDS)
     row = row_of(off)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from bugsift.llm import periodic_runs, quality_qda, queries, spelling_variants
+from bugsift.llm import common, html_extract, periodic_runs, quality_qda, queries, spelling_variants
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -355,3 +355,20 @@ def test_quality_edges(spark):
     got = {r["doc_id"]: r["score"] for r in quality_qda.assess(many, labels).collect()}
     assert all(math.isfinite(s) for s in got.values())
     assert min(s for d, s in got.items() if d % 2) > max(s for d, s in got.items() if not d % 2)
+
+
+# ---- word codes of the n-gram join -------------------------------------------
+
+def test_word_codes_tell_words_apart():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aBé中0") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(4000)]
+    words += ["x" * k for k in range(1, 140)] + ["\0" * k for k in range(1, 20)]
+    texts = [" ".join(words[i::7]) for i in range(7)] + [None, "", " \t\n"]
+    code = {}
+    for piece in (pa.array(texts, pa.large_string()), pa.array(["skipped"] + texts, pa.large_string()).slice(1)):
+        flat, off = common.split_words(piece.fill_null(""), lower=True)
+        h, own = common.word_codes(piece.fill_null(""), lower=True)
+        assert (off == own).all() and len(h) == off[-1]
+        for w, x in zip(flat.to_pylist(), h.tolist()):
+            assert code.setdefault(w, x) == x
+    assert set(code) == {brute.lower_az(w) for w in words} and len(set(code.values())) == len(code)
