@@ -12,11 +12,12 @@ if the source holds it, an element if all its leaves are. The weights maximise
 the labels' likelihood (observed less expected counts, the latter from the same
 messages) under a Gaussian prior around ``PRIOR``, so that tags and class words
 the labelled pages never show keep a sensible weight. The sample is bounded
-(``TRAIN_PAGES``).
+(``TRAIN_PAGES``, pages of less than ``TRAIN_CHARS`` characters).
 
 Text: character references decoded, white space inside a block one blank,
-trimmed, blocks in page order joined by two line feeds. Scripts, styles and
-comments are never text. Null and empty pages give the empty text, a page
+trimmed, blocks in page order joined by two line feeds. Scripts, styles,
+drawings, templates and comments are never text; formulas and the fallback text
+of objects are, as part of their block. Null and empty pages give the empty text, a page
 without any mark-up is one block under the root; whole pages are read; repeated
 rows give equal results; other columns are ignored.
 """
@@ -36,12 +37,17 @@ from pyspark.sql import functions as F
 from .common import prepare, text_chunks
 
 TRAIN_PAGES = 300
+TRAIN_CHARS = 40_000
 TRAIN_ROUNDS = 40
 # Fixed lists of the HTML standard
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby "
-                   "s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset(["script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "math", "object"])
+                   "s samp small span strike strong sub sup time tt u var object "
+                   "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+                   "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+LITERAL = frozenset(["script", "style", "title", "textarea", "iframe"])       # mark-up in these is no mark-up
+NESTED = ("svg", "template")
+RAW = LITERAL | {"noscript", "annotation", "annotation-xml", *NESTED}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
                      "h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -66,7 +72,9 @@ PRIOR = {f"tag:{t}": -6.0 for t in BOILERPLATE} | {
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?][^>]*+(?:>|\Z)",
     re.DOTALL)
-ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*+>?", re.IGNORECASE) for t in RAW}
+NESTED_TAG = re.compile(rf"<(/?)({'|'.join(NESTED)})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -99,6 +107,35 @@ def _element(tag: str, attrs: str, under: bool) -> tuple[str, ...]:
     return tuple(out)
 
 
+class RawEnds:
+    """Where the raw elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()               # tags without an end tag in the rest of the page
+        self.inner: dict[int, int] | None = None     # position after a nested start tag -> its own end tag
+
+    def after(self, tag: str, at: int) -> int | None:
+        """Position behind the end tag of the element whose content starts at ``at``."""
+        if tag in self.missing:
+            return None
+        if tag in NESTED:
+            if self.inner is None:
+                self.inner, opened = {}, {t: [] for t in NESTED}
+                for m in NESTED_TAG.finditer(self.page):
+                    own = opened[m[2].lower()]
+                    if not m[1] and not m[3].endswith("/"):
+                        own.append(m.end())
+                    elif m[1] and own:
+                        self.inner[own.pop()] = m.end()
+            if at in self.inner:
+                return self.inner[at]
+        m = RAW_END[tag].search(self.page, at)
+        if m is None:
+            self.missing.add(tag)
+        return m and m.end()
+
+
 def parse(page: str) -> Tree:
     """The page's tree; nodes come in document order, parents first."""
     tree = Tree()
@@ -139,20 +176,13 @@ def parse(page: str) -> Tree:
             total += n
             linked += n if links else 0
 
-    at, skip = 0, None
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if skip is None:
-            said(page[at:m.start()])
+    at, ends = 0, RawEnds(page)
+    while m := TOKEN.search(page, at):
+        said(page[at:m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if skip is not None:
-            if m[1] and tag == skip:
-                skip = None
-            continue
         if m[1]:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if k and not (tag in INLINE and any(t not in INLINE for t, _ in stack[k + 1:])):
@@ -166,14 +196,10 @@ def parse(page: str) -> Tree:
             runs.append(" ")
             continue
         if tag in RAW:
-            # raw content ends at its own end tag, or with the page
-            end = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
-            if tag in ("script", "style", "title", "textarea", "iframe"):
-                at = end.start() if end else len(page)
-            if end and not m[3].rstrip().endswith("/>"):
-                skip = tag
-            elif not end and tag in ("script", "style", "title"):
-                break
+            # raw content ends at its own end tag, literal one at the latest with the page
+            if tag in LITERAL or not m[3].rstrip().endswith("/>"):
+                end = ends.after(tag, at)
+                at = end if end is not None else len(page) if tag in LITERAL else at
             continue
         if tag in VOID:
             if tag == "hr":
@@ -199,8 +225,7 @@ def parse(page: str) -> Tree:
             names = _element(tag, m[3], above)
             stack.append((tag, tree.add(stack[-1][1], names)))
             below.append(above or tag in BOILERPLATE or "against" in names)
-    if skip is None and at < len(page):
-        said(page[at:])
+    said(page[at:])
     flush()
     return tree
 
@@ -311,7 +336,7 @@ def labelled_pages(pages: DataFrame, documents: DataFrame) -> list[tuple[str, st
         "page_id", "html", F.when(number != "", number.cast("long")).alias("_n")).where("_n IS NOT NULL")
     n = named.count()
     step = max(1, -(-n // TRAIN_PAGES))
-    sample = named.where((F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0) & (F.length("html") < 40_000))
+    sample = named.where((F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0) & (F.length("html") < TRAIN_CHARS))
     rows = sample.orderBy("page_id", "html").limit(2 * TRAIN_PAGES).collect()
     ids = sorted({r["_n"] for r in rows})              # at most 2 * TRAIN_PAGES, a filter on the scan
     source = {r["doc_id"]: r["text"] for r in documents.where(

@@ -372,3 +372,33 @@ def test_word_codes_tell_words_apart():
         for w, x in zip(flat.to_pylist(), h.tolist()):
             assert code.setdefault(w, x) == x
     assert set(code) == {brute.lower_az(w) for w in words} and len(set(code.values())) == len(code)
+
+
+# ---- raw elements of pages ------------------------------------------------------
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> b", ["a x=2 b"]),
+    ("<p>see <object data=x>the film</object> now</p>", ["see the film now"]),
+    ("<p>a<svg><svg><text>no</text></svg><text>leak</text></svg>b</p>", ["ab"]),
+    ("<template><p>no</p><template>no</template><p>leak</p></template><p>b", ["b"]),
+    ("<svg><svg><text>no</text></svg><p>kept", ["kept"]),
+    ("<script>for(i=0;i<n;i++)f()</script><p>one</p><p>two</p>", ["one", "two"]),
+    ("<p>a<svg/>b</p><SCRIPT>x</SCRIPT >c", ["ab", "c"]),
+    ("<p>a<style>p{", ["a"]),
+    ("<p>a<svg>b", ["ab"]),
+])
+def test_raw_elements(page, blocks):
+    assert [t for t in html_extract.parse(page).text if t is not None] == blocks
+
+
+def test_attribute_names_are_whole_words():
+    names = lambda page: html_extract.parse(page).names[1]
+    assert "against" in names("<div id='header'>x") and "against" not in names("<div data-id='header'>x")
+
+
+def test_raw_elements_are_linear():
+    import time
+    began = time.perf_counter()
+    for page in ("<svg>" * 40_000, "<template><svg>" * 20_000 + "</svg>" * 10_000, "<noscript>" * 40_000, "<script>" * 40_000):
+        html_extract.parse(page)
+    assert time.perf_counter() - began < 10
