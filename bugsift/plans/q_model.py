@@ -124,10 +124,13 @@ _WORDS = "list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '')"
 _SAID = "'<' || w[1] || '，' || w[2] || '，' || w[3] || '>'"
 
 
-@query("batch_complete", f"""WITH d AS (SELECT doc_id AS id, '{P.TEMPLATES.instruction.replace("'", "''")}' || text AS m FROM documents),
+_COMPLETE = f"""WITH d AS (SELECT doc_id AS id, '{P.TEMPLATES.instruction.replace("'", "''")}' || text AS m FROM documents),
   h AS (SELECT id, {_WORDS} AS w, ('0x' || substr(md5(m), 1, 8))::BIGINT % 7 AS h FROM d)
 SELECT id, CASE WHEN h = 1 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN h <= 1 THEN 2 ELSE 1 END::INT AS attempts,
-  CASE WHEN h = 1 THEN ' ' ELSE {_SAID} END AS reply FROM h""")
+  CASE WHEN h = 1 THEN ' ' ELSE {_SAID} END AS reply FROM h"""
+
+
+@query("batch_complete", _COMPLETE)
 def q_batch_complete(spark, sf):
     """Prefix one-shot prompts over every report, answered by the local stand-in
     completer (failures and retries follow from each message)."""
@@ -136,6 +139,23 @@ def q_batch_complete(spark, sf):
     return res.select("id", "status", "attempts", "reply")
 
 
+@query("stream_complete", _COMPLETE)
+def q_stream_complete(spark, sf):
+    """The same answers from a stateful stream: retries come from the attempt log."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.requests import complete_stream
+    folder = f"{ensure_checkpoint_dir(spark)}/requests-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "documents").schema
+
+    def reports():
+        return spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*").select(
+            F.col("doc_id").alias("id"), "text")
+    done = complete_stream(reports, log=f"{folder}/log", checkpoint=f"{folder}/checkpoint",
+                           completer_factory=echo_completer_factory(7), retries=1)
+    return done.select("id", "status", "attempts", "reply")
+
+
 @query("refine_replies", f"""WITH d AS (SELECT doc_id AS id, '{P.TEMPLATES.instruction.replace("'", "''")}' || text AS m FROM documents),
   f AS (SELECT id, {_WORDS} AS w FROM d),
   r AS (SELECT id, {_SAID} AS first_reply, '{P.TEMPLATES.refine.replace("'", "''")}' || {_SAID} AS m FROM f),

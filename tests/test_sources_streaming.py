@@ -96,3 +96,40 @@ def test_streaming_extraction_idempotent(spark):
     q.awaitTermination(120)
     again = spark.read.parquet(os.path.join(root, "out"))
     assert sorted(r.id for r in again.collect()) == [1, 2, 3, 4]
+
+
+def test_stream_of_requests_retries_and_restarts(spark):
+    """No report is lost or doubled: repeated reports, failing calls, a run that dies
+    after its log is written and before its epoch is committed."""
+    from bugsift.operators.complete import EchoCompleter
+    from bugsift.streaming import requests as R
+    root = tempfile.mkdtemp(prefix="bugsift-requests-", dir="/tmp")
+    src, log, ck = (os.path.join(root, x) for x in ("in", "log", "ck"))
+    rows = [(i, f"alpha{i} beta gamma") for i in range(40)] + [(41, None), (3, "alpha3 beta gamma")]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(os.path.join(src, "f1"))
+
+    def reports():
+        return spark.readStream.schema("id long, text string").parquet(os.path.join(src, "*"))
+
+    how = dict(log=log, checkpoint=ck, completer_factory=lambda: EchoCompleter(4), retries=2)
+    R.start_requests(reports(), **how).awaitTermination()
+    assert R.waiting(spark, log) > 0
+    # the epoch's commit is lost: it runs again, finds its log and adds nothing
+    first = sorted(R.attempts(spark, log).collect(), key=str)
+    last = max(f for f in os.listdir(os.path.join(ck, "commits")) if f.isdigit())
+    for name in (last, f".{last}.crc"):
+        if os.path.exists(os.path.join(ck, "commits", name)):
+            os.remove(os.path.join(ck, "commits", name))
+    spark.createDataFrame([(50, "one more report"), (7, "alpha7 beta gamma")], "id long, text string").write.parquet(
+        os.path.join(src, "f2"))
+    out = R.complete_stream(reports, **how).collect()
+    assert first == sorted((r for r in R.attempts(spark, log).collect() if r["epoch"] <= int(last)), key=str)
+    assert sorted(r["id"] for r in out) == [*range(40), 41, 50]
+    import hashlib
+    from bugsift.functions import prompts as P
+    said = spark.read.parquet(os.path.join(src, "*")).select(
+        "id", F.element_at(P.build_prompt(F.coalesce("text", F.lit("")), "prefix_one_shot"), -1)["content"].alias("m"))
+    kind = {r["id"]: int(hashlib.md5(r["m"].encode()).hexdigest()[:8], 16) % 4 for r in said.collect()}
+    assert {r["id"]: (r["status"], r["attempts"]) for r in out} == {
+        i: ("failed", 3) if h == 1 else ("ok", 2 if h == 0 else 1) for i, h in kind.items()}
+    assert {0, 1} <= set(kind.values()) and R.waiting(spark, log) == 0
