@@ -120,6 +120,17 @@ def q_word2vec_docs(spark, sf):
                     F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
+@query("cbow_docs")
+def q_cbow_docs(spark, sf):
+    """Mean CBOW vector of every document, trained on all of them."""
+    from ..operators.cbow import text_vectors, train
+    d = table(spark, sf, "documents")
+    model = train(d, id_col="doc_id", text_col="text", size=20, rounds=3, batch_rows=20_000)
+    v = text_vectors(d, model, id_col="doc_id", text_col="text")
+    return v.select(F.col("id").alias("doc_id"), F.size("vec").alias("dim"),
+                    F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(m, '\\s+'), lambda x: x <> '')"
 _SAID = "'<' || w[1] || '，' || w[2] || '，' || w[3] || '>'"
 

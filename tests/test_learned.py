@@ -126,3 +126,63 @@ def test_similarity_blocks(spark):
         full[a, b] = full[b, a] = s
     want = {(i, b): full[i, 2 * b:2 * b + 2].tolist() for i in range(5) for b in range(3) if full[i, 2 * b:2 * b + 2].any()}
     assert got == want
+
+
+def cbow_step(params, examples, rate):
+    """One AdaGrad step over all examples, one by one."""
+    grad = {k: np.zeros_like(v) for k, (v, _) in params.items()}
+    loss = 0.0
+    for context, words in examples:
+        h = np.mean([params[0, w][0] for w in context], 0)
+        for k, w in enumerate(words):
+            if k and w == words[0]:
+                continue
+            y = 1.0 if k == 0 else 0.0
+            o = params[1, w][0]
+            p = 1 / (1 + np.exp(-h @ o))
+            loss -= np.log(p if y else 1 - p)
+            grad[1, w] += (y - p) * h
+            for c in context:
+                grad[0, c] += (y - p) * o / len(context)
+    out = {}
+    for k, (v, q) in params.items():
+        q = q + (grad[k] ** 2).mean()
+        out[k] = (v + rate * grad[k] / np.sqrt(q) if q else v, q)
+    return out, loss / len(examples)
+
+
+def test_cbow_step_equals_reference(spark):
+    from bugsift.operators import cbow
+    rng = np.random.default_rng(4)
+    rows = [(0, 0, 0, [1, 2, 2], [3, 0, 0, 3]), (0, 0, 1, [3], [1, 4, 2]), (1, 1, 0, [1, 1], [2, 1, 0]), (2, 5, 7, [4, 0], [0, 3, 1])]
+    params = {(s, w): (rng.normal(size=3), 0.5 * w) for s in (0, 1) for w in range(6)}
+    df = spark.createDataFrame([(w // 2, s, w, [float(x) for x in v], float(q)) for (s, w), (v, q) in params.items()], cbow._PARAMS)
+    want, loss = cbow_step(params, [(c, w) for *_, c, w in rows], 0.2)
+    for parts in (1, 2):
+        ex = spark.createDataFrame([(b % parts, i, p, c, w) for b, i, p, c, w in rows],
+                                   "block long, id long, pos int, context array<long>, words array<long>")
+        got, said = cbow.step(df.repartition(parts), ex, 0.2, part_words=2, salts=parts)
+        assert abs(said - loss) < 1e-12
+        got = {(r["side"], r["word"]): r for r in got.collect()}
+        assert set(got) == set(want)
+        for k, (v, q) in want.items():
+            assert np.allclose(got[k]["vec"], v) and abs(got[k]["square"] - q) < 1e-12
+
+
+def test_cbow_learns_what_goes_together(spark):
+    from bugsift.operators import cbow
+    words = [[f"{g}{k}" for k in range(4)] for g in ("red", "sea")]
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(words[i % 2][k] for k in rng.integers(4, size=9))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (90, None), (91, ""), (92, "alone"), (93, "red1")], "doc_id long, text string")
+    model = cbow.train(df, id_col="doc_id", text_col="text", size=8, rounds=6, batch_rows=10_000, rate=0.3, rows_per_block=100)
+    assert len(model.losses) == 6 and model.losses[-1] < 0.8 * model.losses[0]
+    assert abs(model.losses[0] - 6 * math.log(2)) < 0.9           # output vectors start at zero
+    vec = {r["id"]: np.array(r["vec"]) for r in cbow.text_vectors(df, model, id_col="doc_id", text_col="text").collect()}
+    assert set(vec) == {*range(60), 93}
+    x = np.stack([vec[i] / np.linalg.norm(vec[i]) for i in range(60)])
+    near = x @ x.T
+    same = np.equal.outer(np.arange(60) % 2, np.arange(60) % 2)
+    assert near[same].mean() > near[~same].mean() + 0.2
+    none = cbow.train(df.limit(0), id_col="doc_id", text_col="text")
+    assert none.losses == [] and cbow.text_vectors(df, none, id_col="doc_id", text_col="text").collect() == []
