@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dbscan import dbscan_from_edges
 from ..operators.ensemble import stack_labels, vote_mean_onehot, vote_plurality
-from ..operators.pairs import Vectors, epsilon_join
+from ..operators.pairs import Vectors, links_each
 from ..operators.vectors import norms, standardize_long
 from ..session import cut_lineage
 from .catalog import query, r6, table
@@ -36,9 +36,10 @@ def _labels_sql() -> str:
 
 def _labels(spark, sf):
     v = Vectors.dense(table(spark, sf, "embeddings"), "vec_id", "embedding")
-    # one join at the largest eps; the smaller graphs are parts of it
-    pairs = cut_lineage(epsilon_join(v, max(EPS)))
-    return stack_labels({str(e): dbscan_from_edges(v.with_ids(), pairs.where(F.col("dist") <= e), 2) for e in EPS})
+    # one meeting of the cells for all eps; with 2 samples clusters are components, so links will do for pairs
+    edges = cut_lineage(links_each(v, EPS))
+    return stack_labels({str(e): dbscan_from_edges(v.with_ids(), edges.where(F.col("level") == k), 2)
+                         for k, e in enumerate(EPS)})
 
 
 @query("vote_plurality", f"""WITH RECURSIVE {_labels_sql()},

@@ -67,3 +67,30 @@ def test_links_of_the_index_are_stars(spark):
     by = {m: {r.id: r.label for r in dbscan(v, 0.6, 2, method=m).collect()} for m in ("index", "blocks")}
     assert by["index"] == by["blocks"] and by["index"][120] == -1
     assert {r.label for r in dbscan(v, 0.6, 2, method="index").where(F.col("id") < 120).collect()} == {0}
+
+
+def test_one_meeting_links_every_distance(spark):
+    from bugsift.operators.pairs import links_each
+    at = np.random.default_rng(5).uniform(0, 4, (400, 2))
+    df = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(at)], "id long, vec array<double>")
+    v = Vectors.dense(df, "id", "vec")
+    eps = [0.1, 0.2]
+    edges = links_each(v, eps).cache()
+    for level, e in enumerate(eps):
+        pairs = [(r.i, r.j) for r in epsilon_join(v, e).collect()]
+        own = [(r.i, r.j) for r in edges.where(F.col("level") == level).collect()]
+        assert np.array_equal(_components(own, 400), _components(pairs, 400))
+    assert edges.where("level = 1").count() < len(pairs)
+
+
+def _components(edges, n):
+    of = list(range(n))
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+    for i, j in edges:
+        a, b = sorted((root(i), root(j)))
+        of[b] = a
+    return [root(x) for x in range(n)]
