@@ -1,7 +1,7 @@
 """Batch completion: send each row's messages to a completer, keep the reply.
 
 The completer is user code (a hosted model client, a local model...). It is
-built once per task by ``completer_factory()`` and called on Arrow batches:
+built once per task by ``completer_factory()`` and called on slices of Arrow batches:
 ``complete(list_of_message_lists) -> list[str | None]``; ``None`` or an
 exception marks a failed item. Failed items are retried up to ``retries``
 more times; what still fails gets ``default`` and status ``'failed'``. A
@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from ..functions import prompts as P
 from ..session import cut_lineage
 
 Completer = Callable[[list[list[dict]]], list]
+# most messages of one call: what a task holds as Python objects
+CALL_ROWS = 512
 
 
 def _to_messages(arr) -> list[dict] | None:
@@ -35,36 +37,42 @@ def batch_complete(df: DataFrame, *, id_col: str, messages_col: str = "messages"
     """``(id, reply, status, attempts)`` for every input row; ids keep their type."""
     id_type = df.schema[id_col].dataType.simpleString()
 
+    def answered(msgs: list, complete: Completer) -> tuple[list, list, list]:
+        n = len(msgs)
+        replies = [None] * n
+        attempts = [0] * n
+        status = ["failed"] * n
+        todo = [k for k in range(n) if msgs[k] is not None]
+        for attempt in range(retries + 1):
+            if not todo:
+                break
+            if hasattr(complete, "attempt"):
+                complete.attempt = attempt
+            try:
+                got = complete([msgs[k] for k in todo])
+            except Exception:  # noqa: BLE001 - the whole call failed: every item failed once
+                got = [None] * len(todo)
+            nxt = []
+            for k, r in zip(todo, got):
+                attempts[k] += 1
+                if isinstance(r, str):
+                    replies[k], status[k] = r, "ok"
+                else:
+                    nxt.append(k)
+            todo = nxt
+        return [r if r is not None else default for r in replies], status, attempts
+
     def run(batches):
         complete = completer_factory()
-        for pdf in batches:
-            msgs = [_to_messages(m) for m in pdf[messages_col].values]
-            n = len(msgs)
-            replies = [None] * n
-            attempts = [0] * n
-            status = ["failed"] * n
-            todo = [k for k in range(n) if msgs[k] is not None]
-            for attempt in range(retries + 1):
-                if not todo:
-                    break
-                if hasattr(complete, "attempt"):
-                    complete.attempt = attempt
-                try:
-                    got = complete([msgs[k] for k in todo])
-                except Exception:  # noqa: BLE001 - the whole call failed: every item failed once
-                    got = [None] * len(todo)
-                nxt = []
-                for k, r in zip(todo, got):
-                    attempts[k] += 1
-                    if isinstance(r, str):
-                        replies[k], status[k] = r, "ok"
-                    else:
-                        nxt.append(k)
-                todo = nxt
-            yield pd.DataFrame({"id": pdf[id_col].values,
-                                "reply": [r if r is not None else default for r in replies],
-                                "status": status, "attempts": attempts})
-    return df.select(id_col, messages_col).mapInPandas(
+        for batch in batches:
+            # only the messages of one call are Python objects at a time
+            for lo in range(0, batch.num_rows, CALL_ROWS):
+                own = batch.slice(lo, CALL_ROWS)
+                reply, status, attempts = answered([_to_messages(m) for m in own.column(1).to_pylist()], complete)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), pa.array(reply, pa.string()), pa.array(status, pa.string()), pa.array(attempts, pa.int32())],
+                    ["id", "reply", "status", "attempts"])
+    return df.select(id_col, messages_col).mapInArrow(
         run, f"id {id_type}, reply string, status string, attempts int")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
-from ..functions.text import word_tokens
 from ..operators import features as feat
 from .catalog import query, table
 from .presets import TEST
@@ -173,7 +172,8 @@ def q_encode_fixed_length(spark, sf):
     """Whole texts as consecutive 50-token windows over the TEST vocabulary."""
     docs = table(spark, sf, "documents")
     f = feat.fit_transform(docs, TEST)
-    toks = docs.select("doc_id", word_tokens("text").alias("tokens"))
+    # the tokens of the fit are dealt by id already: the chunks need no shuffle
+    toks = f.tokens.withColumnRenamed("terms", "tokens")
     enc = P.encode_fixed_length(toks, f.vocab, id_col="doc_id", n=50, vocab_bound=TEST.max_features)
     return enc.select("doc_id", "chunk", F.array_join("input_ids", " ").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("int").alias("n_real"))

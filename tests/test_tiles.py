@@ -94,3 +94,43 @@ def _components(edges, n):
         a, b = sorted((root(i), root(j)))
         of[b] = a
     return [root(x) for x in range(n)]
+
+
+def test_rare_terms_alone_go_round_by_term(spark, monkeypatch):
+    from bugsift.operators import features
+    texts = [f"common words here rare{k} pair{k // 2}" for k in range(20)] + [None, "", "alone"]
+    df = spark.createDataFrame([*enumerate(texts), (None, "common rare3 other")], "doc_id long, text string")
+    cfg = VectorizerConfig(min_df=2, sublinear_tf=True)
+    whole = fit_transform(df, cfg)
+    want = {r.doc_id: r.vec for r in whole.rows.collect()}
+    monkeypatch.setattr(features, "BROADCAST_TERMS", 4)
+    assert features.broadcast_df(whole.vocab, cfg) == 16
+    split = fit_transform(df, cfg)
+    got = {r.doc_id: r.vec for r in split.rows.collect()}
+    assert got == want and len(got) == 24 and got[20] == [] and len(got[None]) == 2
+    plan = split.rows._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan
+    monkeypatch.setattr(features, "BROADCAST_TERMS", 0)
+    assert {r.doc_id: r.vec for r in fit_transform(df, cfg).rows.collect()} == want
+
+
+def test_calls_hold_few_messages(spark):
+    from bugsift.functions import prompts as P
+    from bugsift.operators.complete import CALL_ROWS, batch_complete
+
+    def factory():
+        return lambda msgs: [str(len(msgs))] * len(msgs)
+    df = spark.range(0, 3 * CALL_ROWS, 1, 1).select("id", P.build_prompt(F.lit("a b c"), "sentence").alias("messages"))
+    rows = batch_complete(df, id_col="id", completer_factory=factory).collect()
+    assert len(rows) == 3 * CALL_ROWS and {int(r.reply) for r in rows} == {CALL_ROWS}
+
+
+def test_fixed_length_chunks_need_no_shuffle_of_tokens(spark, tmp_path):
+    from bugsift.plans.q_prompts import q_encode_fixed_length
+    spark.createDataFrame([(k, "aa bb cc " * 30) for k in range(12)] + [(12, None), (13, "")], "doc_id long, text string") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    enc = q_encode_fixed_length(spark, str(tmp_path))
+    rows = {(r.doc_id, r.chunk): r.n_real for r in enc.collect()}
+    assert rows[(12, 0)] == rows[(13, 0)] == 0 and rows[(0, 0)] == 50 and rows[(0, 1)] == 40 and len(rows) == 26
+    plan = enc._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
