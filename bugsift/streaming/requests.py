@@ -1,7 +1,7 @@
 """Completion of reports as a stateful stream with retries over triggers.
 
-State per report (keyed by id) is the number of attempts made. A row is admitted
-if it carries just that number: a new report carries 0, a retry the number of
+State is the attempts made of each report, as keys (id, attempt). A row is admitted
+if its attempt was not made yet: a new report carries 0, a retry the number of
 attempts that failed. So a report that comes twice is asked once, and a retry that
 is replayed counts once. Admitted rows are answered in Arrow batches and go to
 one attempt log, ``<log>/epoch-<n>``, written once per epoch: a replayed epoch
@@ -21,12 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import prompts as P
 from ..operators.complete import _to_messages
 
-_ASKED = "id long, text string, attempt int"
 _LOG = "id long, text string, attempts int, status string, reply string, epoch long"
 
 
@@ -35,19 +33,6 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def admit(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of a report whose number is that of the attempts made so far."""
-    made = state.get[0] if state.exists else 0
-    out = []
-    for pdf in rows:
-        for text, attempt in zip(pdf["text"], pdf["attempt"]):
-            if attempt == made:
-                out.append((key[0], text, attempt))
-                made += 1
-    state.update((made,))
-    yield pd.DataFrame(out, columns=["id", "text", "attempt"])
-
-
 def ask(asked: DataFrame, completer_factory: Callable, style: str, retries: int) -> DataFrame:
     """Answers of the admitted rows, as rows of the attempt log without epoch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,13 +62,14 @@ def start_requests(reports: DataFrame, *, log: str, checkpoint: str, completer_f
     spark = reports.sparkSession
     fs, at = _path(spark, log)
     fs.mkdirs(at)
+    # never null on either side: the state's schema must not depend on which source has rows
     again = (spark.readStream.schema(_LOG).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-             .parquet(log).where("status = 'waiting'").select("id", "text", F.col("attempts").alias("attempt")))
+             .parquet(log).where("status = 'waiting'")
+             .select("id", "text", F.coalesce("attempts", F.lit(0)).alias("attempt")))
     new = reports.select(F.when(F.col("id").isNull(), F.raise_error(F.lit("null report id")).cast("long"))
                          .otherwise(F.col("id").cast("long")).alias("id"),
                          F.col("text").cast("string").alias("text"), F.lit(0).alias("attempt"))
-    asked = new.unionByName(again).groupBy("id").applyInPandasWithState(
-        admit, _ASKED, "made int", "append", GroupStateTimeout.NoTimeout)
+    asked = new.unionByName(again).dropDuplicates(["id", "attempt"])
 
     def write(batch: DataFrame, epoch: int) -> None:
         own = batch.sparkSession

@@ -133,3 +133,24 @@ def test_stream_of_requests_retries_and_restarts(spark):
     assert {r["id"]: (r["status"], r["attempts"]) for r in out} == {
         i: ("failed", 3) if h == 1 else ("ok", 2 if h == 0 else 1) for i, h in kind.items()}
     assert {0, 1} <= set(kind.values()) and R.waiting(spark, log) == 0
+
+
+def test_attempts_made_are_keys_of_the_jvm_state(spark):
+    """Admission deals no report to Python by itself: its state is Spark's own table of
+    (id, attempt), one key for each attempt made."""
+    from bugsift.operators.complete import EchoCompleter
+    from bugsift.streaming import requests as R
+    root = tempfile.mkdtemp(prefix="bugsift-requests-", dir="/tmp")
+    src, log, ck = (os.path.join(root, x) for x in ("in", "log", "ck"))
+    spark.createDataFrame([(i % 30, f"alpha{i % 30} beta gamma") for i in range(60)], "id long, text string").write.parquet(
+        os.path.join(src, "f1"))
+    how = dict(log=log, checkpoint=ck, completer_factory=lambda: EchoCompleter(4), retries=1)
+    open_table = lambda: spark.readStream.schema("id long, text string").parquet(os.path.join(src, "*"))
+    for _ in range(2):
+        q = R.start_requests(open_table(), **how)
+        q.awaitTermination()
+        ops = [o for p in q.recentProgress for o in p["stateOperators"]]
+        assert ops and {o["operatorName"] for o in ops} == {"dedupe"}
+        tried = R.attempts(spark, log).select("id", "attempts").collect()
+        assert len(tried) == len(set(tried)) == ops[-1]["numRowsTotal"] and len({r["id"] for r in tried}) == 30
+    assert R.waiting(spark, log) == 0
