@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from bugsift.operators import encoder, minibatch, segmentation
@@ -33,6 +34,47 @@ def test_truncated_svd(spark, max_factor):
     assert np.allclose(np.delete(np.linalg.norm(unit, axis=1), 7), 1) and np.allclose(unit[7], 0)
 
 
+def test_svd_tasks_take_rows_in_pieces(spark, monkeypatch):
+    """A batch of many entries is never unfolded whole, and pieces add up to the product."""
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(40, 30)) * (rng.uniform(size=(40, 30)) < 0.3)
+    X[3], X[9] = 0, 1
+    rows = [(i, np.flatnonzero(x), x[x != 0]) for i, x in enumerate(X)]
+    whole = pd.DataFrame(rows, columns=["id", "idx", "w"])
+    assert max(len(p) for p in encoder._pieces([whole])) == 40
+    monkeypatch.setattr(encoder, "PIECE_ENTRIES", 20)
+    monkeypatch.setattr(encoder, "FLUSH_TERMS", 25)
+    pieces = list(encoder._pieces([whole.iloc[:15], whole.iloc[:0], whole.iloc[15:]]))
+    assert [i for p in pieces for i in p["id"]] == list(range(40))
+    assert all(sum(map(len, p["idx"])) <= 20 or len(p) == 1 for p in pieces) and len(pieces) > 10
+
+    class Task:                                # one task of mapInPandas
+        def __init__(self, pdf):
+            self.pdf = pdf
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, go, schema):
+            self.out = list(go(iter([self.pdf])))
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        def agg(self, *columns):
+            return self
+
+    seen = []
+    one = encoder._with_y(Task(whole), lambda terms: (seen.append(len(terms)), encoder._signs(terms, 4, 1))[1])
+    assert len(one.out) == len(seen) == len(list(encoder._pieces([whole])))
+    got = pd.concat(one.out)
+    want = X @ encoder._signs(np.arange(30), 4, 1)
+    assert np.allclose(np.vstack(got["y"].values), want) and list(got["id"]) == list(range(40))
+    parts = encoder._transposed(Task(got), 4).out
+    assert len(parts) > 1 and np.allclose(pd.concat(parts).groupby("term").sum().reindex(range(30), fill_value=0), X.T @ want)
+
+
 def test_svd_of_fewer_rows_than_columns(spark):
     X = np.array([[1.0, 0, 2, 0], [0, 3.0, 0, 0], [1.0, 0, 2, 0]])
     got = encoder.truncated_svd(sparse(spark, X), 3, oversample=2)
